@@ -158,6 +158,21 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return doc_columns(docs, "doc_id", "text").mapInPandas(score, "doc_id long, lang_pred string, score double")
 
 
+def keep_confident(docs: DataFrame, model: LanguageModel, sure: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is predicted with a probability of ``sure`` or more.
+
+    Texts that are null or without a letter have no language and go.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def confident(text: pd.Series) -> pd.Series:
+        pred, prob = sent.value.predict(text.tolist())
+        return pd.Series([p != UNDETERMINED and bool(q >= sure) for p, q in zip(pred, prob, strict=True)], dtype=bool)
+
+    return docs.where(confident(F.col("text").cast("string")))
+
+
 def held_out(doc_id):
     """True for the fold that is never learned from."""
     return F.coalesce(id_crc(doc_id) % 4 == 2, F.lit(False))

@@ -145,5 +145,20 @@ def mix(docs: DataFrame, seed: int = 10) -> DataFrame:
     )
 
 
+def mixed_rows(docs: DataFrame, seed: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it.
+
+    Rows that share a doc_id are taken as a whole: as often as the mix takes them all, dealt evenly in order of their texts.
+    """
+    share = mix(docs, seed).groupBy("doc_id").agg(F.sum("repeats").alias("_taken"), F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id")
+    share = stored(share, "shares")
+    joined = docs.join(share, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    single = joined.where("_rows = 1").withColumn("_n", F.col("_taken"))
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy("source", "text"))
+    several = joined.where("_rows > 1").withColumn("_r", rank).withColumn("_n", F.expr("_taken DIV _rows + CAST(_r <= _taken % _rows AS LONG)")).drop("_r")
+    rows = single.unionByName(several).where("_n > 0")
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_k", "_n", "_taken", "_rows", "_id")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandlens.llm import language, mixing
+from demandlens.llm import chat, counts, decontam, language, lm, mixing, oracles, pii, simhash, store, transport
 
 _QUERIES = {
+    "op1_pseudonyms": pii.op1_pseudonyms,
+    "op2_simhash_groups": simhash.op2_simhash_groups,
+    "op3_token_store": store.op3_token_store,
+    "op4_token_counts": counts.op4_token_counts,
+    "op5_decontaminate": decontam.op5_decontaminate,
+    "op6_lm_scores": lm.op6_lm_scores,
+    "op7_quotation_threads": chat.op7_quotation_threads,
+    "op8_transport_streams": transport.op8_transport_streams,
     "op9_language_id": language.op9_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
@@ -19,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
