@@ -80,10 +80,10 @@ class _Slots(dict):
 class Encoder:
     """Ids of whole texts by the tokenizers library; a part seen before is looked up.
 
-    After a batch that leaves more than ``keep`` parts the memory starts anew.
+    Before a batch that finds more than ``keep`` parts the memory starts anew.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -110,14 +110,11 @@ class Encoder:
 
     def _clear(self) -> None:
         self.slot = _Slots()
-        self.known: dict[str, list[int]] = {}
         self.ids = np.zeros(0, dtype=self.dtype)
         self.start = self.length = np.zeros(0, dtype=np.int64)
 
     def _piece(self, piece: str) -> list[int]:
-        if (found := self.known.get(piece)) is None:
-            found = self.known[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
-        return found
+        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
 
     def _learn(self) -> None:
         ids: list[int] = []
@@ -174,7 +171,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches(texts: list[str | None], characters: int = 4_000_000):
+def batches(texts: list[str | None], characters: int = 1_000_000):
     """Index ranges of about so many characters: what is worked on at once is bounded but for a single text."""
     begin, size = 0, 0
     for k, t in enumerate(texts):

@@ -14,7 +14,7 @@ from demandlens.llm.util import doc_columns, id_crc
 
 UNDETERMINED = "und"
 #: Work on about so many characters at a time, which bounds a task's memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _letters() -> np.ndarray:
