@@ -122,7 +122,8 @@ def relation_type(text: Column) -> Column:
 def confidence(text: Column) -> Column:
     """A label's value or the number itself, between 0 and 1; null if neither."""
     key = F.lower(F.trim(text))
-    return F.least(F.greatest(F.coalesce(lookup(CONFIDENCE, key), key.try_cast("double")), F.lit(0.0)), F.lit(1.0))
+    value = F.coalesce(lookup(CONFIDENCE, key), key.try_cast("double"))
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
 def id_list(text: Column) -> Column:
