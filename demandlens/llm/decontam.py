@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash of item-sized windows (operator 5); DataFrame operations only."""
+"""Benchmark decontamination by shingles of item-sized windows (operator 5); DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from demandlens.llm.util import doc_columns, stored
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Fingerprints of a window and an item of similarity 0.8 differ in 9 bits on average, 2.8 the deviation.
-RADIUS = 20
 #: Tables of at most so many rows of a few numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -81,25 +79,15 @@ def _print(total: str) -> Column:
     return reduce(Column.bitwiseOR, bits)
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks: fingerprints within the radius agree in one of them."""
-    n = radius + 1
-    widths = [64 // n + (k < 64 % n) for k in range(n)]
-    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
-
-
-def _block_keys(radius: int) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k, (shift, width) in enumerate(_blocks(radius))]))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity, bits, key): each document and item with a window alike, and the best one.
 
-    A window has as many words as the item (the whole text if that is shorter). Windows that share too few
-    shingles with the item to reach the similarity s, that is fewer than s / (1 + s) of both together, are never
-    fingerprinted, which loses nothing. The SimHash of the others is filed under radius + 1 blocks and meets the
-    item's there, so that all within the radius are found; their exact weighted similarity, the shared part of
-    both multisets of shingles, decides. ``start`` counts words from 0; of equal windows the first is given.
+    A window has as many words as the item (the whole text if that is shorter). A join on shingles finds the
+    candidates: windows that share too few shingles with the item to reach the similarity s, that is fewer than
+    s / (1 + s) of both together, are left out, which loses nothing. The exact weighted similarity of the others,
+    the shared part of both multisets of shingles, decides. ``bits``, in how many bits the SimHash of the window
+    differs from the item's, is told and decides nothing. ``start`` counts words from 0; of equal windows the
+    first is given.
 
     Null and blank texts and items match nothing. Texts that repeat under one doc_id give one row. Other columns are
     not read.
@@ -139,13 +127,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarit
     counted = cut.groupBy(*group, "h").agg(F.count("*").alias("w"))
     both = counted.join(_small(item.select("item_id", "h", "c")), ["item_id", "h"], "left")
     summed = both.groupBy(*group).agg(*_lanes(F.col("w")), F.sum(F.least("w", F.coalesce("c", F.lit(0)))).alias("shared"))
-    printed = summed.select(*group, "shared", _print("length").alias("fp"))
-
-    item_print = item.groupBy("item_id", "m").agg(*_lanes(F.col("c"))).select("item_id", _print("m").alias("fp"))
-    filed = stored(item_print.select("item_id", F.col("fp").alias("item_fp"), _block_keys(radius).alias("b")).select("item_id", "item_fp", "b.block", "b.value"), "blocks")
-    met = printed.select("*", _block_keys(radius).alias("b")).select(*group, "shared", "fp", "b.block", "b.value").join(_small(filed), ["item_id", "block", "value"])
-    met = met.withColumn("bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("bits") <= radius)
-    alike = met.withColumn("similarity", F.col("shared") / (F.col("m") + F.col("length") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    alike = summed.withColumn("similarity", F.col("shared") / (F.col("m") + F.col("length") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    item_print = stored(item.groupBy("item_id", "m").agg(*_lanes(F.col("c"))).select("item_id", _print("m").alias("item_fp")), "item_prints")
+    alike = alike.withColumn("fp", _print("length")).join(_small(item_print), "item_id").withColumn("bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
     best = alike.groupBy("doc_id", "key", "item_id", "n").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "bits")).alias("x"))
     return best.select(
         "doc_id", "item_id", (-F.col("x.before")).cast("long").alias("start"), F.col("n").cast("long").alias("n_words"),

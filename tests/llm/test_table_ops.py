@@ -72,6 +72,15 @@ def test_matches_equal_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want} and kept.columns == made.columns
 
 
+def test_matches_of_distant_fingerprints(spark):
+    """Similarity 12 / 14 of texts whose fingerprints differ in over 20 bits: the shingle that differs decides many of them."""
+    items = [(k, "a b " * 8 + f"z{k}") for k in range(400)]
+    docs = [(0, "before " + "a b " * 8 + "y after")]  # the windows at 0 and 1 are equally alike
+    got = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["item_id"] for r in got} == set(range(400)) and max(r["bits"] for r in got) > 20
+    assert all(r["similarity"] == pytest.approx(12 / 14) and r["start"] == 0 for r in got)
+
+
 def test_matches_without_items_or_documents(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.matches(docs, none).count() == 0
