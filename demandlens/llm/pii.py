@@ -17,6 +17,7 @@ from demandlens.llm.util import doc_columns
 ROUNDS = 8
 _DAY_ONE = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY_ONE
+_GROUP = re.compile("[A-Za-z0-9]+")
 
 
 class Feistel:
@@ -79,7 +80,7 @@ class Pseudonyms:
     PATTERNS = {
         "secret": r"(?<=[\"'])[0-9a-f]{32,}(?=[\"'])",
         "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-        "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[/.-]\d{2}[/.-]\d{4})(?![\d/-])",
+        "date": r"(?<![\d/.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4})(?![\d/-])",
         "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d)",
         "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ -]?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
@@ -87,6 +88,9 @@ class Pseudonyms:
     }
     EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
     NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+    KINDS = {k: re.compile(p) for k, p in PATTERNS.items()}
+    #: Kinds of several lengths, whose pattern can take in a neighbouring number.
+    OPEN = ("iban", "phone", "card")
 
     def __init__(self, key: bytes, back: bool = False):
         self.feistel = Feistel(key)
@@ -135,9 +139,13 @@ class Pseudonyms:
         return "".join(c if c == " " else next(new) for c in text)
 
     def _date(self, text: str) -> str | None:
-        mark = text[4] if text[4] in "-/" else text[2]
+        mark = next(c for c in text if not c.isdigit())
         a, b, c = text.split(mark) if text.count(mark) == 2 else ("", "", "")
         orders = (("y", "m", "d"),) if len(a) == 4 else (("m", "d", "y"), ("d", "m", "y")) if mark == "/" else (("d", "m", "y"), ("m", "d", "y"))
+        if not a:
+            return None
+        widths = (len(a), len(b), len(c))
+        shape = "".join(map(str, widths)) if 1 in widths else ""
 
         def day(parts: tuple[str, ...], order: tuple[str, ...]) -> int | None:
             got = dict(zip(order, map(int, parts), strict=True))
@@ -149,15 +157,17 @@ class Pseudonyms:
 
         def written(k: int, order: tuple[str, ...]) -> list[str]:
             d = datetime.date.fromordinal(k + _DAY_ONE)
-            return [f"{d.year:04d}" if x == "y" else f"{d.month:02d}" if x == "m" else f"{d.day:02d}" for x in order]
+            return [f"{d.year if x == 'y' else d.month if x == 'm' else d.day:0{n}d}" for x, n in zip(order, widths, strict=True)]
+
+        def fits(k: int, order: tuple[str, ...]) -> bool:
+            """A day or month of one digit stays one of one digit."""
+            return not shape or tuple(map(len, written(k, order))) == widths
 
-        if not a:
-            return None
         if (k := day((a, b, c), orders[0])) is not None:
-            return mark.join(written(self._permute(k, _DAYS, "date"), orders[0]))
+            return mark.join(written(self._permute(k, _DAYS, f"date{shape}", lambda x: fits(x, orders[0])), orders[0]))
         if len(orders) > 1 and (k := day((a, b, c), orders[1])) is not None:
             # the second reading holds only for dates that the first can't read, and stays among them
-            new = self._permute(k, _DAYS, "date2", lambda x: day(tuple(written(x, orders[1])), orders[0]) is None)
+            new = self._permute(k, _DAYS, f"date2{shape}", lambda x: fits(x, orders[1]) and day(tuple(written(x, orders[1])), orders[0]) is None)
             return mark.join(written(new, orders[1]))
         return None
 
@@ -207,6 +217,25 @@ class Pseudonyms:
         new = iter(body + luhn_digit(body))
         return re.sub(r"\d", lambda _: next(new), text)
 
+    def _within(self, part: str, begin: int, end: int) -> tuple[int, int, str, str] | None:
+        """(first, end, kind, pseudonym) of the longest valid value in a match that is none itself, the leftmost of equal ones.
+
+        Values of every kind are tried from each group of letters and digits; those of several lengths up to
+        each group's end.
+        """
+        groups = [(m.start(), m.end()) for m in _GROUP.finditer(part, begin, end)]
+        tried = set()
+        for a in {begin, *(x for x, _ in groups)}:
+            for k, (kind, pattern) in enumerate(self.KINDS.items()):
+                if m := pattern.match(part, a):
+                    tried.add((a - m.end(), a, k, kind))
+                    if kind in self.OPEN:
+                        tried.update((a - b, a, k, kind) for _, b in groups if a < b < m.end() and pattern.fullmatch(part, a, b))
+        for size, a, _, kind in sorted(tried):
+            if (new := self.replaced(kind, part[a : a - size])) is not None:
+                return a, a - size, kind, new
+        return None
+
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, first character, length) of each in it.
 
@@ -224,12 +253,17 @@ class Pseudonyms:
             size += len(part)
 
         def numbers(part: str) -> None:
-            at = 0
-            for m in self.NUMBERS.finditer(part):
-                if (new := self.replaced(m.lastgroup, m[0])) is not None:
-                    put(part[at : m.start()])
-                    put(new, m.lastgroup)
-                    at = m.end()
+            at = begin = 0
+            while m := self.NUMBERS.search(part, begin):
+                new = self.replaced(m.lastgroup, m[0])
+                found = self._within(part, *m.span()) if new is None else (*m.span(), m.lastgroup, new)
+                if found:
+                    a, begin, kind, new = found
+                    numbers(part[at:a]) if a > m.start() else put(part[at:a])
+                    put(new, kind)
+                    at = begin
+                else:  # a value can begin in the match and end after it
+                    begin = next((x.start() for x in _GROUP.finditer(part, m.start() + 1, m.end()) if not part[x.start() - 1].isalnum()), m.end())
             put(part[at:])
 
         at = 0
@@ -251,7 +285,8 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     Equal values get equal pseudonyms in every document, under every key a permutation of the values of the
     same format: cards keep their first digit and stay valid under Luhn, IBANs under mod 97, dates stay dates
     of 1900 to 2099, phone numbers keep their country code, e-mail addresses their registered domain, IPv4
-    addresses stay addresses (their octets may change length). Values that fail validation stay as they are.
+    addresses stay addresses (their octets may change length), days and months of one digit stay such. Where a
+    match fails validation, the longest valid value of any kind inside it is taken; what is still none stays.
     ``kinds`` counts values by kind. A null text stays null with 0 values; repeated rows are all returned.
     ``back`` with the same key restores the texts but for values whose pseudonym is part of a longer match.
     """

@@ -58,6 +58,22 @@ def test_pseudonyms_keep_formats_and_return():
         assert there.text(plain) == (plain, []), plain
 
 
+def test_values_beside_other_numbers():
+    there, back = pii.Pseudonyms(b"secret"), pii.Pseudonyms(b"secret", back=True)
+    card = "4111 1111 1111 1111"
+    for text in (f"paid with {card} 12/25 today", f"card {card} 123, thanks", f"order 12 {card} was sent", f"order 12345678 {card}.", f"{card} 5500 0000 0000 0004"):
+        new, spans = there.text(text)
+        assert card not in new and "5500 0000" not in new and {k for k, _, _ in spans} == {"card"}, text
+        at, n = spans[0][1:]
+        assert luhn(new[at : at + n].replace(" ", "")) and new[:at] == text[:at], text
+    for value in ("3/14/2021", "1.5.2020", "2021-3-4", "31/1/1999", "3/04/2021", "13/5/2020", "9-9-2019"):
+        new, spans = there.text(f"born on {value}, they say")
+        assert [(k, a, n) for k, a, n in spans] == [("date", 8, len(value))] and value not in new, value
+        assert back.text(new)[0] == f"born on {value}, they say", value
+    shape = {there.text(f"{m}/{d}/{y}")[0] for y in (2020, 2021) for m in range(1, 10) for d in range(10, 29)}
+    assert len(shape) == 2 * 9 * 19 and all(len(x) == 9 for x in shape)
+
+
 def test_pseudonyms_link_documents(spark, docs, no_docs):
     made = spark.createDataFrame([(1, "mail a.b@x.example.com and 10.1.2.3"), (2, "again 10.1.2.3"), (None, "10.1.2.3"), (4, None)], "doc_id long, text string")
     found = pii.pseudonymise(made, b"k")
