@@ -22,13 +22,14 @@ def own_text(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(mid, first, level, unit): quoted passages of messages (mid, text).
+    """(mid, first, level, unit): quoted passages of messages (mid, text), of one row for each mid.
 
     A passage is a run of lines of one level, the number of > before them; ``first`` is its first line. Units are
     the normalised whole passage and, if it has several lines, each line that isn't blank.
     """
     line = F.posexplode(F.split("text", "\n")).alias("at", "line")
-    lines = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("mid", line)
+    quoting = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("mid", "text").dropDuplicates(["mid"])
+    lines = quoting.select("mid", line)
     lines = lines.withColumn("level", F.length(F.regexp_replace(F.regexp_extract("line", _QUOTED, 0), r"[ \t]", "")))
     in_message = Window.partitionBy("mid").orderBy("at")
     change = F.when(F.col("level") == F.lag("level").over(in_message), 0).otherwise(1)

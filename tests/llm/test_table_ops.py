@@ -171,6 +171,14 @@ def test_threads(spark):
     assert chat.formatted(chat.threads(made)).where("conv_id = 1 AND turn = 1").first()["formatted"] == "<|assistant|>\nUse a key.\n"
 
 
+def test_repeated_reply_keeps_its_link(spark):
+    rows = [(1, 0, "user", "one two three\nfour five six"), (2, 0, "user", "other")]
+    reply = (1, 1, "user", "> one two\n> three four\n> five six\nYes.")
+    made = spark.createDataFrame(rows + [reply] * 3, "conv_id long, turn long, role string, text string").repartition(3)
+    got = [r for r in chat.threads(made).collect() if r["turn"] == 1]
+    assert [(r["reply_conv"], r["reply_turn"], r["n_linked"]) for r in got] == [(1, 0, 1)] * 3
+
+
 def test_threads_without_quotes_keep_turns(spark):
     from demandlens.session import table
 
