@@ -14,9 +14,9 @@ SURE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model tells with confidence; texts that are null or without letters go."""
+    """Documents in a language that the model tells with confidence and that fit it; texts that are null or without letters go."""
     known = docs.select("doc_id", "text", "lang")
-    model = language.train(known.where(~language.held_out(F.col("doc_id"))))
+    model = language.train(known.where(~language.held_out(F.col("doc_id"))), floors=True)
     return language.keep_confident(docs, model, SURE).select(*COLUMNS)
 
 

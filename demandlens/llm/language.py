@@ -15,6 +15,8 @@ from demandlens.llm.util import doc_columns, id_crc
 UNDETERMINED = "und"
 #: Work on about so many characters at a time, which bounds a task's memory.
 CHUNK = 1 << 18
+#: A text of n n-grams may lie below its language's floor by so much over the root of n, in nats an n-gram.
+SLACK = 10.0
 
 
 def _letters() -> np.ndarray:
@@ -54,7 +56,10 @@ def features(texts: list[str], bits: int) -> tuple[list[np.ndarray], np.ndarray,
         mixed ^= mixed >> np.uint32(15)
         any_letter = any_letter | seen
         bucket = ((mixed * np.uint32(0x27D4EB2F)) >> shift).astype(np.int64)
-        out.append(np.where(any_letter & letter | (any_letter & (n > 0) & ~letter), np.maximum(bucket, 1), 0))
+        found = np.where(any_letter & letter | (any_letter & (n > 0) & ~letter), np.maximum(bucket, 1), 0)
+        for k in range(1, n + 1):
+            found[starts + lengths - k] = 0
+        out.append(found)
     has = np.add.reduceat(letter.astype(np.int64), starts) > 0 if len(texts) else np.zeros(0, dtype=bool)
     return out, starts, has
 
@@ -70,6 +75,11 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _fit(logs, grams):
+    """Mean log probability of an n-gram, with the slack of short texts."""
+    return logs / grams + SLACK / np.sqrt(grams)
+
+
 @dataclass
 class LanguageModel:
     """langs in order; table[n-gram order, bucket, lang] holds log probabilities, bucket 0 zeros; prior logs."""
@@ -78,12 +88,18 @@ class LanguageModel:
     bits: int
     prior: np.ndarray = field(default_factory=lambda: np.zeros(0))
     table: np.ndarray = field(default_factory=lambda: np.zeros((3, 0, 0), dtype=np.float32))
+    #: For each language the least fit of its texts; only where train() was asked for it.
+    floor: np.ndarray | None = None
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The most probable language and its posterior; ``und`` with 0 for a text without a letter."""
-        pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        return self.fitted(texts)[:2]
+
+    def fitted(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """As predict(), and by how much each text's fit lies above the floor of its language, negative below it."""
+        pred, score, above = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
         if not self.langs:
-            return pred, score
+            return pred, score, above
         whole = [t or "" for t in texts]
         for lo, hi in _chunks(whole):
             buckets, starts, has = features(whole[lo:hi], self.bits)
@@ -92,20 +108,28 @@ class LanguageModel:
                 for k in range(len(self.langs)):
                     logs[:, k] += np.add.reduceat(self.table[n, :, k][buckets[n]], starts, dtype=np.float64)
             best = logs.argmax(axis=1)
+            grams = np.maximum(sum(np.add.reduceat((b > 0).astype(np.int64), starts) for b in buckets), 1)
+            fit = _fit((logs - self.prior)[np.arange(hi - lo), best], grams)
+            over = fit - (self.floor[best] if self.floor is not None else -np.inf)
             top = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
             for k in np.flatnonzero(has):
                 pred[lo + k] = self.langs[best[k]]
                 score[lo + k] = top[k]
-        return pred, score
+                above[lo + k] = over[k]
+        return pred, score, above
 
 
-def train(labelled: DataFrame, per_language: int = 4000, bits: int = 13, max_languages: int = 512) -> LanguageModel:
+def train(labelled: DataFrame, per_language: int = 4000, bits: int = 13, max_languages: int = 512, floors: bool = False) -> LanguageModel:
     """Fit on rows (doc_id, text, lang): at most about ``per_language`` documents of each language.
 
     The bounded sample takes the documents whose seeded hash of (doc_id, lang) lies below per_language / count,
     so it is the same in every run. The counts of all n-grams of the sampled whole texts are summed by Spark;
     what comes to the driver is one matrix of languages x 3 x 2^bits at most. Rows with a null text or lang
     teach nothing. More than ``max_languages`` labels raise an error.
+
+    ``floors`` also fits, on the sample, the least mean log probability of an n-gram in each language: as far
+    below the first percentile as that lies below the median, half a nat at least. Each text is held against
+    the counts of the others only.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages + 1).collect()}
@@ -138,7 +162,31 @@ def train(labelled: DataFrame, per_language: int = 4000, bits: int = 13, max_lan
     logs = np.log((total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * ((1 << bits) - 1)))
     logs[:, 0, :] = 0
     weight = np.array([counts[x] for x in langs], dtype=float)
-    return LanguageModel(langs, bits, np.log(weight / weight.sum()), logs.astype(np.float32))
+    model = LanguageModel(langs, bits, np.log(weight / weight.sum()), logs.astype(np.float32))
+    if not floors:
+        return model
+    sent = labelled.sparkSession.sparkContext.broadcast(total)
+
+    def without_own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = {x: k for k, x in enumerate(langs)}
+        for part in parts:
+            fits = []
+            for lang, text in zip(part["lang"], part["text"], strict=True):
+                buckets, _, _ = features([text], bits)
+                log, grams = 0.0, 0
+                for n in range(3):
+                    own = np.bincount(buckets[n], minlength=1 << bits)
+                    own[0] = 0
+                    rest = sent.value[n, :, place[lang]] - own
+                    log += float((own * np.log((rest + 0.5) / (rest.sum() + 0.5 * ((1 << bits) - 1)))).sum())
+                    grams += int(own.sum())
+                fits.append(_fit(log, grams) if grams else None)
+            yield pd.DataFrame({"lang": part["lang"], "fit": pd.Series(fits, dtype=float)})
+
+    fits = sample.mapInPandas(without_own, "lang string, fit double").where("fit IS NOT NULL AND NOT isnan(fit)")
+    least = {r["lang"]: r["q"] for r in fits.groupBy("lang").agg(F.percentile_approx("fit", [0.01, 0.5], F.lit(10_000)).alias("q")).collect()}
+    model.floor = np.array([q[0] - max(q[1] - q[0], 0.5) if (q := least.get(x)) else -np.inf for x in langs])
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -161,14 +209,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_confident(docs: DataFrame, model: LanguageModel, sure: float) -> DataFrame:
     """The rows of docs, with all their columns, whose language is predicted with a probability of ``sure`` or more.
 
-    Texts that are null or without a letter have no language and go.
+    Texts that are null or without a letter have no language and go, and so do those whose n-grams are rarer than
+    the floor of the language predicted, if the model has floors: among languages that all fit badly one still wins.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def confident(text: pd.Series) -> pd.Series:
-        pred, prob = sent.value.predict(text.tolist())
-        return pd.Series([p != UNDETERMINED and bool(q >= sure) for p, q in zip(pred, prob, strict=True)], dtype=bool)
+        pred, prob, above = sent.value.fitted(text.tolist())
+        return pd.Series([p != UNDETERMINED and bool(q >= sure and a >= 0) for p, q, a in zip(pred, prob, above, strict=True)], dtype=bool)
 
     return docs.where(confident(F.col("text").cast("string")))
 

@@ -311,6 +311,27 @@ def test_language_id(spark, docs, no_docs):
     assert language.language_id(no_docs).count() == 0
 
 
+def test_ngrams_end_with_their_text():
+    texts = ["a", "bcd", "", "12", "école  x"]
+    together, starts, _ = language.features(texts, 13)
+    for k, text in enumerate(texts):
+        alone, _, _ = language.features([text], 13)
+        for n in range(3):
+            assert together[n][starts[k] : starts[k] + len(text) + 2].tolist() == alone[n].tolist(), (text, n)
+
+
+def test_texts_of_no_learned_language_go(spark):
+    from demandlens.session import table
+
+    known = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    rng = random.Random(9)
+    junk = [(-k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60))) for k in range(1, 41)]
+    taught = language.train(known.where(~language.held_out(known["doc_id"])), floors=True)
+    clean = known.where(language.held_out(known["doc_id"]))
+    assert language.keep_confident(clean, taught, 0.5).count() >= 0.99 * language.keep_confident(clean, language.train(known.where(~language.held_out(known["doc_id"]))), 0.5).count()
+    assert language.keep_confident(spark.createDataFrame(junk, "doc_id long, text string"), taught, 0.5).count() == 0
+
+
 def test_mix(spark, docs, no_docs):
     import re
 
