@@ -21,9 +21,7 @@ SLACK = 10.0
 
 def _letters() -> np.ndarray:
     """For each code point: is it a letter."""
-    table = np.zeros(0x110000, dtype=bool)
-    table[:0x32000] = [chr(c).isalpha() for c in range(0x32000)]
-    return table
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 _LETTERS: np.ndarray | None = None

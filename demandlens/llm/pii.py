@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from demandlens.llm.util import doc_columns
 
 ROUNDS = 8
+#: Values of more digits and letters are permuted by halves of digits instead of as one number.
+LONG = 64
+#: Where a session names no key of its own; it protects nothing.
+DEMO_KEY = b"a key for tests"
+KEY_SETTING = "spark.demandlens.pseudonyms.key"
 _DAY_ONE = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY_ONE
 _GROUP = re.compile("[A-Za-z0-9]+")
@@ -26,9 +31,14 @@ class Feistel:
     def __init__(self, key: bytes):
         self.key = hashlib.sha256(key).digest()
 
+    def _stream(self, tag: str, k: int, data: bytes, size: int) -> bytes:
+        """``size`` bytes that depend on the key, the tag, the round and the data."""
+        head = hashlib.blake2b(f"{len(tag)}|{tag}|{k}|".encode() + data, key=self.key, digest_size=64).digest()
+        return hashlib.shake_256(head).digest(size)
+
     def _round(self, tag: str, k: int, value: int, modulus: int) -> int:
-        data = hashlib.blake2b(f"{tag}|{k}|{value}".encode(), key=self.key, digest_size=32).digest()
-        return int.from_bytes(data, "big") % modulus
+        wide = modulus.bit_length() // 8 + 17  # 128 bits more than the modulus, so that no value is likelier than another
+        return int.from_bytes(self._stream(tag, k, value.to_bytes(value.bit_length() // 8 + 1, "big"), wide), "big") % modulus
 
     def permute(self, value: int, size: int, tag: str, back: bool = False, within: Callable[[int], bool] | None = None) -> int:
         """``within`` narrows the domain to the values it holds for; the walk goes on until it does."""
@@ -47,6 +57,19 @@ class Feistel:
             if value < size and (within is None or within(value)):
                 return value
 
+    def permute_symbols(self, values: list[int], radixes: list[int], tag: str, back: bool = False) -> list[int]:
+        """The same for a long sequence of digits of the radixes given, in time that grows with its length: each round
+        adds a stream keyed by one half to the other, digit by digit."""
+        half = len(values) // 2
+        parts = [values[:half], values[half:]]
+        bases = [radixes[:half], radixes[half:]]
+        for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            mine, other = k % 2, 1 - k % 2
+            stream = self._stream(tag, k, bytes(parts[other]), 8 * len(parts[mine]))
+            steps = (int.from_bytes(stream[8 * i : 8 * i + 8], "big") for i in range(len(parts[mine])))
+            parts[mine] = [(v - s if back else v + s) % r for v, s, r in zip(parts[mine], steps, bases[mine], strict=True)]
+        return parts[0] + parts[1]
+
 
 def luhn_digit(digits: str) -> str:
     """Check digit that makes digits + it pass the Luhn test."""
@@ -103,20 +126,22 @@ class Pseudonyms:
     def _mixed(self, text: str, tag: str) -> str:
         """Permute the digits and letters of a text among the texts of the same shape."""
         parts = _classes(text)
-        value, size = 0, 1
-        for v, radix in parts:
-            value, size = value * radix + v, size * radix
-        if size == 1:
-            return text
-        value = self._permute(value, size, f"{tag}:{''.join('d' if r == 10 else 'a' for _, r in parts)}")
-        out = []
-        for c in reversed(text):
-            if kind := _classes(c):
-                value, digit = divmod(value, kind[0][1])
-                out.append(chr(ord("0" if c <= "9" else "a" if c >= "a" else "A") + digit))
-            else:
-                out.append(c)
-        return "".join(reversed(out))
+        tag = f"{tag}:{''.join('d' if r == 10 else 'a' for _, r in parts)}"
+        if len(parts) > LONG:
+            new = self.feistel.permute_symbols([v for v, _ in parts], [r for _, r in parts], tag, self.back)
+        else:
+            value, size = 0, 1
+            for v, radix in parts:
+                value, size = value * radix + v, size * radix
+            if size == 1:
+                return text
+            value, new = self._permute(value, size, tag), []
+            for _, radix in reversed(parts):
+                value, digit = divmod(value, radix)
+                new.append(digit)
+            new.reverse()
+        digits = iter(new)
+        return "".join(chr(ord("0" if c <= "9" else "a" if c >= "a" else "A") + next(digits)) if _classes(c) else c for c in text)
 
     def _replaced(self, kind: str, text: str) -> str | None:
         """The pseudonym of a value, None if it isn't a valid one of its kind."""
@@ -128,7 +153,8 @@ class Pseudonyms:
         return self._mixed(local, "email") + "@" + ".".join([*(self._mixed(x, "host") for x in labels[:-2]), *labels[-2:]])
 
     def _secret(self, text: str) -> str:
-        return f"{self._permute(int(text, 16), 16 ** len(text), f'hex{len(text)}'):0{len(text)}x}"
+        new = self.feistel.permute_symbols([int(c, 16) for c in text], [16] * len(text), f"hex{len(text)}", self.back)
+        return "".join(f"{x:x}" for x in new)
 
     def _iban(self, text: str) -> str | None:
         bare = text.replace(" ", "")
@@ -287,7 +313,8 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     of 1900 to 2099, phone numbers keep their country code, e-mail addresses their registered domain, IPv4
     addresses stay addresses (their octets may change length), days and months of one digit stay such. Where a
     match fails validation, the longest valid value of any kind inside it is taken; what is still none stays.
-    ``kinds`` counts values by kind. A null text stays null with 0 values; repeated rows are all returned.
+    ``kinds`` counts values by kind. A null text stays null with 0 values; repeated rows are all returned. Values of
+    any length are taken. Only doc_id and text are read, whatever other columns are called.
     ``back`` with the same key restores the texts but for values whose pseudonym is part of a longer match.
     """
 
@@ -320,6 +347,8 @@ def linked_values(pseudonyms: DataFrame) -> DataFrame:
     return per.groupBy("kind", "value").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_uses"))
 
 
-def op1_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes = b"a key of the deployment") -> DataFrame:
+def op1_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """The key is the caller's, or that of the session's setting KEY_SETTING."""
+    key = key or (spark.conf.get(KEY_SETTING, None) or "").encode() or DEMO_KEY
     found = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key)
     return found.select("doc_id", "text", "n_values", "kinds")

@@ -15,10 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A fresh path below spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the session names no such folder (tests on one machine) a temporary one is set.
+    On a cluster that setting must be there. A session whose tasks run in the driver's own process, as in tests, gets
+    a temporary folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="demandlens-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{tag}-{uuid.uuid4().hex}"
