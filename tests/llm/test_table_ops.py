@@ -81,6 +81,18 @@ def test_matches_of_distant_fingerprints(spark):
     assert all(r["similarity"] == pytest.approx(12 / 14) and r["start"] == 0 for r in got)
 
 
+def test_match_of_a_very_long_item(spark):
+    """80,000 words of which most repeat; a tenth of the windows around the best are alike too."""
+    rng = random.Random(80)
+    item = ["same"] * 30_000 + rng.choices([f"v{k}" for k in range(5000)], k=20_000) + ["again"] * 30_000
+    text = rng.choices("abcdefg", k=500) + item[:40_000] + ["other"] + item[40_001:] + rng.choices("abcdefg", k=300)
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, "same " * 50_000)], "doc_id long, text string")
+    (got,) = decontam.matches(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    have, want = Counter(cut(" ".join(text[500:80_500]), 5)[1]), Counter(cut(" ".join(item), 5)[1])
+    shared = sum((have & want).values())
+    assert (got["doc_id"], got["start"], got["n_words"]) == (1, 500, 80_000) and got["similarity"] == pytest.approx(shared / (2 * 79_996 - shared))
+
+
 def test_matches_without_items_or_documents(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.matches(docs, none).count() == 0
@@ -101,7 +113,7 @@ def test_lm_scores_equal_their_definition(spark, docs, no_docs):
             if not out(d):
                 seen.update([*t.encode().lower().split(), None])
         n, v = sum(seen.values()), len(seen)
-        got = lm.score_documents(made, slots=64, known_words=50, rounds=1).collect()
+        got = lm.score_documents(made, own=30, endings=8, vectors=40, known_words=50, rounds=1, shard_rows=500).collect()
         assert len(got) == len(rows)
         want = {}
         for d, t in rows:
@@ -115,26 +127,73 @@ def test_lm_scores_equal_their_definition(spark, docs, no_docs):
     assert lm.score_documents(no_docs).count() == 0
 
 
-def test_model_is_normalised_and_learns():
+def test_scores_equal_brute_force(spark):
+    """Every token's probability by the model's formula, worked out word by word over all classes."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices(["the", "cat", "sat", "on", "Mats.", "xyz", "running", "sitting", f"w{k}ing"], k=rng.randint(0, 9)))) for k in range(80)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    training = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = lm.stored(lm.word_counts(made.where(~lm.held_out(F.col("doc_id")))), "counts")
+    vocab = lm.vocabulary(counts, len(training), own=3, endings=4, vectors=5, known_words=7)
+    seen = Counter(w for _, t in training for w in t.lower().encode().split())
+    assert vocab.n == sum(seen.values()) + len(training) and vocab.v == len(seen) + 1
+    sent = spark.sparkContext.broadcast(vocab)
+    found = lm.stored(lm.ngrams(made.where(~lm.held_out(F.col("doc_id"))), sent, (vocab.n_contexts, vocab.n_classes)), "ngrams")
+    model = lm.train(found, vocab, 1, 50)
+    order = sorted(seen, key=lambda w: (-seen[w], w))
+    ids = {w: k + 1 for k, w in enumerate(order) if k < len(vocab.ids)}
+    ends = Counter()
+    for w in order[3:]:
+        ends[w[-2:]] += seen[w]
+    for w in order[:3]:
+        ends[w[-2:]] += 0
+    named = sorted(ends, key=lambda e: (-ends[e], e))[:3]
+    end = lambda w: named.index(w[-2:]) if w[-2:] in named else 3
+    klass = lambda w: 0 if w is None else ids[w] if ids.get(w, 9) <= 3 else 4 + end(w)
+    one_before = lambda w: 0 if w is None else ids[w] if ids.get(w, 9) <= 5 else 6 + end(w)
+    two_before = lambda w: klass(w) if klass(w) <= 3 else klass(w) - 4 + 6
+    grams = Counter()
+    for _, t in training:
+        tokens = [None, None, *t.lower().encode().split(), None]
+        for a, b, c in zip(tokens, tokens[1:], tokens[2:], strict=False):
+            grams[(two_before(a) * vocab.n_contexts + one_before(b)) * vocab.n_classes + klass(c)] += 1
+    assert grams == {r["code"]: r["n"] for r in found.collect()}
+    of_class, types = Counter(), Counter()
+    for w, c in seen.items():
+        of_class[klass(w)] += c
+        types[klass(w)] += 1
+    got = {r["doc_id"]: r["score"] for r in lm.score(made, counts, vocab, model).collect()}
+    for d, t in rows:
+        tokens, want = [None, None, *t.lower().encode().split(), None], 0.0
+        for a, b, c in zip(tokens, tokens[1:], tokens[2:], strict=False):
+            h = model.r[two_before(a)] * model.c1 + model.r[one_before(b)] * model.c2
+            s = [math.exp(float(q @ h) + float(bias)) for q, bias in zip(model.q, model.b, strict=True)]
+            want += math.log10(s[klass(c)] / sum(s))
+            if klass(c) > 3:
+                want += math.log10((seen[c] + 1) / (of_class[klass(c)] + types[klass(c)] + 1))
+        assert got[d] == pytest.approx(want, rel=1e-4), d
+
+
+def test_model_learns():
     rng = np.random.default_rng(0)
     n = 16
-    codes = np.array([(u * n + v) * n + (v + 1) % n for u in range(n) for v in range(n)])
-    counts = rng.integers(1, 50, len(codes))
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+    w, counts = (v + 1) % n, rng.integers(1, 50, n * n)
     unigram = np.full(n, 1 / n)
-    model = lm.LogBilinear.start(unigram, 8)
-    before = model.table().reshape(-1)[codes].mean()
+    model = lm.LogBilinear.start(unigram, n, 8)
+    before = model.log_probabilities(u, v, w).mean()
     for k in range(30):
-        model = lm.nce_round(model, codes, counts, unigram, k, 0.1)
-    table = model.table()
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
-    assert table.reshape(-1)[codes].mean() > before + 0.3
+        model, met = lm.nce_pass(model, u, v, w, counts, unigram, k, 0.1)
+    assert met.sum() == 2 * n * n and model.log_probabilities(u, v, w).mean() > before + 0.3
+    every = np.array([model.log_probabilities(u, v, np.full(n * n, k)) for k in range(n)])
+    assert np.allclose((10.0**every).sum(axis=0), 1, atol=1e-4)
 
 
 def test_held_out_gain(spark):
     from demandlens.session import table
 
     got = lm.score_documents(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
-    assert got["s"] > 1.02 * got["b"]  # scores are negative: within two percent of the unigram at the least
+    assert got["s"] > 0.97 * got["b"]  # scores are negative: three percent above the unigram at the least
 
 
 # --- operator 7

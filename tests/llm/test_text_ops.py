@@ -74,6 +74,58 @@ def test_values_beside_other_numbers():
     assert len(shape) == 2 * 9 * 19 and all(len(x) == 9 for x in shape)
 
 
+@pytest.mark.parametrize("value", ['"' + "0123456789abcdef" * 1250 + '"', "ab1" * 3334 + "@x.example.com"])
+def test_long_values(spark, value):
+    there, back = pii.Pseudonyms(b"secret"), pii.Pseudonyms(b"secret", back=True)
+    made = pii.pseudonymise(spark.createDataFrame([(1, value, "x")], "doc_id long, text string, kinds string"), b"secret").first()
+    new, spans = there.text(value)
+    assert made["text"] == new != value and len(spans) == 1 and len(new) == len(value) and back.text(new)[0] == value
+
+
+def test_no_place_of_a_secret_is_kept():
+    """Over 1600 secrets of 512 digits, none of the digits' places stays more often than one in 16 does by chance."""
+    names, rng, kept = pii.Pseudonyms(b"secret"), random.Random(8), np.zeros(512)
+    for _ in range(1600):
+        value = f"{rng.getrandbits(2048):0512x}"
+        new = names.text(f'"{value}"')[0][1:-1]
+        kept += [a == b for a, b in zip(value, new, strict=True)]
+    assert kept.max() < 100 + 6 * (1600 / 16) ** 0.5 and 0.9 * 1600 / 16 < kept.mean() < 1.1 * 1600 / 16
+
+
+def test_letters_of_all_planes(spark):
+    rows = [(k, "ab cd ef", "en") for k in range(40)] + [(100, "\U00032000\U000323af", None), (101, "\U0001f600", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == "en" and got[101] == "und"
+
+
+def test_languages_equal_brute_force(spark):
+    """The posterior of naive Bayes over 1- to 3-grams, counted without numpy."""
+    from math import exp, log
+
+    rows = [(k, t, g) for k, (t, g) in enumerate([("the cat sat", "en"), ("le chat noir", "fr"), ("a dog ran", "en"), ("un chien brun", "fr"), ("cat", "fr"), ("Zut, alors 12", "en")] * 3)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bits=13)
+    count = {g: [{}, {}, {}] for g in ("en", "fr")}
+
+    def grams(text):
+        buckets, starts, _ = language.features([text], 13)
+        return [[int(b) for b in found if b] for found in buckets]
+
+    for _, text, g in rows:
+        for n, found in enumerate(grams(text)):
+            for b in found:
+                count[g][n][b] = count[g][n].get(b, 0) + 1
+    for text in ("the chat", "dog", "noir un"):
+        logs = {}
+        for g in count:
+            logs[g] = log(sum(x[2] == g for x in rows) / len(rows))
+            for n, found in enumerate(grams(text)):
+                total = sum(count[g][n].values())
+                logs[g] += sum(log((count[g][n].get(b, 0) + 0.5) / (total + 0.5 * (2**13 - 1))) for b in found)
+        best = max(logs, key=logs.get)
+        pred, score = model.predict([text])
+        assert pred == [best] and score[0] == pytest.approx(1 / sum(exp(x - logs[best]) for x in logs.values()), rel=1e-4)
+
+
 def test_pseudonyms_link_documents(spark, docs, no_docs):
     made = spark.createDataFrame([(1, "mail a.b@x.example.com and 10.1.2.3"), (2, "again 10.1.2.3"), (None, "10.1.2.3"), (4, None)], "doc_id long, text string")
     found = pii.pseudonymise(made, b"k")
@@ -356,8 +408,43 @@ def test_mix(spark, docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def brute_targets(totals, cap=3.0):
+    order = sorted((s for s in totals if s is not None)) + [None] * (None in totals)
+    weight, open_, want, rest = {s: k % 3 + 1 for k, s in enumerate(order)}, list(order), {}, float(sum(totals.values()))
+    while open_:
+        share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = [s for s in open_ if share[s] > cap * totals[s]]
+        if not full:
+            return want | share
+        for s in full:
+            want[s] = cap * totals[s]
+            open_.remove(s)
+        rest = sum(totals.values()) - sum(want.values())
+    return want
+
+
+@pytest.mark.parametrize("totals", [{"a": 100, "b": 100, None: 100}, {"a": 1000, "b": 10}, {"z": 5, "é": 900, "b": 1, "c": 70, None: 0}, {"a": 0}])
+def test_targets_equal_brute_force(spark, totals):
+    got = mixing.targets(spark.createDataFrame(list(totals.items()), "source string, source_size long")).collect()
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(brute_targets(totals))
+
+
+def test_mixed_rows_are_those_of_the_mix(spark):
+    """Repeated and null ids, over several sources, with rows alike of which a part is taken."""
+    made = [(k % 7 or None, f"w{k % 5} " * (k % 4), "abc"[k % 3], k) for k in range(300)] + [(1, "same text here", "a", 0)] * 500
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, _size int").repartition(5)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    rows = mixing.mixed_rows(docs).collect()
+    got = {}
+    for r in rows:
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert got == taken and all(r["text"] for r in rows)
+    assert {tuple(r) for r in rows} <= {tuple(r) for r in made + [(1, "same text here", "a", 0)]}
+    assert 0 < sum(r["text"] == "same text here" for r in rows) % 500
+
+
 def test_budgets():
-    assert mixing.targets([("a", 100), ("b", 100), (None, 100)]) == pytest.approx({"a": 50, "b": 100, None: 150})
-    assert mixing.targets([("a", 1000), ("b", 10)]) == pytest.approx({"a": 980, "b": 30})
     take = mixing.fit_budget(np.array([3, 5, 7]), np.array([2, 2, 2]), 19)
     assert 12 < (take * np.array([3, 5, 7])).sum() <= 19 and (take <= 2).all()
