@@ -144,7 +144,8 @@ def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
     found = stored(near_duplicates(docs, words, distance), "groups")
     kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_copies"))
     kept = stored(kept, "kept")
-    out = docs.join(kept.drop("_copies"), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    # a join by shuffle at every size: the table of ids grows with the documents
+    out = docs.join(kept.drop("_copies").hint("merge"), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
     if kept.where("_copies > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id IS NULL"))
