@@ -7,11 +7,30 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 JOB_TYPES = {
-    "full time": "Full-time", "full-time": "Full-time", "fulltime": "Full-time", "part time": "Part-time", "part-time": "Part-time", "parttime": "Part-time",
-    "contract": "Contract", "contractor": "Contract", "temporary": "Temporary", "internship": "Internship", "intern": "Internship",
+    "full time": "Full-time", "full-time": "Full-time", "fulltime": "Full-time", "intern": "Internship", "internship": "Internship", "part time": "Part-time",
+    "part-time": "Part-time", "parttime": "Part-time", "contract": "Contract", "temporary": "Temporary", "temp": "Temporary",
+}
+STOP_WORDS = [
+    "a", "an", "and", "for", "in", "of", "or", "the", "to", "with", "skill", "skills", "tool", "tools", "technology", "technologies",
+    "engineering", "engineer", "implementation", "implementations", "solution", "solutions",
+]
+EXPANSIONS = {
+    "ai": ["artificial", "intelligence", "machine", "learning", "genai"], "llm": ["large", "language", "models", "model", "generative", "ai"],
+    "ml": ["machine", "learning"], "etl": ["extract", "transform", "load", "data"], "db": ["database", "databases"],
+    "devops": ["cloud", "infrastructure", "deployment"], "ot": ["operational", "technology", "security", "cybersecurity"], "nas": ["storage", "network", "infrastructure"],
+}
+SOURCE_HOSTS = {
+    "linkedin.com": "LINKEDIN", "joinhandshake.com": "HANDSHAKE", "handshake.com": "HANDSHAKE", "my.greenhouse.io": "GREENHOUSE",
+    "boards.greenhouse.io": "GREENHOUSE", "job-boards.greenhouse.io": "GREENHOUSE", "jobs.lever.co": "LEVER",
+}
+SPECIFIC_SOURCES = ["LINKEDIN", "HANDSHAKE", "GREENHOUSE", "LEVER", "RSS", "API"]
+BROADER = ["broader", "broader than", "broaderthan"]
+NARROWER = ["narrower", "narrower than", "narrowerthan"]
+SPELLINGS = {
+    "aws": "AWS", "api": "API", "apis": "APIs", "css": "CSS", "django": "Django", "docker": "Docker", "graphql": "GraphQL", "html": "HTML", "javascript": "JavaScript",
+    "kubernetes": "Kubernetes", "machine learning": "Machine Learning", "mysql": "MySQL", "node.js": "Node.js", "postgresql": "PostgreSQL", "python": "Python",
+    "react": "React", "rest": "REST", "sql": "SQL", "typescript": "TypeScript",
 }
-STOP_WORDS = ["and", "are", "for", "from", "have", "into", "our", "that", "the", "this", "with", "you", "your", "will", "can", "has", "its", "not", "all", "any", "but", "who"]
-SOURCE_HOSTS = {"linkedin.com": "LINKEDIN", "greenhouse.io": "GREENHOUSE", "lever.co": "LEVER", "joinhandshake.com": "HANDSHAKE"}
 CONFIDENCE = {"high": 0.9, "medium": 0.6, "moderate": 0.6, "low": 0.3}
 
 
@@ -80,6 +99,39 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: (F.length(x) > 1) & ~x.isin(STOP_WORDS)))
 
 
+def expanded_tokens(text: Column) -> Column:
+    """The tokens with the words that their abbreviations stand for."""
+    found = tokens(text)
+    table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    more = F.flatten(F.transform(found, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))
+    return F.array_union(found, more)
+
+
+def display_name(text: Column) -> Column:
+    """Known spellings; a name all in one case gets capitals; others stay."""
+    bare = F.btrim(collapse(text), F.lit(".,;:|/\\<>"))
+    cased = bare.rlike(r"\p{L}") & ((bare == F.lower(bare)) | (bare == F.upper(bare))) & (F.lower(bare) != F.upper(bare))
+    capital = F.array_join(F.transform(F.split(collapse(bare), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), " ")
+    return F.coalesce(lookup(SPELLINGS, F.lower(bare)), F.when(cased, capital).otherwise(bare))
+
+
+def compound_names(text: Column) -> Column:
+    """The text outside parentheses and each short one inside that could stand alone, the first of each name."""
+    bare = F.btrim(collapse(text), F.lit(".,;:|/\\<>"))
+    inner = F.transform(F.regexp_extract_all(bare, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.btrim(collapse(x), F.lit(".,;:|/\\<>")))
+    inner = F.filter(inner, lambda x: x.rlike("[A-Za-z0-9]") & ~x.contains(",") & ~x.contains(":") & (F.size(F.split(x, " ")) <= 4))
+    outer = F.filter(F.array(F.trim(F.regexp_replace(bare, r"\([^()]*\)", " "))), lambda x: x != "")
+    parts = F.concat(outer, inner)
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.filter(F.array(bare), lambda x: x != ""))
+    names = F.filter(F.transform(parts, display_name), lambda x: normalize_name(x) != "")
+    return distinct_by(names, normalize_name)
+
+
+def evidence_text(text: Column) -> Column:
+    """White space collapsed, in lower case; empty for null."""
+    return F.lower(collapse(F.coalesce(text, F.lit(""))))
+
+
 def search_tokens(text: Column) -> Column:
     parts = F.transform(F.split(collapse(text), r"(?U)[\s,]+"), lambda x: F.btrim(x, F.lit("()[]{}")))
     return distinct_by(F.filter(parts, lambda x: F.length(x) > 0), F.lower)
@@ -103,20 +155,26 @@ def split_labels(text: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)), r"^www\.", "")
-
-
-def detect_source(url: Column, default: str = "CAREER_SITE") -> Column:
-    """The source whose domain the host is or lies under."""
-    name, out = host(url), F.lit(default)
-    for domain, source in SOURCE_HOSTS.items():
+    """The host of a URL, with or without a scheme; without user, port, a last dot and www."""
+    bare = F.trim(url)
+    full = F.when(bare.contains("://"), bare).otherwise(F.concat(F.lit("https://"), bare))
+    place = F.lower(F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    name = F.rtrim(F.element_at(F.split(F.element_at(F.split(place, "@"), -1), ":"), 1), F.lit("."))
+    return F.regexp_replace(name, r"^www\.", "")
+
+
+def detect_source(url: Column, resource: Column | None = None) -> Column:
+    """The source whose domain the host is or lies under; else the declared resource if it is a specific one; else a career site."""
+    name, out = host(url), F.lit(None).cast("string")
+    for domain, source in reversed(SOURCE_HOSTS.items()):
         out = F.when((name == domain) | name.endswith(f".{domain}"), source).otherwise(out)
-    return out
+    declared = F.when(resource.isin(SPECIFIC_SOURCES), resource) if resource is not None else F.lit(None).cast("string")
+    return F.coalesce(out, declared, F.lit("CAREER_SITE"))
 
 
 def relation_type(text: Column) -> Column:
     key = F.lower(F.trim(text))
-    return F.when(key.isin("broader", "broadertransitive", "broader_than"), "broader").when(key.isin("narrower", "narrowertransitive", "narrower_than"), "narrower").otherwise("related")
+    return F.when(key.isin(BROADER), "broader").when(key.isin(NARROWER), "narrower").otherwise("related")
 
 
 def confidence(text: Column) -> Column:
@@ -140,7 +198,7 @@ def whole_word(text: Column, word: str) -> Column:
     return F.lower(text).rlike(rf"\b{escaped}\b")
 
 
-def occurrences(text: Column, term: str) -> Column:
-    """How often a term occurs in a text, case ignored, without overlap."""
-    low = F.lower(text)
-    return F.floor((F.length(low) - F.length(F.replace(low, F.lit(term.lower()), F.lit("")))) / len(term)).cast("long")
+def occurrences(text: Column, term: Column) -> Column:
+    """How often a term occurs in a text, without overlap; 0 for an empty term."""
+    gone = F.length(text) - F.length(F.replace(text, term, F.lit("")))
+    return F.coalesce(F.floor(gone / F.nullif(F.length(term), F.lit(0))), F.lit(0)).cast("long")

@@ -13,12 +13,12 @@ def demand(links: DataFrame, as_of: str) -> DataFrame:
 
     The look-back windows have no upper bound.
     """
-    def since(days: int):
-        return F.countDistinct(F.when(F.col("created_at") >= F.expr(f"TIMESTAMP_NTZ'{as_of}' - INTERVAL {days} DAYS"), F.col("job_post_id")))
-
-    rows = links.groupBy("skill_set_id").agg(
-        F.count("*").alias("total_occurrences"), F.countDistinct("job_post_id").alias("unique_jobs"), F.min("created_at").alias("first_seen"),
-        F.max("created_at").alias("last_seen"), since(30).alias("rolling_30"), since(90).alias("rolling_90"),
+    # a job counts in a window if its latest link to the skill lies there, so one row of each skill and job is enough
+    once = links.groupBy("skill_set_id", "job_post_id").agg(F.count("*").alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    since = lambda days: F.count_if(F.col("last") >= F.expr(f"TIMESTAMP_NTZ'{as_of}' - INTERVAL {days} DAYS"))
+    rows = once.groupBy("skill_set_id").agg(
+        F.sum("n").alias("total_occurrences"), F.count("*").alias("unique_jobs"), F.min("first").alias("first_seen"),
+        F.max("last").alias("last_seen"), since(30).alias("rolling_30"), since(90).alias("rolling_90"),
     )
     r30, r90 = F.col("rolling_30"), F.col("rolling_90")
     rows = rows.withColumn("ratio", growth_ratio(r30, r90))

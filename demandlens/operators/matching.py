@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.functions.numbers import clamp, percentage
-from demandlens.functions.vectors import cosine
+from demandlens.functions.vectors import dot, norm
 
 
 def application_comparison(applications: DataFrame, application_skills: DataFrame, links: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def comparison_lists(compared: DataFrame) -> DataFrame:
 
 def job_matches(links: DataFrame, resume: DataFrame, jobs: DataFrame, limit: int = 20) -> DataFrame:
     """Jobs that share a skill with the resume; best share first, archived jobs included."""
-    marked = links.select("job_post_id", "skill_set_id").join(F.broadcast(resume.select("skill_set_id", F.lit(1).alias("own"))), "skill_set_id", "left")
+    marked = links.select("job_post_id", "skill_set_id").join(resume.select("skill_set_id", F.lit(1).alias("own")), "skill_set_id", "left")
     per = marked.groupBy("job_post_id").agg(F.count("own").alias("matched"), F.count("*").alias("required")).where("matched > 0")
     per = per.withColumn("match_percent", percentage(F.col("matched"), F.col("required")))
     named = per.join(jobs.selectExpr("id AS job_post_id", "title", "company_id"), "job_post_id")
@@ -38,7 +38,7 @@ def job_matches(links: DataFrame, resume: DataFrame, jobs: DataFrame, limit: int
 def missing_categories(star: DataFrame, resume: DataFrame) -> DataFrame:
     """Categories with jobs in which the resume has no skill."""
     counts = star.groupBy("skill_category").agg(F.countDistinct("job_post_id").alias("job_count"))
-    have = star.join(F.broadcast(resume), "skill_set_id", "left_semi").select("skill_category").distinct()
+    have = star.join(resume, "skill_set_id", "left_semi").select("skill_category").distinct()
     return counts.join(have, "skill_category", "left_anti")
 
 
@@ -64,34 +64,64 @@ def whole_percentages(counts: DataFrame, value: str, order: list[str]) -> DataFr
     return rows.withColumns({"first": first, "rest": rest}).withColumn("percent", F.col("share") + F.when(F.col("first"), F.col("rest")).otherwise(0)).drop("first", "rest", "share")
 
 
-def top_k(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
-    """Exact nearest neighbours by cosine. ``query`` is one vector, or rows (query_id, query) of a bounded query set.
+#: Query vectors to a block that is broadcast; a block of such rows has a size that doesn't grow with the data.
+BLOCK = 2000
 
-    Each task keeps the k best of its own vectors for every query before anything is shuffled.
+
+def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, similarity) of vectors (id, embedding) and a stated set of queries (query_id, query), zero vectors left out.
+
+    Norms are worked out once for each vector. The queries are dealt to blocks of a bounded size, and every block meets all
+    vectors: a search by a stated set against all rows, in blocks.
     """
-    if not isinstance(query, DataFrame):
-        found = vectors.withColumn("similarity", cosine(F.col("embedding"), F.array(*map(F.lit, query))))
-        return found.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(k or 10).select("id", "similarity")
-    pairs = vectors.join(F.broadcast(query)).where("id <> query_id").withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.where(F.col("similarity") >= least).select("query_id", "id", "similarity").withColumn("rank", rank).where(F.col("rank") <= k)
+    left = vectors.select("id", F.col("embedding").alias("e"), norm(F.col("embedding")).alias("ne"))
+    right = queries.select("query_id", F.col("query").alias("q"), norm(F.col("query")).alias("nq"))
+    n = right.count()
+    parts = [right] if n <= BLOCK else [right.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == k) for k in range(-(-n // BLOCK))]
+    found = [left.join(F.broadcast(p), F.size("e") == F.size("q")).select("query_id", "id", (dot(F.col("e"), F.col("q")) / F.nullif(F.col("ne") * F.col("nq"), F.lit(0.0))).alias("similarity")) for p in parts]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.where("similarity IS NOT NULL")
 
 
-def best_match(resume: DataFrame, market: DataFrame) -> DataFrame:
-    """For each resume vector (query_id, query), a bounded set: the most similar market vector, the smaller id of equals."""
-    pairs = market.join(F.broadcast(resume)).withColumn("similarity", clamp(F.coalesce(cosine(F.col("embedding"), F.col("query")), F.lit(0.0)), 0.0, 1.0))
-    best = pairs.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("m"))).alias("x"))
-    return best.select("query_id", (-F.col("x.m")).alias("id"), F.col("x.similarity").alias("similarity"))
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
+    """Exact nearest neighbours by cosine of rows (query_id, query), of a similarity of ``least`` or more.
+
+    Each task keeps the k best of its own vectors for every query before anything is shuffled.
+    """
+    pairs = similarities(vectors, queries).where((F.col("id") != F.col("query_id")) & (F.col("similarity") >= least))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def market_matches(resume: DataFrame, vectors: DataFrame, skills: DataFrame, demands: DataFrame) -> DataFrame:
+    """(query_id, id, similarity, demand) of each active skill of a resume: itself with 1 if it is in demand, else the most
+    similar skill in demand that has a vector, the first by name of equals; without one null with 0."""
+    wanted = demands.select(F.col("skill_set_id").alias("id"), "demand")
+    mine = resume.select(F.col("skill_set_id").alias("query_id")).join(skills.where("is_active").select(F.col("id").alias("query_id")), "query_id", "left_semi")
+    own = mine.join(wanted.withColumnRenamed("id", "query_id"), "query_id", "left").withColumnRenamed("demand", "own_demand")
+    offered = vectors.join(wanted, "id")
+    queries = vectors.selectExpr("id AS query_id", "embedding AS query").join(own.where("own_demand IS NULL"), "query_id", "left_semi")
+    pairs = similarities(offered.select("id", "embedding"), queries).join(skills.select("id", "name"), "id")
+    best = pairs.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "name", "id")).alias("x"))
+    best = best.select("query_id", F.col("x.id").alias("id"), clamp(-F.col("x.s"), 0.0, 1.0).alias("similarity")).join(wanted, "id", "left")
+    both = own.join(best, "query_id", "left")
+    direct = F.col("own_demand").isNotNull()
+    return both.select(
+        "query_id", F.when(direct, F.col("query_id")).otherwise(F.col("id")).alias("id"), F.when(direct, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"),
+        F.coalesce("own_demand", "demand", F.lit(0)).cast("long").alias("demand"),
+    )
 
 
 def most_similar_per_market(resume: DataFrame, market: DataFrame) -> DataFrame:
     """For each market vector, its largest similarity to the resume's."""
-    pairs = market.join(F.broadcast(resume)).withColumn("similarity", clamp(F.coalesce(cosine(F.col("embedding"), F.col("query")), F.lit(0.0)), 0.0, 1.0))
-    return pairs.groupBy("id").agg(F.max("similarity").alias("similarity"))
+    best = similarities(market, resume).groupBy("id").agg(F.max("similarity").alias("best"))
+    return market.select("id").join(best, "id", "left").select("id", clamp(F.coalesce("best", F.lit(0.0)), 0.0, 1.0).alias("similarity"))
 
 
-def market_fit(similar: DataFrame, demands: DataFrame) -> DataFrame:
-    """Demand-weighted mean similarity in percent; a skill counts as matched from 0.7 on."""
-    rows = demands.where("demand > 0").join(similar.withColumnRenamed("id", "skill_set_id"), "skill_set_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    fit = clamp(F.sum(F.col("demand") * F.col("similarity")) / F.sum("demand"), 0.0, 1.0)
-    return rows.agg(F.round(100 * F.coalesce(fit, F.lit(0.0)), 1).alias("fit_percent"), F.count_if(F.col("similarity") >= 0.7).alias("matched"), F.count("*").alias("skills"))
+def market_fit(matches: DataFrame) -> DataFrame:
+    """Mean similarity of a resume's skills in percent, weighed by the demand of what they match; one counts as matched from 0.7 on."""
+    weighed = F.when(F.col("demand") > 0, F.col("demand"))
+    fit = clamp(F.sum(weighed * F.col("similarity")) / F.sum(weighed), 0.0, 1.0)
+    return matches.agg(F.round(100 * F.coalesce(fit, F.lit(0.0)), 1).alias("fit_percent"), F.count_if(F.col("similarity") >= 0.7).alias("matched"), F.count("*").alias("skills"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.functions.text import collapse
+from demandlens.session import cut_lineage
+
 
 def _filled(c: str):
     return F.nullif(F.col(c), F.lit(""))
@@ -100,26 +102,43 @@ def dedupe_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame
     return rows.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("x")).select(*key, *[F.col(f"x.{c}").alias(c) for c in (*order, *rest)])
 
 
+def job_keys(jobs: DataFrame) -> DataFrame:
+    """jobs with ``exact``, the external id or else the URL, and ``finger``, of title, company, location and type; null where they say nothing."""
+    clean = lambda c: F.lower(collapse(F.coalesce(F.col(c), F.lit(""))))
+    ident, url = (F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in ("external_id", "source_url"))
+    exact = F.when(ident != "", F.concat(F.lit("external_id "), ident)).when(url != "", F.concat(F.lit("source_url "), url))
+    finger = F.when((clean("title") != "") & (clean("company_name") != ""), F.concat_ws("\n", *map(clean, ("title", "company_name", "location", "job_type"))))
+    return jobs.withColumns({"exact": exact, "finger": finger})
+
+
 def greedy_dedupe(rows: DataFrame) -> DataFrame:
     """Rows (source, ord, exact, finger, ...) in order: dropped if a kept row of the source has the exact key or the fingerprint.
 
-    A dropped row registers neither key, so the scan of a source is sequential; sources are worked on side by side.
-    Keys are first reduced to the first row of each (exact, finger) pair, which drops nothing that the scan would keep.
+    A null key equals no other. A dropped row registers neither key. In every round the open rows that come first under
+    both their keys are kept and the rows that share a key with them dropped; the others wait. Keys are joined as
+    pre-aggregated minima, so a source of any size is split. ``ord`` is distinct within a source.
     """
-    firsts = dedupe_first(rows, ["source", "exact", "finger"], ["ord"])
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        exact: set[str] = set()
-        finger: set[str] = set()
-        keep = []
-        for e, f in part.sort_values("ord")[["exact", "finger"]].itertuples(index=False):
-            keep.append(e not in exact and f not in finger)
-            if keep[-1]:
-                exact.add(e)
-                finger.add(f)
-        return part.sort_values("ord")[keep]
-
-    return firsts.groupBy("source").applyInPandas(scan, firsts.schema)
+    shape = rows.columns
+    open_ = cut_lineage(rows)
+    kept: list[DataFrame] = []
+    while not open_.isEmpty():
+        marked = open_
+        for key in ("exact", "finger"):
+            first = open_.where(F.col(key).isNotNull()).groupBy("source", key).agg(F.min("ord").alias(f"first_{key}"))
+            first = first.withColumnRenamed("source", "s")
+            marked = marked.join(first, F.col("source").eqNullSafe(F.col("s")) & (marked[key] == first[key]), "left").drop("s", first[key])
+        firsts = (F.coalesce("first_exact", "ord") == F.col("ord")) & (F.coalesce("first_finger", "ord") == F.col("ord"))
+        marked = cut_lineage(marked.withColumn("keep", firsts))
+        kept.append(marked.where("keep").select(*shape))
+        rest = marked.where(~F.col("keep")).select(*shape)
+        for key in ("exact", "finger"):
+            taken = kept[-1].where(F.col(key).isNotNull()).select(F.col("source").alias("s"), F.col(key).alias("k")).distinct()
+            rest = rest.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col(key) == F.col("k")), "left_anti")
+        open_ = cut_lineage(rest)
+    out = kept[0] if kept else rows.limit(0)
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def keyword_sync(skills: DataFrame, existing: DataFrame) -> DataFrame:

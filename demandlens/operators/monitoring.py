@@ -90,6 +90,56 @@ def duration_display(ms: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(seconds / 60).cast("long"), seconds % 60)
 
 
-def stage_progress(logs: DataFrame, stages: dict[str, int]) -> DataFrame:
-    lookup = F.create_map(*[F.lit(x) for kv in stages.items() for x in kv])
-    return logs.groupBy("crawl_run_id").agg(F.max(F.coalesce(F.try_element_at(lookup, F.col("step_name")), F.lit(0))).cast("long").alias("progress"))
+#: Progress that a log row of a step and a status stands for.
+STAGES = {
+    ("crawl_run", "INFO"): 3, ("celery_task", "STARTED"): 5, ("crawl_run", "STARTED"): 10, ("source_crawl", "STARTED"): 20, ("source_detection", "SUCCESS"): 30,
+    ("listing_discovery", "SUCCESS"): 40, ("job_extraction", "SUCCESS"): 55, ("job_source_filter", "INFO"): 60, ("company_upsert", "SUCCESS"): 65, ("job_upsert", "SUCCESS"): 70,
+    ("job_close_detection", "SUCCESS"): 72, ("company_sync", "SUCCESS"): 75, ("source_sync", "SUCCESS"): 80, ("ollama_extract", "STARTED"): 82, ("ollama_extract", "SUCCESS"): 85,
+    ("ollama_verify", "STARTED"): 87, ("ollama_verify", "SUCCESS"): 90, ("skillset_mapping", "SUCCESS"): 92, ("skill_scoring", "SUCCESS"): 94, ("skill_attach", "SUCCESS"): 96,
+    ("skill_pipeline", "SUCCESS"): 98, ("source_crawl", "SUCCESS"): 99, ("crawl_progress", "INFO"): 99, ("crawl_run", "SUCCESS"): 100, ("crawl_run", "FAILED"): 100,
+}
+#: Metrics of a log row in the order shown; those with True are shown as 0 if absent.
+METRICS = [
+    ("jobs_created", "Created", True), ("jobs_updated", "Updated", True), ("jobs_closed", "Closed", True), ("errors", "Errors", True), ("jobs_filtered", "Filtered", False),
+    ("jobs_deduped", "Deduped", False), ("skill_pipeline_jobs_processed", "Skill jobs", False), ("skills_attached", "Skills attached", False), ("skill_pipeline_failures", "Skill failures", False),
+]
+
+
+def stage_progress(logs: DataFrame) -> DataFrame:
+    """The furthest stage of each run, from the step and status of its log rows."""
+    lookup = F.create_map(*[F.lit(x) for (step, status), n in STAGES.items() for x in (f"{step} {status}", n)])
+    value = F.coalesce(F.try_element_at(lookup, F.concat_ws(" ", "step_name", "status")), F.lit(0))
+    return logs.groupBy("crawl_run_id").agg(F.max(value).cast("long").alias("progress"))
+
+
+def display_progress(runs: DataFrame, stages: DataFrame) -> DataFrame:
+    """100 for a run that has ended; else what is complete and the stage's share of one source, below 100. Columns of runs: id, status, total_sources, progress_percentage."""
+    both = runs.join(stages.withColumnRenamed("crawl_run_id", "id"), "id", "left")
+    share = F.coalesce("progress", F.lit(0)) / F.when(F.col("total_sources") > 0, F.col("total_sources")).otherwise(1)
+    shown = F.round(F.least(F.lit(99.0), F.col("progress_percentage") + share), 2)
+    return both.select("id", F.when(F.col("status").isin("SUCCESS", "FAILED", "ABORTED"), 100.0).otherwise(shown).alias("display"))
+
+
+def metric_text(metadata: Column, status: Column) -> Column:
+    """The metrics of a log row's JSON as one text; empty without any, unless the row tells of a failure that isn't counted."""
+    values = {k: F.get_json_object(metadata, f"$.{k}") for k, _, _ in METRICS}
+    failed = status == "FAILED"
+    shown = []
+    for key, label, always in METRICS:
+        absent = F.when(failed, "1").otherwise("0") if key == "errors" else F.lit("0") if always else F.lit(None).cast("string")
+        shown.append(F.concat(F.lit(f"{label}: "), F.coalesce(values[key], absent)))
+    counted = F.lit(False)
+    for value in values.values():
+        counted = counted | value.isNotNull()
+    return F.when(counted | (failed & values["errors"].isNull()), F.array_join(F.filter(F.array(*shown), lambda x: x.isNotNull()), ", ")).otherwise("")
+
+
+def error_reason(metadata: Column, error_text: Column) -> Column:
+    """The error of a log row: its own, the first of its failures, the first of its sources, or the last line of its text."""
+    def first_of(name: str) -> Column:
+        items = F.from_json(F.get_json_object(metadata, f"$.{name}"), "array<struct<error: string>>")
+        return F.try_element_at(F.filter(F.transform(items, lambda x: x["error"]), lambda e: e != ""), F.lit(1))
+
+    lines = F.filter(F.transform(F.split(F.coalesce(error_text, F.lit("")), r"\r\n|[\r\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    own = F.get_json_object(metadata, "$.error")
+    return F.coalesce(F.when(~own.isin("", "false", "0"), own), first_of("failures"), first_of("sources"), F.try_element_at(lines, F.lit(-1)), F.lit(""))

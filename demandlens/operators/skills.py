@@ -39,11 +39,53 @@ class LinkFilters:
     date_basis: str = "attachment"
 
     #: Accepted spellings of the date that ranges apply to; others mean attachment.
-    BASES = {"attachment": "created_at", "link": "created_at", "job_created": "job_created_at", "created": "job_created_at", "job": "job_created_at",
-             "last_synced": "last_synced_at", "synced": "last_synced_at"}
+    BASES = {
+        "": "created_at", "attachment": "created_at", "skill": "created_at", "skill_attachment": "created_at", "job": "job_created_at", "job_created": "job_created_at",
+        "created": "job_created_at", "sync": "last_synced_at", "synced": "last_synced_at", "last_synced": "last_synced_at",
+    }
+    #: Names under which a request may give each filter, the first that isn't blank counts.
+    NAMES = {
+        "company_id": ["company_id"], "company_name": ["company"], "source_type": ["source_type"], "canonical_source": ["canonical_source", "source", "resource"],
+        "location": ["location"], "employment_type": ["employment_type", "job_type", "category"], "remote_type": ["remote_type"],
+        "start": ["start_date", "from", "date_from"], "end": ["end_date", "to", "date_to"], "date_basis": ["date_basis"],
+        "score_min": ["score_min", "min_score"], "score_max": ["score_max", "max_score"], "days": ["days", "window_days"],
+    }
+
+    @classmethod
+    def from_request(cls, request: dict, today: str) -> LinkFilters:
+        """Filters of a request's texts; numbers and dates that can't be read count as not given, and a number of days
+        before today stands for a start that isn't given."""
+        import datetime
+
+        from demandlens.functions.text import JOB_TYPES
+
+        def first(name: str) -> str:
+            return next((str(v).strip() for k in cls.NAMES[name] if (v := request.get(k)) not in (None, "", 0)), "")
+
+        def number(name: str) -> int | None:
+            try:
+                return int(first(name))
+            except ValueError:
+                return None
+
+        def day(name: str) -> str | None:
+            try:
+                return datetime.date.fromisoformat(first(name)).isoformat()
+            except ValueError:
+                return None
+
+        job_type = " ".join(first("employment_type").replace("_", " ").split())
+        start, days = day("start"), number("days")
+        if not start and days:
+            start = (datetime.date.fromisoformat(today) - datetime.timedelta(days=days)).isoformat()
+        texts = {k: first(k) or None for k in ("company_name", "source_type", "canonical_source", "location", "remote_type")}
+        return cls(
+            company_id=number("company_id"), employment_type=JOB_TYPES.get(job_type.lower(), job_type) or None, score_min=number("score_min"),
+            score_max=number("score_max"), start=start, end=day("end"), date_basis=first("date_basis"), **texts,
+        )
 
     def date_column(self) -> str:
-        return self.BASES.get(self.date_basis.strip().lower(), "created_at")
+        return self.BASES.get(self.date_basis.strip().lower().replace("-", "_"), "created_at")
 
     def condition(self) -> Column:
         same = lambda c, v: F.lower(c) == v.lower()
@@ -108,10 +150,11 @@ def top_skills(rows: DataFrame, limit: int = 10) -> DataFrame:
 
 def skill_trends(rows: DataFrame, limit: int = 5) -> DataFrame:
     """Month by skill, for the most requested skills."""
-    top = top_skills(rows, limit).select("skill_set_id")
+    top = top_skills(rows, limit).select("skill_set_id")  # at most ``limit`` rows
     month = F.coalesce(F.date_format(F.date_trunc("MONTH", "created_at"), "yyyy-MM"), F.lit(""))
-    per = rows.join(F.broadcast(top), "skill_set_id", "left_semi").groupBy(month.alias("period"), "skill_set_id", "skill_name")
-    return per.agg(F.countDistinct("job_post_id").alias("job_count"), F.count("*").alias("link_count")).orderBy("period", "skill_name", "skill_set_id")
+    once = rows.groupBy(month.alias("period"), "skill_set_id", "skill_name", "job_post_id").agg(F.count("*").alias("links"))
+    per = once.groupBy("period", "skill_set_id", "skill_name").agg(F.count("*").alias("job_count"), F.sum("links").alias("link_count"))
+    return per.join(F.broadcast(top), "skill_set_id", "left_semi").select("period", "skill_set_id", "skill_name", "job_count", "link_count").orderBy("period", "skill_name", "skill_set_id")
 
 
 def skill_coverage(rows: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -124,9 +167,10 @@ def skill_coverage(rows: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def skill_gap(rows: DataFrame, company_id: int, limit: int = 50) -> DataFrame:
     """Skills in which other companies ask for more jobs than the company does."""
-    counted = rows.groupBy("skill_set_id", "skill_name").agg(
-        F.countDistinct(F.when(F.col("company_id") == company_id, F.col("job_post_id"))).alias("target_jobs"),
-        F.countDistinct(F.when(F.col("company_id") != company_id, F.col("job_post_id"))).alias("benchmark_jobs"),
+    # a job belongs to one company, so one row of each skill and job is enough for both counts
+    once = rows.groupBy("skill_set_id", "skill_name", "job_post_id").agg(F.min("company_id").alias("company_id"))
+    counted = once.groupBy("skill_set_id", "skill_name").agg(
+        F.count_if(F.col("company_id") == company_id).alias("target_jobs"), F.count_if(F.col("company_id") != company_id).alias("benchmark_jobs")
     )
     gap = counted.withColumn("gap", F.col("benchmark_jobs") - F.col("target_jobs")).where("gap > 0")
     return gap.orderBy(F.desc("gap"), F.desc("benchmark_jobs"), "skill_name", "skill_set_id").limit(limit)

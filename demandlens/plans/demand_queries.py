@@ -85,6 +85,7 @@ def top_skill_demand(d):
     return named.select("skill_set_id", name.alias("skill_name"), "demand").orderBy(F.desc("demand"), F.lower("skill_name"), "skill_set_id").limit(10)
 
 
-@query("demand_stale", f"SELECT skill_set_id, demand_score FROM {DEMAND} WHERE skill_set_id NOT IN (SELECT skill_set_id FROM d_link WHERE job_post_id % 40 = 0)")
+@query("demand_stale", f"SELECT skill_set_id, demand_score FROM {DEMAND} WHERE skill_set_id NOT IN (SELECT CASE WHEN skill_set_id % 9 = 0 THEN 0 ELSE skill_set_id END FROM d_link)")
 def demand_stale(d):
-    return D.stale(demands(d), d.d_link.where("job_post_id % 40 = 0")).select("skill_set_id", "demand_score")
+    left = d.d_link.withColumn("skill_set_id", F.expr("CASE WHEN skill_set_id % 9 = 0 THEN 0 ELSE skill_set_id END"))
+    return D.stale(demands(d), left).select("skill_set_id", "demand_score")

@@ -9,7 +9,7 @@ from demandlens.plans.catalog import query
 from demandlens.plans.demand_queries import DEMAND, demands
 from demandlens.plans.skill_queries import star
 
-RESUME = "(SELECT id AS skill_set_id FROM d_skill_set WHERE is_active AND id % 97 = 3)"
+RESUME = "(SELECT id AS skill_set_id FROM d_skill_set WHERE is_active AND id % 50 = 0)"
 COMPARED = """(SELECT coalesce(m.application_id, a.application_id) AS application_id, coalesce(m.skill_set_id, a.skill_set_id) AS skill_set_id,
     CASE WHEN m.skill_set_id IS NULL THEN 'missing' WHEN a.skill_set_id IS NULL THEN 'extra' ELSE 'matched' END AS kind FROM d_application_skill m
     FULL JOIN (SELECT p.id AS application_id, l.skill_set_id FROM d_application p JOIN d_link l USING (job_post_id)) a ON a.application_id = m.application_id AND a.skill_set_id = m.skill_set_id)"""
@@ -17,7 +17,7 @@ CLAMPED = "greatest(0.0, least(1.0, coalesce(list_cosine_similarity(m.embedding:
 
 
 def resume(d):
-    return d.d_skill_set.where("is_active AND id % 97 = 3").selectExpr("id AS skill_set_id")
+    return d.d_skill_set.where("is_active AND id % 50 = 0").selectExpr("id AS skill_set_id")
 
 
 def compared(d):
@@ -25,7 +25,7 @@ def compared(d):
 
 
 def resume_vectors(d):
-    return d.d_skill_embedding.where("id % 97 = 3").selectExpr("id AS query_id", "embedding AS query")
+    return d.d_skill_embedding.where("id % 50 = 0").selectExpr("id AS query_id", "embedding AS query")
 
 
 @query("application_comparison", f"SELECT application_id, skill_set_id, kind FROM {COMPARED}")
@@ -51,9 +51,9 @@ def job_matches(d):
     return M.job_matches(d.d_link, resume(d), d.d_job_post).select("job_post_id", "matched", "required", "match_percent", "title", "company_id")
 
 
-@query("missing_categories", f"SELECT skill_category, count(DISTINCT job_post_id) AS job_count FROM d_star WHERE skill_category NOT IN (SELECT category FROM d_skill_set WHERE id IN {RESUME} AND id IN (SELECT skill_set_id FROM d_link) AND id < 100) GROUP BY 1")
+@query("missing_categories", f"SELECT skill_category, count(DISTINCT job_post_id) AS job_count FROM d_star WHERE skill_category NOT IN (SELECT category FROM d_skill_set WHERE id IN {RESUME} AND id IN (SELECT skill_set_id FROM d_link)) GROUP BY 1")
 def missing_categories(d):
-    return M.missing_categories(star(d), resume(d).where("skill_set_id < 100"))
+    return M.missing_categories(star(d), resume(d))
 
 
 @query("missing_high_demand", f"SELECT skill_set_id, demand_score FROM (SELECT * FROM {DEMAND} ORDER BY demand_score DESC, skill_set_id LIMIT 20) WHERE skill_set_id NOT IN (SELECT skill_set_id FROM {RESUME}) ORDER BY demand_score DESC, skill_set_id LIMIT 10")
@@ -83,34 +83,48 @@ def resume_profile_pct(d):
 @query("knn_top_k", """SELECT m.id, round(list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]), 5) AS similarity FROM d_skill_embedding m, (SELECT embedding FROM d_skill_embedding WHERE id = 3) r
     WHERE list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]) >= 0 ORDER BY list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, m.id LIMIT 11""")
 def knn_top_k(d):
-    row = d.d_skill_embedding.where("id = 3").first()
-    return M.top_k(d.d_skill_embedding, [float(x) for x in row["embedding"]], 11).withColumn("similarity", F.round("similarity", 5))
+    query = d.d_skill_embedding.where("id = 3").selectExpr("-1L AS query_id", "embedding AS query")
+    return M.top_k(d.d_skill_embedding, query, 11).select("id", "similarity").withColumn("similarity", F.round("similarity", 5))
 
 
 @query("knn_batch", """SELECT query_id, id, similarity, rank FROM (SELECT r.id AS query_id, m.id, round(list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]), 5) AS similarity,
-    row_number() OVER (PARTITION BY r.id ORDER BY list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, m.id) AS rank FROM d_skill_embedding m JOIN d_skill_embedding r ON m.id <> r.id AND r.id % 97 = 3) WHERE rank <= 5 AND similarity >= 0""")
+    row_number() OVER (PARTITION BY r.id ORDER BY list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, m.id) AS rank FROM d_skill_embedding m JOIN d_skill_embedding r ON m.id <> r.id AND r.id % 50 = 0) WHERE rank <= 5 AND similarity >= 0""")
 def knn_batch(d):
     return M.top_k(d.d_skill_embedding, resume_vectors(d), 5).select("query_id", "id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("best_market_match", f"""SELECT r.id AS query_id, m.id, round({CLAMPED}, 5) AS similarity FROM d_skill_embedding m, d_skill_embedding r WHERE r.id % 97 = 3 AND m.id % 2 = 0
-    QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY {CLAMPED} DESC, m.id) = 1""")
+#: Demand in which every second skill of the resume is missing, so that both rules are met.
+MARKET = "(SELECT skill_set_id, count(*) AS demand FROM d_star WHERE status = 'ACTIVE' AND skill_set_id % 100 <> 0 GROUP BY 1)"
+FIT = f"""(SELECT q.id AS query_id, CASE WHEN w.skill_set_id IS NOT NULL THEN q.id ELSE b.id END AS id, CASE WHEN w.skill_set_id IS NOT NULL THEN 1.0 ELSE coalesce(b.similarity, 0) END AS similarity, coalesce(w.demand, b.demand, 0) AS demand
+    FROM d_skill_set q LEFT JOIN {MARKET} w ON w.skill_set_id = q.id LEFT JOIN (SELECT r.id AS query_id, m.id, {CLAMPED} AS similarity, y.demand FROM d_skill_embedding r, d_skill_embedding m JOIN {MARKET} y ON y.skill_set_id = m.id
+    JOIN d_skill_set s ON s.id = m.id WHERE r.id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY {CLAMPED} DESC, s.name, m.id) = 1) b ON b.query_id = q.id WHERE q.is_active AND q.id % 50 = 0)"""
+
+
+def market(d):
+    return D.active_demand(d.d_link, d.d_job_post).where("skill_set_id % 100 <> 0")
+
+
+def fitted(d):
+    return M.market_matches(resume(d), d.d_skill_embedding, d.d_skill_set, market(d))
+
+
+@query("best_market_match", f"SELECT query_id, id, round(similarity, 5) AS similarity FROM {FIT}")
 def best_market_match(d):
-    return M.best_match(resume_vectors(d), d.d_skill_embedding.where("id % 2 = 0")).withColumn("similarity", F.round("similarity", 5))
+    return fitted(d).select("query_id", "id", F.round("similarity", 5).alias("similarity"))
 
 
-@query("missing_market_skills", f"""SELECT x.id, x.similarity, y.demand FROM (SELECT m.id, round(max({CLAMPED}), 5) AS similarity FROM d_skill_embedding m, d_skill_embedding r WHERE r.id % 97 = 3 GROUP BY 1) x
-    JOIN (SELECT skill_set_id, count(*) AS demand FROM d_star WHERE status = 'ACTIVE' GROUP BY 1) y ON y.skill_set_id = x.id WHERE similarity < 0.7 AND x.id % 97 <> 3 ORDER BY demand DESC, x.id LIMIT 20""")
+@query("missing_market_skills", f"""SELECT x.id, x.similarity, y.demand FROM (SELECT m.id, round(max({CLAMPED}), 5) AS similarity FROM d_skill_embedding m, d_skill_embedding r WHERE r.id % 50 = 0 GROUP BY 1) x
+    JOIN (SELECT skill_set_id, count(*) AS demand FROM d_star WHERE status = 'ACTIVE' GROUP BY 1) y ON y.skill_set_id = x.id WHERE similarity < 0.7 AND x.id % 50 <> 0 ORDER BY demand DESC, x.id LIMIT 20""")
 def missing_market_skills(d):
-    similar = M.most_similar_per_market(resume_vectors(d), d.d_skill_embedding).withColumn("similarity", F.round("similarity", 5)).where("similarity < 0.7 AND id % 97 <> 3")
+    similar = M.most_similar_per_market(resume_vectors(d), d.d_skill_embedding).withColumn("similarity", F.round("similarity", 5)).where("similarity < 0.7 AND id % 50 <> 0")
     both = similar.join(D.active_demand(d.d_link, d.d_job_post).withColumnRenamed("skill_set_id", "id"), "id")
     return both.orderBy(F.desc("demand"), "id").limit(20)
 
 
-@query("market_fit", f"""SELECT round(100 * sum(demand * coalesce(similarity, 0)) / sum(demand), 1) AS fit_percent, count(*) FILTER (similarity >= 0.7) AS matched, count(*) AS skills FROM
-    (SELECT skill_set_id, count(*) AS demand FROM d_star WHERE status = 'ACTIVE' GROUP BY 1) LEFT JOIN (SELECT m.id, max({CLAMPED}) AS similarity FROM d_skill_embedding m, d_skill_embedding r WHERE r.id % 97 = 3 GROUP BY 1) s ON s.id = skill_set_id""")
+@query("market_fit", f"""SELECT round(100 * coalesce(sum(demand * similarity) FILTER (demand > 0) / sum(demand) FILTER (demand > 0), 0), 1) AS fit_percent,
+    count(*) FILTER (similarity >= 0.7) AS matched, count(*) AS skills FROM {FIT}""")
 def market_fit(d):
-    return M.market_fit(M.most_similar_per_market(resume_vectors(d), d.d_skill_embedding), D.active_demand(d.d_link, d.d_job_post))
+    return M.market_fit(fitted(d))
 
 
 @query("embedding_valid", "SELECT id, len(embedding) = 64 AS valid FROM d_skill_embedding")

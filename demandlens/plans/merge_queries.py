@@ -37,20 +37,21 @@ def sync_metrics(d):
     return G.sync_metrics(plan(d), ["status"])
 
 
-@query("match_existing_job", """SELECT i.row_id, (SELECT arg_max(s.id, (s.created_at, s.id)) FROM (SELECT id, 'x' || id % 50 AS e, 'u' || id % 400 AS u, created_at FROM d_job_post) s WHERE s.e = i.e OR s.u = i.u) AS existing_id
-    FROM (SELECT c_custkey AS row_id, 'x' || c_custkey % 70 AS e, 'u' || c_custkey % 900 AS u FROM customer WHERE c_custkey < 300) i""")
+@query("match_existing_job", """SELECT i.row_id, CASE WHEN e.x IS NULL OR u.x > e.x THEN u.x.id ELSE e.x.id END AS existing_id
+    FROM (SELECT c_custkey AS row_id, 'x' || c_custkey % 70 AS e, 'u' || c_custkey % 900 AS u FROM customer) i
+    LEFT JOIN (SELECT 'x' || id % 50 AS e, max({'c': created_at, 'id': id}) AS x FROM d_job_post GROUP BY 1) e ON e.e = i.e LEFT JOIN (SELECT 'u' || id % 400 AS u, max({'c': created_at, 'id': id}) AS x FROM d_job_post GROUP BY 1) u ON u.u = i.u""")
 def match_existing_job(d):
     stored = d.d_job_post.selectExpr("id", "concat('x', id % 50) AS external_id", "concat('u', id % 400) AS source_url", "created_at")
-    incoming = d.customer.where("c_custkey < 300").selectExpr("c_custkey AS row_id", "concat('x', c_custkey % 70) AS external_id", "concat('u', c_custkey % 900) AS source_url")
+    incoming = d.customer.selectExpr("c_custkey AS row_id", "concat('x', c_custkey % 70) AS external_id", "concat('u', c_custkey % 900) AS source_url")
     return G.match_existing(incoming, stored)
 
 
 @query("attach_merge", """SELECT coalesce(o.job_post_id, n.job_post_id) AS job_post_id, coalesce(o.skill_set_id, n.skill_set_id) AS skill_set_id, coalesce(n.score, o.score) AS score,
-    CASE WHEN o.score IS NULL THEN 'insert' WHEN n.score IS NULL OR n.score = o.score THEN 'keep' ELSE 'update' END AS action FROM (SELECT * FROM d_link WHERE id % 3 = 0) o
-    FULL JOIN (SELECT job_post_id, skill_set_id, CAST(greatest(0, least(100, score + 10)) AS INT) AS score FROM d_link WHERE id % 2 = 0) n ON o.job_post_id = n.job_post_id AND o.skill_set_id = n.skill_set_id""")
+    CASE WHEN o.score IS NULL THEN 'insert' WHEN n.score IS NULL OR n.score = o.score THEN 'keep' ELSE 'update' END AS action FROM (SELECT job_post_id, skill_set_id + id % 3 * 1000000 AS skill_set_id, score FROM d_link) o
+    FULL JOIN (SELECT job_post_id, skill_set_id + id % 2 * 1000000 AS skill_set_id, CAST(greatest(0, least(100, score + 10)) AS INT) AS score FROM d_link) n ON o.job_post_id = n.job_post_id AND o.skill_set_id = n.skill_set_id""")
 def attach_merge(d):
-    scored = d.d_link.where("id % 2 = 0").selectExpr("job_post_id", "skill_set_id", "score + 10 AS score", "0 AS ord")
-    return G.attach_merge(d.d_link.where("id % 3 = 0"), scored.unionByName(scored.withColumns({"score": F.lit(-5), "ord": F.lit(1)})))
+    scored = d.d_link.selectExpr("job_post_id", "skill_set_id + id % 2 * 1000000 AS skill_set_id", "score + 10 AS score", "0 AS ord")
+    return G.attach_merge(d.d_link.withColumn("skill_set_id", F.expr("skill_set_id + id % 3 * 1000000")), scored.unionByName(scored.withColumns({"score": F.lit(-5), "ord": F.lit(1)})))
 
 
 @query("archive_old_jobs", "SELECT id, CASE WHEN a THEN 'ARCHIVED' ELSE status END AS status, a AS archived FROM (SELECT *, created_at < '1996-07-01' AND status NOT IN ('ARCHIVED', 'APPLIED') AS a FROM d_job_post)")
@@ -84,13 +85,12 @@ def apply_transition(d):
     return G.apply_transition(d.d_application, "2001-11-05 00:00:00")
 
 
-@query("candidate_merge", """SELECT w AS normalized, CAST(n + k AS BIGINT) AS n, n + k >= 5 AS flagged FROM (SELECT coalesce(a.w, b.w) AS w, coalesce(a.n, 0) AS n, coalesce(b.k, 0) AS k FROM
-    (SELECT p_name AS w, count(*) AS n FROM part WHERE p_partkey % 100 = 0 GROUP BY 1) a FULL JOIN (SELECT p_name AS w, count(*) AS k FROM part WHERE p_partkey % 30 = 1 AND p_name NOT IN (SELECT p_name FROM part WHERE p_partkey < 20) GROUP BY 1) b ON a.w = b.w)""")
+@query("candidate_merge", """SELECT coalesce(a.w, b.w) AS normalized, CAST(coalesce(a.n, 0) + coalesce(b.k, 0) AS BIGINT) AS n, coalesce(a.n, 0) + coalesce(b.k, 0) >= 5 AS flagged FROM
+    (SELECT p_name || ' ' || p_size % 3 AS w, count(*) AS n FROM part GROUP BY 1) a FULL JOIN (SELECT p_name || ' ' || p_size % 7 AS w, count(*) AS k FROM part WHERE p_name || ' ' || p_size % 7 NOT IN (SELECT p_name || ' 4' FROM part) GROUP BY 1) b ON a.w = b.w""")
 def candidate_merge(d):
-    known = d.part.where("p_partkey % 100 = 0").groupBy(F.col("p_name").alias("normalized")).agg(F.count("*").alias("n"))
-    names = d.part.where("p_partkey % 30 = 1").select(T.normalize_name(F.concat(F.lit("  "), F.upper("p_name"), F.lit(", "))).alias("x"))
-    names = names.select(F.trim("x").alias("normalized"))
-    return G.candidate_merge(known, names, d.part.where("p_partkey < 20").selectExpr("p_name AS normalized"))
+    known = d.part.groupBy(F.expr("concat(p_name, ' ', p_size % 3)").alias("normalized")).agg(F.count("*").alias("n"))
+    names = d.part.select(F.trim(T.normalize_name(F.expr("concat('  ', upper(p_name), ' ', p_size % 7, ', ')"))).alias("normalized"))
+    return G.candidate_merge(known, names, d.part.selectExpr("concat(p_name, ' 4') AS normalized"))
 
 
 @query("dedupe_first", "SELECT p_name, min(p_partkey) AS p_partkey, arg_min(p_brand, p_partkey) AS p_brand FROM part GROUP BY 1")
@@ -100,8 +100,11 @@ def dedupe_first(d):
 
 @query("greedy_dedupe")
 def greedy_dedupe(d):
-    rows = d.part.selectExpr("p_type AS source", "p_partkey AS ord", "p_name AS exact", "concat(p_brand, '/', p_size) AS finger")
-    return G.greedy_dedupe(rows)
+    rows = d.part.selectExpr(
+        "p_type AS source", "p_partkey AS ord", "CASE WHEN p_partkey % 3 = 0 THEN p_name END AS external_id", "CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS source_url", "p_name AS title",
+        "CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS company_name", "'' AS location", "CAST(p_size % 2 AS STRING) AS job_type",
+    )
+    return G.greedy_dedupe(G.job_keys(rows)).select("source", "ord", "exact", "finger")
 
 
 @query("keyword_sync", """SELECT coalesce(w.skill_set_id, e.skill_set_id) AS skill_set_id, coalesce(w.t, e.t) AS normalized, CASE WHEN w.t IS NULL THEN 'delete' WHEN e.t IS NULL THEN 'insert' ELSE 'keep' END AS action FROM

@@ -8,7 +8,11 @@ from demandlens.plans.catalog import query
 from demandlens.plans.skill_queries import MEAN, star
 
 PCT = "CAST(floor(({0} * 2000 + {1}) / (2 * {1})) AS DOUBLE) / 10"
-STAGES = {"click": 25, "view": 40, "purchase": 80, "error": 95, "signup": 10}
+#: Log rows with steps and statuses of every stage and of none.
+STEP_OF = "CASE crawl_run_id % 4 WHEN 0 THEN 'celery_task' WHEN 1 THEN 'job_extraction' WHEN 2 THEN 'ollama_verify' ELSE 'nothing known' END"
+STATUS_OF = "CASE WHEN crawl_run_id % 20 = 6 AND status = 'SUCCESS' THEN 'INFO' ELSE status END"
+PROGRESS = f"""(SELECT crawl_run_id, max(coalesce(n, 0)) AS progress FROM (SELECT crawl_run_id, {STEP_OF} AS step, {STATUS_OF} AS state FROM d_pipeline_log) x
+    LEFT JOIN (VALUES ('celery_task', 'STARTED', 5), ('job_extraction', 'SUCCESS', 55), ('ollama_verify', 'STARTED', 87), ('ollama_verify', 'SUCCESS', 90)) v(s, t, n) ON v.s = step AND v.t = state GROUP BY 1)"""
 
 
 @query("kpis", """SELECT (SELECT count(*) FROM d_job_post) AS jobs, (SELECT count(*) FROM d_application) AS applications, (SELECT count(*) FROM d_application WHERE CAST(applied_at AS DATE) = '1998-10-03') AS applied_today,
@@ -92,9 +96,13 @@ def latest_step_log(d):
     return M.latest_per(d.d_pipeline_log, ["crawl_run_id", "step_name"]).select("crawl_run_id", "step_name", "id", "created_at", "status")
 
 
-@query("stage_progress", "SELECT crawl_run_id, CAST(max(CASE step_name WHEN 'click' THEN 25 WHEN 'view' THEN 40 WHEN 'purchase' THEN 80 WHEN 'error' THEN 95 WHEN 'signup' THEN 10 ELSE 0 END) AS BIGINT) AS progress FROM d_pipeline_log GROUP BY 1")
+def staged(d):
+    return M.stage_progress(d.d_pipeline_log.selectExpr("crawl_run_id", f"{STEP_OF} AS step_name", f"{STATUS_OF} AS status"))
+
+
+@query("stage_progress", f"SELECT crawl_run_id, CAST(progress AS BIGINT) AS progress FROM {PROGRESS}")
 def stage_progress(d):
-    return M.stage_progress(d.d_pipeline_log, STAGES)
+    return staged(d)
 
 
 @query("crawl_progress", "SELECT id, CAST(floor((processed_sources * 20000 + total_sources) / (2 * total_sources)) AS DOUBLE) / 100 AS progress FROM d_crawl_run")
@@ -148,7 +156,27 @@ def current_step(d):
     return d.d_pipeline_log.groupBy("crawl_run_id").agg(F.max(F.struct("created_at", "id", "step_name"))["step_name"].alias("step"))
 
 
-@query("display_progress", "SELECT id, CASE WHEN errors = 0 THEN 100 ELSE least(99, CAST(floor(processed_sources * 100 / total_sources) AS BIGINT)) END AS display FROM d_crawl_run")
+@query("display_progress", f"""SELECT r.id, CASE WHEN r.id % 5 IN (0, 1, 2) THEN 100.0 ELSE round(least(99, r.id % 100 + coalesce(p.progress, 0) / CASE WHEN r.id % 7 = 0 THEN 1 ELSE r.total_sources END), 2) END::DOUBLE AS display
+    FROM d_crawl_run r LEFT JOIN {PROGRESS} p ON p.crawl_run_id = r.id""")
 def display_progress(d):
-    share = F.floor(F.col("processed_sources") * 100 / F.col("total_sources"))
-    return d.d_crawl_run.select("id", F.when(F.col("errors") == 0, 100).otherwise(F.least(F.lit(99), share)).cast("long").alias("display"))
+    status = "element_at(array('SUCCESS', 'FAILED', 'ABORTED', 'RUNNING', 'PENDING'), CAST(id % 5 + 1 AS INT)) AS status"
+    runs = d.d_crawl_run.selectExpr("id", status, "CASE WHEN id % 7 = 0 THEN 0 ELSE total_sources END AS total_sources", "CAST(id % 100 AS DOUBLE) AS progress_percentage")
+    return M.display_progress(runs, staged(d))
+
+
+META = """CASE id % 7 WHEN 0 THEN '{"error":"boom","failures":[{"error":"x"}]}' WHEN 1 THEN '{"failures":[{"error":""},{"error":"second"}]}' WHEN 2 THEN '{"sources":[{"name":"a"},{"error":"of source"}]}'
+    WHEN 3 THEN '{"jobs_created":4,"jobs_deduped":2}' WHEN 4 THEN '{"errors":3,"skills_attached":9}' WHEN 5 THEN '{"other":1}' ELSE NULL END"""
+TRACE = "CASE WHEN id % 3 = 0 THEN concat('Traceback', chr(10), '  line 3', chr(10), ' ValueError: no ', chr(10), ' ') ELSE '' END"
+
+
+@query("error_reason", f"""SELECT id, CASE id % 7 WHEN 0 THEN 'boom' WHEN 1 THEN 'second' WHEN 2 THEN 'of source' ELSE CASE WHEN id % 3 = 0 THEN 'ValueError: no' ELSE '' END END AS reason FROM d_pipeline_log""")
+def error_reason(d):
+    rows = d.d_pipeline_log.selectExpr("id", f"{META} AS m", f"{TRACE} AS t")
+    return rows.select("id", M.error_reason(F.col("m"), F.col("t")).alias("reason"))
+
+
+@query("metric_summary", """SELECT id, CASE WHEN id % 7 = 3 THEN 'Created: 4, Updated: 0, Closed: 0, Errors: ' || f || ', Deduped: 2' WHEN id % 7 = 4 THEN 'Created: 0, Updated: 0, Closed: 0, Errors: 3, Skills attached: 9'
+    WHEN f = '1' THEN 'Created: 0, Updated: 0, Closed: 0, Errors: 1' ELSE '' END AS summary FROM (SELECT id, CASE WHEN status = 'FAILED' THEN '1' ELSE '0' END AS f FROM d_pipeline_log)""")
+def metric_summary(d):
+    rows = d.d_pipeline_log.selectExpr("id", "status", f"{META} AS m")
+    return rows.select("id", M.metric_text(F.col("m"), F.col("status")).alias("summary"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from demandlens.operators import search as Q
 from demandlens.operators import skills as S
 from demandlens.plans.catalog import query
 from demandlens.sources.binding import AS_OF
@@ -97,7 +98,12 @@ def job_skill_display(d):
 def _filtered(name: str, condition: str, **given):
     @query(name, f"SELECT id, job_post_id, skill_set_id, score FROM d_star WHERE {condition}")
     def run(d, given=given):
-        return S.LinkFilters(**given).apply(star(d)).select("id", "job_post_id", "skill_set_id", "score")
+        request = given.get("request")
+        filters = S.LinkFilters.from_request(request, AS_OF[:10]) if request else S.LinkFilters(**given)
+        rows = filters.apply(star(d))
+        if more := given.get("and_also"):
+            rows = S.LinkFilters(**more).apply(rows)
+        return rows.select("id", "job_post_id", "skill_set_id", "score")
 
 
 _filtered("links_filtered", """contains(lower(company_name), 'customer#00000001') AND contains(lower(location), 'nation_1') AND lower(remote_type) = 'remote'
@@ -105,7 +111,11 @@ _filtered("links_filtered", """contains(lower(company_name), 'customer#00000001'
           company_name="CUSTOMER#00000001", location="nation_1", remote_type="REMOTE", canonical_source="LinkedIn", score_min=10, score_max=90, start="1996-01-01", end="2000-12-31")
 _filtered("links_date_range", "CAST(created_at AS DATE) BETWEEN '1998-03-01' AND '1998-03-31'", start="1998-03-01", end="1998-03-31")
 _filtered("links_date_basis", "CAST(last_synced_at AS DATE) BETWEEN '1998-03-01' AND '1998-03-31'", start="1998-03-01", end="1998-03-31", date_basis=" Synced ")
-_filtered("links_days_window", f"CAST(created_at AS DATE) >= CAST('{AS_OF}' AS DATE) - 30", start="2001-10-06")
+_filtered("links_date_basis_spellings", "CAST(last_synced_at AS DATE) BETWEEN '1998-03-01' AND '1998-03-31' AND CAST(job_created_at AS DATE) >= '1998-02-15'",
+          request={"date_from": "1998-03-01", "to": "1998-03-31", "date_basis": "Last-Synced"}, and_also={"start": "1998-02-15", "date_basis": "job-created"})
+_filtered("filters_of_request", "lower(employment_type) = 'full-time' AND score >= 60 AND company_id = 5 AND CAST(created_at AS DATE) >= '1995-06-01'",
+          request={"job_type": "FULL_TIME", "min_score": "60", "max_score": "many", "company_id": "5", "date_basis": "skill-attachment", "from": "1995-06-01"})
+_filtered("links_days_window", f"CAST(created_at AS DATE) >= CAST('{AS_OF}' AS DATE) - 30", request={"window_days": "30", "from": "no date"})
 _filtered("flt_icontains", "lower(company_name) LIKE '%r#00000001%'", company_name="R#00000001")
 _filtered("flt_iexact", "lower(employment_type) = 'full-time'", employment_type="FULL-TIME")
 _filtered("flt_json_path", "json_extract_string(extraction_metadata, '$.source') ILIKE 'handshake' OR source_type ILIKE 'handshake'", canonical_source="HANDSHAKE")
@@ -193,10 +203,10 @@ def recent_jobs(d):
     return d.d_job_post.orderBy(F.desc("created_at"), F.desc("id")).limit(5).select("id", "title", "created_at")
 
 
-@query("jobs_by_company_title", "SELECT j.id, c.name AS company, j.title FROM d_job_post j JOIN d_company c ON c.id = j.company_id ORDER BY company, title, j.id LIMIT 100")
+@query("jobs_by_company_title", "SELECT j.id, c.name AS company, j.title FROM d_job_post j JOIN d_company c ON c.id = j.company_id ORDER BY company, title, j.id")
 def jobs_by_company_title(d):
     named = d.d_job_post.join(d.d_company.selectExpr("id AS company_id", "name AS company"), "company_id")
-    return named.orderBy("company", "title", "id").limit(100).select("id", "company", "title")
+    return named.orderBy("company", "title", "id").select("id", "company", "title")
 
 
 @query("page_slice", "SELECT id, title FROM d_job_post ORDER BY id LIMIT 25 OFFSET 50")
@@ -204,21 +214,48 @@ def page_slice(d):
     return d.d_job_post.orderBy("id").offset(50).limit(25).select("id", "title")
 
 
-@query("casefold_sort", "SELECT id, name FROM d_skill_set ORDER BY lower(name), name, id LIMIT 40")
+@query("casefold_sort", "SELECT id, name FROM d_skill_set ORDER BY lower(name), name, id")
 def casefold_sort(d):
-    return d.d_skill_set.orderBy(F.lower("name"), "name", "id").limit(40).select("id", "name")
+    return d.d_skill_set.orderBy(F.lower("name"), "name", "id").select("id", "name")
 
 
-@query("search_jobs", """SELECT DISTINCT j.id FROM d_job_post j LEFT JOIN d_link l ON l.job_post_id = j.id LEFT JOIN d_skill_set s ON s.id = l.skill_set_id
-    WHERE (contains(lower(j.title), 'engineer') OR contains(lower(s.name), 'engineer')) AND (contains(lower(j.title), 'gear') OR contains(lower(s.name), 'gear') OR contains(lower(j.location), 'gear'))""")
+#: Tokens of a search, and the active keywords of skills that it reads.
+SEARCH = ["full_time", "steel"]
+KEYWORDS = "(SELECT id AS skill_set_id, concat('kw', CAST(id % 50 AS VARCHAR), ' ', market_category, ' steel') AS raw_text FROM d_skill_set WHERE id % 4 = 0)"
+ROW = "(contains(lower(concat_ws('|', j.title, c.name, j.location, j.remote_type, j.employment_type, {status})), '{t}'){more})"
+
+
+def _row(status: str, others: str) -> str:
+    """Both tokens on one row of a job, its company and the skills joined to it."""
+    parts = [ROW.format(status=status, t=t, more=f" OR {extra}" if extra else "") for t, extra in (("full_time", "contains(lower(j.employment_type), 'full-time')"), ("steel", ""))]
+    return " AND ".join(f"({p} OR {others.replace('@', t)})" for p, t in zip(parts, SEARCH, strict=True))
+
+
+def _jobs(d):
+    return d.d_job_post.join(d.d_company.selectExpr("id AS company_id", "name AS company_name"), "company_id")
+
+
+def _keywords(d):
+    return d.d_skill_set.where("id % 4 = 0").selectExpr("id AS skill_set_id", "concat('kw', id % 50, ' ', market_category, ' steel') AS raw_text")
+
+
+@query("search_jobs", f"""SELECT DISTINCT j.id FROM d_job_post j JOIN d_company c ON c.id = j.company_id LEFT JOIN d_link l ON l.job_post_id = j.id LEFT JOIN d_skill_set s ON s.id = l.skill_set_id
+    LEFT JOIN {KEYWORDS} k ON k.skill_set_id = s.id WHERE {_row("j.status", "coalesce(contains(lower(s.name), '@'), false) OR coalesce(contains(lower(k.raw_text), '@'), false)")}""")
 def search_jobs(d):
-    rows = d.d_job_post.withColumnRenamed("id", "job_post_id").join(d.d_link.select("job_post_id", "skill_set_id"), "job_post_id", "left")
-    rows = rows.join(d.d_skill_set.selectExpr("id AS skill_set_id", "name"), "skill_set_id", "left")
-    fields = [F.coalesce(F.lower(c), F.lit("")) for c in ("title", "name", "location")]
-    hit = F.lit(True)
-    for token in ("engineer", "gear"):
-        one = F.lit(False)
-        for f in fields:
-            one = one | f.contains(token)
-        hit = hit & one
-    return rows.where(hit).select(F.col("job_post_id").alias("id")).distinct()
+    return Q.search_jobs(_jobs(d), d.d_link, d.d_skill_set, _keywords(d), SEARCH)
+
+
+@query("search_applications", f"""SELECT DISTINCT a.id FROM d_application a JOIN d_job_post j ON j.id = a.job_post_id JOIN d_company c ON c.id = j.company_id
+    LEFT JOIN d_application_skill m ON m.application_id = a.id LEFT JOIN d_skill_set s ON s.id = m.skill_set_id LEFT JOIN {KEYWORDS} k ON k.skill_set_id = s.id
+    LEFT JOIN d_link l ON l.job_post_id = j.id LEFT JOIN d_skill_set s2 ON s2.id = l.skill_set_id LEFT JOIN {KEYWORDS} k2 ON k2.skill_set_id = s2.id
+    WHERE {_row("a.status", " OR ".join(f"coalesce(contains(lower({x}), '@'), false)" for x in ("s.name", "k.raw_text", "s2.name", "k2.raw_text")))}""")
+def search_applications(d):
+    rows = d.d_application.selectExpr("id", "job_post_id", "status AS application_status").join(_jobs(d).withColumnRenamed("id", "job_post_id").drop("status"), "job_post_id")
+    return Q.search_applications(rows, d.d_application_skill, d.d_link, d.d_skill_set, _keywords(d), SEARCH)
+
+
+@query("keyword_lookup", f"SELECT k.skill_set_id, k.raw_text, s.name FROM {KEYWORDS} k JOIN d_skill_set s ON s.id = k.skill_set_id")
+def keyword_lookup(d):
+    """All keywords with their skill, in order of text and skill."""
+    named = _keywords(d).join(d.d_skill_set.selectExpr("id AS skill_set_id", "name"), "skill_set_id")
+    return named.select("skill_set_id", "raw_text", "name").orderBy(F.lower("raw_text"), "name", "skill_set_id")

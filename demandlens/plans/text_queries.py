@@ -8,7 +8,7 @@ from demandlens.plans.catalog import query
 
 WS = r"regexp_replace({0}, '\s+', ' ', 'g')"
 #: A text of each document with blanks and punctuation around it, so that the rules have something to do.
-NOISY = "' ,; ' || replace(substr(text, 1, 300), chr(10), '  ') || ' ./ '"
+NOISY = "' ,; ' || replace(text, chr(10), '  ') || ' ./ '"
 
 
 def _each(name: str, sql: str, source: str, key: str, f):
@@ -18,7 +18,7 @@ def _each(name: str, sql: str, source: str, key: str, f):
 
 
 def _noisy():
-    return F.concat(F.lit(" ,; "), F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit("  ")), F.lit(" ./ "))
+    return F.concat(F.lit(" ,; "), F.replace("text", F.lit("\n"), F.lit("  ")), F.lit(" ./ "))
 
 
 def _docs(name: str, expression: str, f):
@@ -28,30 +28,57 @@ def _docs(name: str, expression: str, f):
 _docs("normalize_name", f"lower(trim(trim({WS.format(NOISY)}), '.,;:|/\\'))", lambda: T.normalize_name(_noisy()))
 _docs("clean_keyword", f"trim(trim({WS.format(NOISY)}), ' .,;:|/\\')", lambda: T.clean_keyword(_noisy()))
 _docs("truncate_label", f"rtrim(substr(trim({WS.format('text')}), 1, 120))", lambda: T.truncated(F.col("text")))
-_docs("slugify", "substr(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 120)", lambda: T.slug(F.substring("text", 1, 200)))
-_docs("board_token", "regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '', 'g')", lambda: T.board_token(F.substring("text", 1, 60)))
+_docs("slugify", "substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 120)", lambda: T.slug(F.col("text")))
+_docs("board_token", "regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')", lambda: T.board_token(F.col("text")))
 _docs("clean_lines", "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 0), chr(10))", lambda: T.clean_lines(F.col("text")))
-_docs("catalog_tokens", "array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9+#.]+'), lambda x: length(x) > 1 AND x NOT IN ({})))), ' ')".format(", ".join(f"'{w}'" for w in T.STOP_WORDS)),
-      lambda: F.array_join(F.array_sort(T.tokens(F.col("text"))), " "))
+_docs("catalog_tokens", """array_to_string(list_sort(list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(text), '[^a-z0-9+#.]+'), lambda x: length(x) > 1
+    AND NOT regexp_full_match(x, 'a|an|and|for|in|of|or|the|to|with|skills?|tools?|technology|technologies|engineering|engineer|implementations?|solutions?')),
+    lambda x: CASE x WHEN 'ai' THEN ['ai', 'artificial', 'intelligence', 'machine', 'learning', 'genai'] WHEN 'llm' THEN ['llm', 'large', 'language', 'models', 'model', 'generative', 'ai']
+    WHEN 'ml' THEN ['ml', 'machine', 'learning'] WHEN 'etl' THEN ['etl', 'extract', 'transform', 'load', 'data'] WHEN 'db' THEN ['db', 'database', 'databases'] WHEN 'devops' THEN ['devops', 'cloud', 'infrastructure', 'deployment']
+    WHEN 'ot' THEN ['ot', 'operational', 'technology', 'security', 'cybersecurity'] WHEN 'nas' THEN ['nas', 'storage', 'network', 'infrastructure'] ELSE [x] END)))), ' ')""",
+      lambda: F.array_join(F.array_sort(T.expanded_tokens(F.col("text"))), " "))
 _docs("split_labels", "array_to_string(list_filter(list_transform(string_split_regex(text, '[\\r\\n|;]'), lambda x: trim(x, ' ')), lambda x: length(x) > 0), '#')", lambda: F.array_join(T.split_labels(F.col("text")), "#"))
 _docs("flt_keyword_word", "regexp_matches(lower(text), '(^|[^a-z0-9_])the([^a-z0-9_]|$)') AND lang = 'en'", lambda: T.whole_word(F.regexp_replace("text", "[^\\x00-\\x7F]", "#"), "the") & (F.col("lang") == "en"))
-_docs("skill_score", "(length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4", lambda: T.occurrences(F.col("text"), "tion"))
-_docs("search_tokens", f"array_to_string(list_filter(list_transform(string_split_regex(trim({WS.format('lower(substr(text, 1, 60))')}), '[\\s,]+'), lambda x: trim(x, '()[]{{}}')), lambda x: length(x) > 0), '|')",
-      lambda: F.array_join(F.filter(F.transform(F.split(T.collapse(F.lower(F.substring("text", 1, 60))), r"(?U)[\s,]+"), lambda x: F.btrim(x, F.lit("()[]{}"))), lambda x: F.length(x) > 0), "|"))
-
+_docs("term_count", "(length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4", lambda: T.occurrences(F.lower("text"), F.lit("tion")))
+_each("search_tokens", """SELECT id, array_to_string(list_transform(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), lambda x: x), '|') AS value FROM (SELECT id, list_filter(list_transform(
+    string_split_regex(trim(regexp_replace(title || ',  (' || upper(title) || ') [x] ,' || id, '\\s+', ' ', 'g')), '[\\s,]+'), lambda x: trim(x, '()[]{}')), lambda x: length(x) > 0) AS l FROM d_job_post)""".replace("\\\\", "\\"),
+      "d_job_post", "id", lambda: F.array_join(T.search_tokens(F.concat("title", F.lit(",  ("), F.upper("title"), F.lit(") [x] ,"), F.col("id").cast("string"))), "|"))
 _each("html_to_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'),
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS value FROM pages""", "pages", "page_id", lambda: T.html_text(F.col("html")))
 _each("url_host", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '^www\.', '') AS value FROM pages", "pages", "page_id", lambda: T.host(F.col("url")))
-_each("detect_source", r"SELECT page_id, CASE WHEN regexp_matches(lower(u), '^https?://([a-z0-9.-]*\.)?linkedin\.com([/:?#]|$)') THEN 'LINKEDIN' WHEN regexp_matches(lower(u), '^https?://([a-z0-9.-]*\.)?greenhouse\.io([/:?#]|$)') THEN 'GREENHOUSE' ELSE 'CAREER_SITE' END AS value FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace(url, 'example.com', 'linkedin.com') WHEN 1 THEN replace(url, 'example.net', 'greenhouse.io') ELSE url END AS u FROM pages)",
-      "pages", "page_id", lambda: T.detect_source(F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("example.com"), F.lit("linkedin.com"))).when(F.col("page_id") % 3 == 1, F.replace("url", F.lit("example.net"), F.lit("greenhouse.io"))).otherwise(F.col("url"))))
-
-_each("norm_job_type", "SELECT id, CASE lower(replace(employment_type, '-', ' ')) WHEN 'full time' THEN 'Full-time' WHEN 'part time' THEN 'Part-time' WHEN 'contract' THEN 'Contract' WHEN 'internship' THEN 'Internship' ELSE employment_type END AS value FROM d_job_post",
-      "d_job_post", "id", lambda: T.job_type(F.concat(F.lit(" "), F.upper(F.translate("employment_type", "-", "_")), F.lit("  "))))
 _each("norm_company", "SELECT id, lower(name) AS value FROM d_company", "d_company", "id", lambda: T.company_name(F.concat("name", F.element_at(F.array(F.lit(", Inc."), F.lit(" LLC"), F.lit(" Ltd."), F.lit(""), F.lit("  ")), (F.col("id") % 5 + 1).cast("int")))))
 _each("norm_source", "SELECT id, replace(lower(remote_type), '-', '_') AS value FROM d_job_post", "d_job_post", "id", lambda: T.source_key(F.col("remote_type")))
-_each("relation_type", "SELECT id, CASE id % 3 WHEN 0 THEN 'broader' WHEN 1 THEN 'narrower' ELSE 'related' END AS value FROM d_skill_set", "d_skill_set", "id", lambda: T.relation_type(F.element_at(F.array(F.lit("Broader "), F.lit("narrowerTransitive"), F.lit("see also")), (F.col("id") % 3 + 1).cast("int"))))
 _each("norm_confidence", "SELECT id, CASE id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.3 WHEN 2 THEN 1.0 ELSE NULL END::DOUBLE AS value FROM d_skill_set", "d_skill_set", "id",
       lambda: F.when(F.col("id") % 4 == 0, T.confidence(F.lit("HIGH"))).when(F.col("id") % 4 == 1, T.confidence(F.lit(" low"))).when(F.col("id") % 4 == 2, T.confidence(F.lit("7.5"))))
+
+
+def _cases(name: str, values: list[str | None], sql: str, f):
+    """A rule over a table whose rows take the values in turn; sql is the rule over x, in DuckDB's words."""
+    quoted = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+
+    @query(name, f"SELECT id, {sql} AS value FROM (SELECT id, ([{quoted}])[id % {len(values)} + 1] AS x FROM d_skill_set)")
+    def run(d):
+        given = F.array(*[F.lit(v).cast("string") for v in values])
+        return d.d_skill_set.select("id", F.element_at(given, (F.col("id") % len(values) + 1).cast("int")).alias("x")).select("id", f(F.col("x")).alias("value"))
+
+
+_cases("norm_job_type", ["FULL_TIME", " full time", "Fulltime", "PART-TIME ", "parttime", "Part  Time", "contract", "Contractor", "temp", "TEMPORARY", "intern", "Internship", "Seasonal  work", "", None],
+       """CASE WHEN regexp_matches(k, '^full[ -]?time$') THEN 'Full-time' WHEN regexp_matches(k, '^part[ -]?time$') THEN 'Part-time' WHEN k = 'contract' THEN 'Contract' WHEN k IN ('temp', 'temporary') THEN 'Temporary'
+       WHEN k IN ('intern', 'internship') THEN 'Internship' ELSE trim(regexp_replace(replace(x, '_', ' '), ' +', ' ', 'g')) END""".replace("k,", "lower(trim(regexp_replace(replace(x, '_', ' '), ' +', ' ', 'g'))),").replace("WHEN k ", "WHEN lower(trim(regexp_replace(replace(x, '_', ' '), ' +', ' ', 'g'))) "),
+       T.job_type)
+_cases("relation_type", ["broader", " Broader Than", "BROADERTHAN", "broader_than", "broaderTransitive", "narrower", "narrower than ", "NarrowerThan", "narrowermatch", "related", "", None],
+       "CASE WHEN regexp_matches(lower(trim(x)), '^broader( ?than)?$') THEN 'broader' WHEN regexp_matches(lower(trim(x)), '^narrower( ?than)?$') THEN 'narrower' ELSE 'related' END", T.relation_type)
+_cases("detect_source", ["https://www.linkedin.com/jobs/1", "LinkedIn.com/jobs", "https://notlinkedin.com/", "https://boards.greenhouse.io/x", "https://greenhouse.io/x", "job-boards.greenhouse.io:443/y", "user@jobs.lever.co./z",
+       "https://lever.co", "http://app.handshake.com", "https://x.joinhandshake.com?q=linkedin.com", "https://example.com", "", None, "RSS|https://example.com/feed", "LEVER|", "GENERIC_HTML|https://a.b", "RSS|linkedin.com"],
+       """coalesce(CASE WHEN regexp_matches(h, '(^|\.)linkedin\.com$') THEN 'LINKEDIN' WHEN regexp_matches(h, '(^|\.)(join)?handshake\.com$') THEN 'HANDSHAKE' WHEN regexp_matches(h, '(^|\.)(my|boards|job-boards)\.greenhouse\.io$') THEN 'GREENHOUSE'
+       WHEN regexp_matches(h, '(^|\.)jobs\.lever\.co$') THEN 'LEVER' END, CASE WHEN contains(x, '|') AND split_part(x, '|', 1) IN ('RSS', 'LEVER') THEN split_part(x, '|', 1) END, 'CAREER_SITE')""".replace("(h,", "(rtrim(regexp_extract(lower(regexp_replace(x, '^[A-Z_]+\|', '')), '^(?:https?://)?(?:[^/@?]*@)?([^/:?#]*)', 1), '.'),"),
+       lambda x: T.detect_source(F.element_at(F.split(x, r"\|"), -1), F.when(x.contains("|"), F.element_at(F.split(x, r"\|"), 1))))
+_cases("display_name", ["python", " NODE.JS ", "machine  learning", "Machine LEARNING", "data lake", "ETL", "dbt Cloud", "c++ / rust,", "apis", "<sql>", "123", "", None],
+       """CASE lower(n) WHEN 'python' THEN 'Python' WHEN 'node.js' THEN 'Node.js' WHEN 'machine learning' THEN 'Machine Learning' WHEN 'apis' THEN 'APIs' WHEN 'sql' THEN 'SQL' WHEN 'data lake' THEN 'Data Lake' WHEN 'etl' THEN 'Etl'
+       WHEN 'c++ / rust' THEN 'C++ / Rust' ELSE n END""".replace("lower(n)", "lower(trim(trim(regexp_replace(x, '\s+', ' ', 'g')), '.,;:|/\<>'))").replace("ELSE n", "ELSE trim(trim(regexp_replace(x, '\s+', ' ', 'g')), '.,;:|/\<>')"), T.display_name)
+_cases("expand_compound", ["Amazon Web Services (AWS)", "databases (MySQL, Oracle)", "testing (unit) (end to end) (Unit)", "(graphql)", "tools (a b c d e)", "plain", "note (see: x)", "()", None],
+       """CASE WHEN x LIKE 'Amazon%' THEN 'Amazon Web Services|AWS' WHEN x LIKE 'databases%' THEN 'Databases' WHEN x LIKE 'testing%' THEN 'Testing|Unit|End To End' WHEN x LIKE '(graph%' THEN 'GraphQL' WHEN x LIKE 'tools%' THEN 'Tools'
+       WHEN x = 'plain' THEN 'Plain' WHEN x LIKE 'note%' THEN 'Note' WHEN x = '()' THEN '()' ELSE '' END""", lambda x: F.array_join(T.compound_names(x), "|"))
 _each("parse_id_list", "SELECT id, id || ',' || (id + 1) AS value FROM d_skill_set", "d_skill_set", "id", lambda: F.array_join(F.transform(T.id_list(F.concat_ws(",", F.col("id"), F.lit(" x"), F.col("id") + 1, F.lit(""))), lambda x: x.cast("string")), ","))
 _each("format_percent", "SELECT id, CASE WHEN score % 4 = 0 THEN CAST(score // 4 AS VARCHAR) ELSE printf('%.2f', score / 4) END AS value FROM d_link", "d_link", "id", lambda: T.format_percent(F.col("score") / 4))
 _each("percentage", "SELECT id, CASE WHEN score = 0 THEN 0.0 ELSE CAST(floor((7 * 2000 + score) / (2 * score)) AS DOUBLE) / 10 END AS value FROM d_link", "d_link", "id", lambda: percentage(F.lit(7), F.col("score")))
