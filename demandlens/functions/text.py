@@ -69,12 +69,24 @@ def job_type(text: Column) -> Column:
     return F.coalesce(lookup(JOB_TYPES, F.lower(bare)), bare)
 
 
+# Legal suffixes, tried once each in this order.
+SUFFIXES = [", inc.", " inc.", ", llc", " llc", " ltd.", " ltd"]
+
+
 def company_name(text: Column) -> Column:
     """Lower case, without one legal suffix of each kind, in this order."""
     out = F.lower(collapse(text))
-    for suffix in (r",? inc\.", r",? llc", r" ltd\.", r" ltd"):
-        out = F.regexp_replace(out, suffix + "$", "")
-    return F.trim(out)
+    for suffix in SUFFIXES:
+        out = F.when(out.endswith(suffix), F.trim(F.substring(out, F.lit(1), F.length(out) - len(suffix)))).otherwise(out)
+    return out
+
+
+def plain_company(name: str) -> str:
+    """The same of a plain text."""
+    out = " ".join(name.split()).lower()
+    for suffix in SUFFIXES:
+        out = out.removesuffix(suffix).strip()
+    return out
 
 
 def source_key(text: Column) -> Column:
