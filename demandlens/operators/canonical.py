@@ -115,10 +115,11 @@ def canonicalize(rows: DataFrame) -> DataFrame:
     return staged.withColumns({"employment_type": kind, "job_type": kind, "company_name": F.coalesce("company_name", clean(F.col("default_company")), clean(F.col("source_name")))})
 
 
-def missing_fields(rows: DataFrame, required: tuple[str, ...] = ("title", "company_name", "source_url")) -> DataFrame:
-    """rows with ``missing``: the required fields that a payload lacks, as one text."""
-    gaps = F.filter(F.array(*[F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", c) for c in required]), lambda x: x.isNotNull())
-    return rows.withColumn("missing", F.array_join(gaps, ", "))
+def missing_fields(rows: DataFrame) -> DataFrame:
+    """rows with ``missing``: title, company and one of URL and external id, as far as a payload lacks them."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    lacks = [F.when(blank("title"), "title"), F.when(blank("company_name"), "company_name"), F.when(blank("source_url") & blank("external_id"), "source_url_or_external_id")]
+    return rows.withColumn("missing", F.array_join(F.filter(F.array(*lacks), lambda x: x.isNotNull()), ", "))
 
 
 # --- filters of a source: settings are lists of plain texts

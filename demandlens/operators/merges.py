@@ -147,3 +147,60 @@ def keyword_sync(skills: DataFrame, existing: DataFrame) -> DataFrame:
     both = desired.join(existing.select("skill_set_id", "normalized", F.lit(True).alias("there")), ["skill_set_id", "normalized"], "full")
     action = F.when(F.col("wanted") & F.col("there"), "keep").when(F.col("wanted"), "insert").otherwise("delete")
     return both.select("skill_set_id", "normalized", action.alias("action"))
+
+
+def ensure_keywords(existing: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The next state of keywords (skill_set_id, normalized, status): wanted ones are added, or take the wanted status."""
+    both = existing.join(wanted.select("skill_set_id", "normalized", F.col("status").alias("new_status")), ["skill_set_id", "normalized"], "full")
+    action = F.when(F.col("status").isNull(), "insert").when(F.col("new_status").isNull() | (F.col("new_status") == F.col("status")), "keep").otherwise("update")
+    return both.select("skill_set_id", "normalized", F.coalesce("new_status", "status").alias("status"), action.alias("action"))
+
+
+def manual_link_sync(links: DataFrame, desired: DataFrame) -> DataFrame:
+    """Links (job_post_id, skill_set_id, source, score) after the manual ones of the jobs in ``desired`` (job_post_id, skill_set_id) are
+    replaced; a null skill stands for none. Links of the pipeline stay, and new manual ones have score 0."""
+    jobs = desired.select("job_post_id").distinct().withColumn("asked", F.lit(True))
+    want = desired.where("skill_set_id IS NOT NULL").select("job_post_id", "skill_set_id").distinct().withColumn("want", F.lit(True))
+    both = links.join(want, ["job_post_id", "skill_set_id"], "full").join(jobs, "job_post_id", "left")
+    manual = F.col("source") == "MANUAL"
+    action = F.when(F.col("source").isNull(), "insert").when(manual & F.coalesce("asked", F.lit(False)) & F.col("want").isNull(), "delete").otherwise("keep")
+    return both.select("job_post_id", "skill_set_id", F.coalesce("source", F.lit("MANUAL")).alias("source"), F.coalesce("score", F.lit(0)).alias("score"), action.alias("action"))
+
+
+def status_history(before: DataFrame, after: DataFrame, as_of: str) -> DataFrame:
+    """One row (id, from_status, to_status, changed_at) for every application whose status changed or that is new."""
+    both = after.select("id", F.col("status").alias("to_status")).join(before.select("id", F.col("status").alias("from_status")), "id", "left")
+    return both.where("NOT (from_status <=> to_status)").select("id", "from_status", "to_status", F.expr(f"TIMESTAMP_NTZ'{as_of}'").alias("changed_at"))
+
+
+def approve(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Mappings (id, source, is_approved) after the listed ones are approved by hand."""
+    both = links.join(ids.select("id").distinct().withColumn("chosen", F.lit(True)), "id", "left")
+    chosen = F.coalesce("chosen", F.lit(False))
+    return both.select("id", F.when(chosen, "MANUAL").otherwise(F.col("source")).alias("source"), (chosen | F.col("is_approved")).alias("is_approved"))
+
+
+def embedding_backfill(skills: DataFrame, limit: int) -> DataFrame:
+    """(id, remaining) of the first skills without a vector, and how many are left after them."""
+    open_ = skills.where("embedding IS NULL").select("id")
+    left = open_.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("remaining"))
+    return open_.orderBy("id").limit(limit).crossJoin(left)
+
+
+def backfill_job_type(jobs: DataFrame) -> DataFrame:
+    """A blank job type becomes the employment type."""
+    return jobs.select("id", F.coalesce(F.nullif("job_type", F.lit("")), F.nullif("employment_type", F.lit("")), F.lit("")).alias("job_type"))
+
+
+def detail_gate(cards: DataFrame, stored: DataFrame, strategy: str = "new_or_missing", budget: int = 10) -> DataFrame:
+    """(row_id, fetch) of cards (row_id, external_id, source_url): which pages to fetch, at most ``budget``, in order of row_id.
+
+    ``all`` fetches every card, ``new_only`` those without a stored job, ``new_or_missing`` also those whose job has no description.
+    """
+    found = match_existing(cards, stored)
+    both = found.join(stored.select(F.col("id").alias("existing_id"), "description"), "existing_id", "left")
+    new = F.col("existing_id").isNull()
+    wanted = {"all": F.lit(True), "new_only": new}.get(strategy, new | (F.coalesce(F.trim("description"), F.lit("")) == ""))
+    marked = both.withColumn("wanted", wanted)
+    first = marked.where("wanted").select("row_id").orderBy("row_id").limit(budget).withColumn("fetch", F.lit(True))
+    return marked.select("row_id").join(first, "row_id", "left").select("row_id", F.coalesce("fetch", F.lit(False)).alias("fetch"))

@@ -143,3 +143,63 @@ def error_reason(metadata: Column, error_text: Column) -> Column:
     lines = F.filter(F.transform(F.split(F.coalesce(error_text, F.lit("")), r"\r\n|[\r\n]"), lambda x: F.trim(x)), lambda x: x != "")
     own = F.get_json_object(metadata, "$.error")
     return F.coalesce(F.when(~own.isin("", "false", "0"), own), first_of("failures"), first_of("sources"), F.try_element_at(lines, F.lit(-1)), F.lit(""))
+
+
+def facet_search(rows: DataFrame, facets: dict[str, str], query: str, fields: list[str]) -> DataFrame:
+    """Rows of equal facets in which every word of the query stands in one of the fields, case ignored."""
+    out = rows
+    for name, value in facets.items():
+        out = out.where(F.col(name).cast("string") == value)
+    for word in query.lower().split():
+        hit = F.lit(False)
+        for f in fields:
+            hit = hit | F.coalesce(F.lower(F.col(f).cast("string")).contains(word), F.lit(False))
+        out = out.where(hit)
+    return out
+
+
+def flagged_candidates(candidates: DataFrame, limit: int = 50) -> DataFrame:
+    """Candidates (name, n, flagged, reviewed) that wait for review, the most frequent first."""
+    return candidates.where("flagged AND NOT reviewed").orderBy(F.desc("n"), F.lower("name"), "name").limit(limit)
+
+
+def archive_list(archives: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest archives (id, created_at, status, archived_count) and whether each can be restored."""
+    shown = archives.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    return shown.select("id", "status", ((F.col("status") != "RESTORED") & (F.col("archived_count") > 0)).alias("can_restore"))
+
+
+def log_projection(logs: DataFrame, sources: DataFrame, companies: DataFrame) -> DataFrame:
+    """Log rows with the names of their source and company, display fields, metrics and the reason of an error."""
+    s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    c = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    both = logs.join(s, "source_id", "left").join(c, "company_id", "left")
+    return both.select(
+        "id", "crawl_run_id", "step_name", "status", "source_name", "company_name", F.date_format("created_at", "MMM d, h:mm a").alias("shown_at"),
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("title_at"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("iso_at"),
+        F.when(F.col("duration_ms").isNull(), "").otherwise(duration_display(F.col("duration_ms"))).alias("duration"), metric_text(F.col("metadata"), F.col("status")).alias("metrics"),
+        error_reason(F.col("metadata"), F.col("error_text")).alias("reason"),
+    )
+
+
+def on_cooldown(sources: DataFrame, as_of: str) -> DataFrame:
+    """Sources (id, rate_limited_until) and whether they still wait."""
+    return sources.select("id", F.coalesce(F.col("rate_limited_until") > F.expr(f"TIMESTAMP_NTZ'{as_of}'"), F.lit(False)).alias("cooling"))
+
+
+def application_display(applications: DataFrame, jobs: DataFrame, companies: DataFrame, own: DataFrame, asked: DataFrame, names: DataFrame) -> DataFrame:
+    """Applications with their job's title, company, type, place and the names of both lists of skills."""
+    def listed(links: DataFrame, key: str, name: str) -> DataFrame:
+        return links.join(names, "skill_set_id").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias(name))
+
+    j = jobs.select(F.col("id").alias("job_post_id"), "title", "employment_type", "location", "company_id")
+    both = applications.select(F.col("id").alias("application_id"), "job_post_id").join(j, "job_post_id").join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company")), "company_id")
+    both = both.join(listed(own, "application_id", "skills"), "application_id", "left").join(listed(asked, "job_post_id", "job_skills"), "job_post_id", "left")
+    return both.select("application_id", "title", "company", F.coalesce(F.nullif("employment_type", F.lit("")), F.lit("Unspecified")).alias("job_type"), "location", F.coalesce("skills", F.lit("")).alias("skills"), F.coalesce("job_skills", F.lit("")).alias("job_skills"))
+
+
+def job_keywords(links: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(job_post_id, keywords): the keywords of each job's skills, each text once, in order of skill and text."""
+    rows = links.select("job_post_id", "skill_set_id").join(keywords, "skill_set_id")
+    first = rows.groupBy("job_post_id", F.lower("raw_text").alias("key")).agg(F.min(F.struct("skill_set_id", "raw_text")).alias("x"))
+    return first.groupBy("job_post_id").agg(F.array_sort(F.collect_list("x")).alias("l")).select("job_post_id", F.array_join(F.transform("l", lambda x: x["raw_text"]), ", ").alias("keywords"))

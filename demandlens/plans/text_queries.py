@@ -70,12 +70,12 @@ _cases("relation_type", ["broader", " Broader Than", "BROADERTHAN", "broader_tha
        "CASE WHEN regexp_matches(lower(trim(x)), '^broader( ?than)?$') THEN 'broader' WHEN regexp_matches(lower(trim(x)), '^narrower( ?than)?$') THEN 'narrower' ELSE 'related' END", T.relation_type)
 _cases("detect_source", ["https://www.linkedin.com/jobs/1", "LinkedIn.com/jobs", "https://notlinkedin.com/", "https://boards.greenhouse.io/x", "https://greenhouse.io/x", "job-boards.greenhouse.io:443/y", "user@jobs.lever.co./z",
        "https://lever.co", "http://app.handshake.com", "https://x.joinhandshake.com?q=linkedin.com", "https://example.com", "", None, "RSS|https://example.com/feed", "LEVER|", "GENERIC_HTML|https://a.b", "RSS|linkedin.com"],
-       """coalesce(CASE WHEN regexp_matches(h, '(^|\.)linkedin\.com$') THEN 'LINKEDIN' WHEN regexp_matches(h, '(^|\.)(join)?handshake\.com$') THEN 'HANDSHAKE' WHEN regexp_matches(h, '(^|\.)(my|boards|job-boards)\.greenhouse\.io$') THEN 'GREENHOUSE'
-       WHEN regexp_matches(h, '(^|\.)jobs\.lever\.co$') THEN 'LEVER' END, CASE WHEN contains(x, '|') AND split_part(x, '|', 1) IN ('RSS', 'LEVER') THEN split_part(x, '|', 1) END, 'CAREER_SITE')""".replace("(h,", "(rtrim(regexp_extract(lower(regexp_replace(x, '^[A-Z_]+\|', '')), '^(?:https?://)?(?:[^/@?]*@)?([^/:?#]*)', 1), '.'),"),
+       r"""coalesce(CASE WHEN regexp_matches(h, '(^|\.)linkedin\.com$') THEN 'LINKEDIN' WHEN regexp_matches(h, '(^|\.)(join)?handshake\.com$') THEN 'HANDSHAKE' WHEN regexp_matches(h, '(^|\.)(my|boards|job-boards)\.greenhouse\.io$') THEN 'GREENHOUSE'
+       WHEN regexp_matches(h, '(^|\.)jobs\.lever\.co$') THEN 'LEVER' END, CASE WHEN contains(x, '|') AND split_part(x, '|', 1) IN ('RSS', 'LEVER') THEN split_part(x, '|', 1) END, 'CAREER_SITE')""".replace("(h,", r"(rtrim(regexp_extract(lower(regexp_replace(x, '^[A-Z_]+\|', '')), '^(?:https?://)?(?:[^/@?]*@)?([^/:?#]*)', 1), '.'),"),
        lambda x: T.detect_source(F.element_at(F.split(x, r"\|"), -1), F.when(x.contains("|"), F.element_at(F.split(x, r"\|"), 1))))
 _cases("display_name", ["python", " NODE.JS ", "machine  learning", "Machine LEARNING", "data lake", "ETL", "dbt Cloud", "c++ / rust,", "apis", "<sql>", "123", "", None],
        """CASE lower(n) WHEN 'python' THEN 'Python' WHEN 'node.js' THEN 'Node.js' WHEN 'machine learning' THEN 'Machine Learning' WHEN 'apis' THEN 'APIs' WHEN 'sql' THEN 'SQL' WHEN 'data lake' THEN 'Data Lake' WHEN 'etl' THEN 'Etl'
-       WHEN 'c++ / rust' THEN 'C++ / Rust' ELSE n END""".replace("lower(n)", "lower(trim(trim(regexp_replace(x, '\s+', ' ', 'g')), '.,;:|/\<>'))").replace("ELSE n", "ELSE trim(trim(regexp_replace(x, '\s+', ' ', 'g')), '.,;:|/\<>')"), T.display_name)
+       WHEN 'c++ / rust' THEN 'C++ / Rust' ELSE n END""".replace("lower(n)", r"lower(trim(trim(regexp_replace(x, '\s+', ' ', 'g')), '.,;:|/\<>'))").replace("ELSE n", r"ELSE trim(trim(regexp_replace(x, '\s+', ' ', 'g')), '.,;:|/\<>')"), T.display_name)
 _cases("expand_compound", ["Amazon Web Services (AWS)", "databases (MySQL, Oracle)", "testing (unit) (end to end) (Unit)", "(graphql)", "tools (a b c d e)", "plain", "note (see: x)", "()", None],
        """CASE WHEN x LIKE 'Amazon%' THEN 'Amazon Web Services|AWS' WHEN x LIKE 'databases%' THEN 'Databases' WHEN x LIKE 'testing%' THEN 'Testing|Unit|End To End' WHEN x LIKE '(graph%' THEN 'GraphQL' WHEN x LIKE 'tools%' THEN 'Tools'
        WHEN x = 'plain' THEN 'Plain' WHEN x LIKE 'note%' THEN 'Note' WHEN x = '()' THEN '()' ELSE '' END""", lambda x: F.array_join(T.compound_names(x), "|"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from demandlens.functions import text as T
 
 # Fixed values.
-JOB_TYPE_LABELS = [
-    ("Internship", r"\b(intern|internship|co[\s-]?op)\b"), ("Part-time", r"\bpart[\s-]?time\b"), ("Contract", r"\b(contract|contractor)\b"),
-    ("Temporary", r"\b(temp|temporary)\b"), ("Full-time", r"\b(full[\s-]?time|fulltime)\b"),
-]
+JOB_TYPE_LABELS = {
+    "Full-time": r"\bfull[\s-]?time\b", "Part-time": r"\bpart[\s-]?time\b", "Internship": r"\binternship\b|\bco[\s-]?op\b", "Contract": r"\bcontract(or)?\b", "Temporary": r"\btemp(orary)?\b",
+}
+BOARD_LABELS = JOB_TYPE_LABELS | {"Internship": r"\bintern(ship)?\b|\bco[\s-]?op\b"}
 NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
 
 
@@ -59,9 +59,9 @@ def time_value(html: Column) -> Column:
     return F.regexp_extract(html, r"(?i)<time[^>]+datetime=[\"']([^\"']+)[\"']", 1)
 
 
-def job_label(text: Column) -> Column:
+def job_label(text: Column, labels: dict[str, str] = JOB_TYPE_LABELS) -> Column:
     """The first kind of job that a text names, in the order of the patterns; empty without one."""
-    return F.coalesce(*[F.when(F.lower(text).rlike(p), label) for label, p in JOB_TYPE_LABELS], F.lit(""))
+    return F.coalesce(*[F.when(F.lower(text).rlike(p), label) for label, p in labels.items()], F.lit(""))
 
 
 def job_id(url: Column) -> Column:
@@ -104,16 +104,16 @@ BOARD = "struct<id: long, title: string, company_name: string, absolute_url: str
 
 
 def board_jobs(payloads: DataFrame, default_job_type: str | None = None) -> DataFrame:
-    """Jobs of board payloads (board_token, payload), JSON objects with a list ``jobs``; a location is a text or an object with a name."""
+    """Jobs of board payloads (board_token, payload and, if there, id, which is given back as ``key``), JSON objects with a list ``jobs``; a location is a text or an object with a name."""
     raw = F.explode(F.from_json(F.get_json_object("payload", "$.jobs"), "array<string>"))
-    rows = payloads.select("board_token", raw.alias("raw")).withColumn("j", F.from_json("raw", BOARD))
+    rows = payloads.select("board_token", F.col("id").alias("key") if "id" in payloads.columns else F.lit(None).cast("long").alias("key"), raw.alias("raw")).withColumn("j", F.from_json("raw", BOARD))
     place = F.coalesce(F.get_json_object("raw", "$.location.name"), F.when(~F.get_json_object("raw", "$.location").startswith("{"), F.get_json_object("raw", "$.location")))
     company = F.coalesce(F.nullif(F.col("j.company_name"), F.lit("")), F.initcap(F.replace("board_token", F.lit("-"), F.lit(" "))))
     rows = rows.withColumns({"location": place, "company_name": company, "description": board_text(F.col("j.content"))})
     searchable = F.concat_ws(" ", F.col("j.title"), "description", "location", "company_name")
-    kind = F.lit(default_job_type) if default_job_type else job_label(searchable)
+    kind = F.lit(default_job_type) if default_job_type else job_label(searchable, BOARD_LABELS)
     return rows.select(
-        "board_token", F.col("j.id").cast("string").alias("external_id"), "j.title", "company_name", F.col("j.absolute_url").alias("source_url"), "location", "description",
+        "key", "board_token", F.col("j.id").cast("string").alias("external_id"), "j.title", "company_name", F.col("j.absolute_url").alias("source_url"), "location", "description",
         "j.updated_at", "j.first_published", kind.alias("job_type"),
     )
 
@@ -122,7 +122,8 @@ def iso_time(text: Column) -> Column:
     """An ISO date or time, in UTC where it names no zone; null if it can't be read."""
     bare = F.trim(text)
     ok = bare.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-    zone = F.regexp_replace(F.regexp_replace(bare, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    zone = F.regexp_replace(F.regexp_replace(bare, "Z$", "+00:00"), r"(:.*[+-]\d{2})(\d{2})$", "$1:$2")
+    zone = F.regexp_replace(zone, r"([T ]\d{2}:\d{2})([+-]|$)", "$1:00$2")
     whole = F.when(ok & zone.rlike(r"[+-]\d{2}:\d{2}$") & zone.rlike(":.*[+-]"), zone).when(ok, F.concat(zone, F.when(zone.rlike(":"), "+00:00").otherwise(" 00:00:00+00:00")))
     return whole.try_cast("timestamp")
 
@@ -219,3 +220,47 @@ def read_taxonomy_csv(spark: SparkSession, path: str, aliases: dict[str, list[st
         raise ValueError(f"missing columns: {', '.join(lacking)}")
     cells = [F.nullif(F.trim(F.col(f"`{h}`")), F.lit("")).alias(f) for f, h in names.items()]
     return raw.select(*cells, F.monotonically_increasing_id().alias("ord"))
+
+
+def docx_text(content: bytes) -> str:
+    """Paragraph texts of a word-processor file's main part, a line each; what the file doesn't hold is empty."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+    except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):
+        return ""
+    lines = ["".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")) for p in root.iter() if p.tag.endswith("}p")]
+    return "\n".join(x for x in lines if x.strip())
+
+
+def uploads(spark: SparkSession, path: str, most_bytes: int = 5 << 20) -> DataFrame:
+    """(path, text, error) of uploaded files: plain and marked-down text in UTF-8, else Latin-1, and word-processor files.
+
+    Files of other kinds and those above the bound are told as errors without being read.
+    """
+    import pandas as pd
+
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    files = spark.read.format("binaryFile").load(path).withColumn("kind", kind)
+    error = F.when(~F.col("kind").isin("txt", "md", "docx"), "unsupported type").when(F.col("length") > most_bytes, "too large")
+
+    @F.pandas_udf("string")
+    def read(kinds: pd.Series, contents: pd.Series) -> pd.Series:
+        out = []
+        for k, c in zip(kinds, contents, strict=True):
+            if k == "docx":
+                out.append(docx_text(bytes(c)))
+                continue
+            try:
+                out.append(bytes(c).decode("utf-8-sig"))
+            except UnicodeDecodeError:
+                out.append(bytes(c).decode("latin-1"))
+        return pd.Series(out)
+
+    rows = files.withColumn("error", error)
+    good = rows.where("error IS NULL").select("path", T.clean_lines(read("kind", "content")).alias("text"), "error")
+    return good.unionByName(rows.where("error IS NOT NULL").select("path", F.lit(None).cast("string").alias("text"), "error"))

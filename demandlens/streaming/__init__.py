@@ -1 +1 @@
-
+"""Streams of pipeline events, as Structured Streaming queries."""
