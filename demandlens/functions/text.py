@@ -77,7 +77,7 @@ def company_name(text: Column) -> Column:
     """Lower case, without one legal suffix of each kind, in this order."""
     out = F.lower(collapse(text))
     for suffix in SUFFIXES:
-        out = F.when(out.endswith(suffix), F.trim(F.substring(out, F.lit(1), F.length(out) - len(suffix)))).otherwise(out)
+        out = F.trim(F.regexp_replace(out, rf"\Q{suffix}\E$", ""))
     return out
 
 

@@ -66,10 +66,15 @@ def location(text: Column) -> Column:
     )
 
 
-def first_value(raw: Column, keys: list[str]) -> Column:
-    """The first of the fields that says something, as text; objects and lists always do."""
-    values = [F.get_json_object(raw, f"$.{k}") for k in keys]
-    return F.coalesce(*[F.when(v.rlike(r"^\s*[\[{]") | clean(v).isNotNull(), v) for v in values])
+def fields_of(raw: Column) -> Column:
+    """A JSON object's fields as texts, read once; objects and lists stay JSON."""
+    return F.from_json(raw, "map<string,string>")
+
+
+def first_value(fields: Column, keys: list[str]) -> Column:
+    """The first of the fields that says something; objects and lists always do."""
+    names = F.filter(F.array(*map(F.lit, keys)), lambda k: F.coalesce(F.try_element_at(fields, k).rlike(r"^\s*[\[{]"), F.lit(False)) | clean(F.try_element_at(fields, k)).isNotNull())
+    return F.try_element_at(fields, F.try_element_at(names, F.lit(1)))
 
 
 def place(value: Column) -> Column:
@@ -81,12 +86,12 @@ def place(value: Column) -> Column:
     return location(F.when(value.rlike(r"^\s*\["), F.nullif(joined, F.lit(""))).otherwise(bare(value)))
 
 
-def sections(raw: Column) -> Column:
+def sections(fields: Column) -> Column:
     """A map of the posting's sections: those given as such, then the five known ones under their other names, which win."""
-    given = F.from_json(F.get_json_object(raw, "$.sections"), "map<string,string>")
+    given = F.from_json(F.try_element_at(fields, F.lit("sections")), "map<string,string>")
     kept = F.filter(F.map_entries(F.coalesce(given, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), lambda e: clean(e["value"]).isNotNull())
     own = F.transform(kept, lambda e: F.struct(e["key"].alias("key"), clean(e["value"]).alias("value")))
-    named = F.array(*[F.struct(F.lit(k).alias("key"), clean(first_value(raw, v)).alias("value")) for k, v in SECTIONS.items()])
+    named = F.array(*[F.struct(F.lit(k).alias("key"), clean(first_value(fields, v)).alias("value")) for k, v in SECTIONS.items()])
     named = F.filter(named, lambda e: e["value"].isNotNull())
     of_name = lambda key: F.try_element_at(F.transform(F.filter(named, lambda n: n["key"] == key), lambda n: n["value"]), F.lit(1))
     over = F.transform(own, lambda e: F.struct(e["key"].alias("key"), F.coalesce(of_name(e["key"]), e["value"]).alias("value")))
@@ -104,9 +109,9 @@ def canonicalize(rows: DataFrame) -> DataFrame:
 
     The type of a job is given, inferred from its texts, or, unless its source filters by type, the source's default.
     """
-    raw = F.col("raw")
-    staged = rows.withColumns({k: clean(first_value(raw, v)) for k, v in FIELDS.items() if k not in ("location", "remote_type")})
-    staged = staged.withColumns({"location": place(first_value(raw, FIELDS["location"])), "remote_type": place(first_value(raw, FIELDS["remote_type"])), "sections": sections(raw)})
+    raw, fields = F.col("raw"), F.col("_fields")
+    staged = rows.withColumn("_fields", fields_of(raw)).withColumns({k: first_value(fields, v) for k, v in FIELDS.items()}).withColumn("sections", sections(fields)).drop("_fields")
+    staged = staged.withColumns({k: place(F.col(k)) if k in ("location", "remote_type") else clean(F.col(k)) for k in FIELDS})
     texts = F.map_values("sections")
     staged = staged.withColumn("description", F.coalesce("description", F.nullif(F.array_join(texts, "\n\n"), F.lit(""))))
     searchable = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(texts, " "))
