@@ -269,7 +269,7 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(f"file://{tmp_path}/{k}")
         after = spark.read.parquet(f"file://{tmp_path}/{k}")
         if k < 4:
-            assert after.columns == corpus_pipeline.COLUMNS
+            assert after.columns == list(corpus_pipeline.COLUMNS)
         ids = [r["doc_id"] for r in after.collect()]
         if k == 0:
             assert len(ids) > 0.9 * len(before)
@@ -285,6 +285,62 @@ def test_pipeline_stages(spark, tmp_path):
         kept = after
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_edges(spark, docs, no_docs, empty):
+    """Nulls in every column, blank and long texts, repeated rows, clashing and missing columns, and no rows at all."""
+    import corpus_pipeline
+    from demandlens.llm.util import stored
+
+    kept = (no_docs if empty else docs).drop("n_chars").withColumn("_row", F.lit("x"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        kept = stored(stage(spark, kept, DATA), f"edge{k}")
+        if k < 4:
+            assert kept.columns == list(corpus_pipeline.COLUMNS)
+            texts = [r["text"] for r in kept.collect()]
+            assert (not texts) == empty and all(t and t.strip() for t in texts)
+    assert (kept.count() == 0) == empty
+
+
+def quoted_units(text):
+    """Units of a message whose quoted lines come first, all of level one."""
+    lines = [x[1:].removeprefix(" ") for x in (text or "").split("\n") if x.startswith(">")]
+    flat = lambda x: " ".join(x.lower().split())
+    return [u for u in dict.fromkeys([flat("\n".join(lines)), *map(flat, lines)]) if u]
+
+
+def test_threads_of_quoting_conversations(spark):
+    """The conversations of the table, every other message quoting the one before it or a line of a message elsewhere, against a search of all messages."""
+    from demandlens.session import table
+
+    rows = sorted((r["conv_id"], r["turn"], r["role"], r["text"] or "") for r in table(spark, DATA, "conversations").collect())
+    own = {(c, t): x for c, t, _, x in rows}
+    made = []
+    for k, (c, t, role, x) in enumerate(rows):
+        before = own.get((c, t - 1)) if k % 2 else own[rows[k // 2][:2]].split("\n")[0] if k % 5 == 0 else None
+        quote = "".join(f"> {line}\n" for line in before.split("\n")) if before else ""
+        made.append((c, t, role, quote + x))
+    flat = lambda x: " ".join(x.lower().split())
+    holds = {}
+    for c, t, _, x in made:
+        text = "\n".join(line for line in x.split("\n") if not line.startswith(">"))
+        for u in {flat(text), *map(flat, text.split("\n"))} - {""}:
+            holds.setdefault(u, []).append((c, t))
+    want = {}
+    for c, t, _, x in made:
+        votes = Counter()
+        for u in quoted_units(x):
+            near = min((p for p in holds.get(u, []) if p[0] == c), default=None)
+            far = min(holds.get(u, []), default=None)
+            if near and near < (c, t):
+                votes[near] += 1
+            elif far and far[0] != c and far < (c, t):
+                votes[far] += 1
+        want[c, t] = max(((n, p) for p, n in votes.items()), default=(0, (None, None)))[1]
+    got = chat.threads(spark.createDataFrame(made, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in got} == want
+    assert sum(p[0] is not None for p in want.values()) > len(rows) / 4
+
+
 def test_every_operator_has_a_query():
     import __spark_entry__
 
