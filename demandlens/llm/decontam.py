@@ -163,7 +163,8 @@ def windows_of(docs: DataFrame, items: DataFrame, sizes: list[int], similarity:
     )
     spans = F.filter(spans, lambda x: x["lo"] <= x["hi"])
     # both ends rise along the array, so a start that lies in an earlier span too lies in the one before
-    cut = F.transform(spans, lambda x, i: F.struct(F.when(i > 0, F.greatest(x["lo"], F.get(spans, i - 1)["hi"] + 1)).otherwise(x["lo"]).alias("lo"), x["hi"].alias("hi")))
+    later = lambda all_: F.transform(all_, lambda x, i: F.struct(F.when(i > 0, F.greatest(x["lo"], F.get(all_, i - 1)["hi"] + 1)).otherwise(x["lo"]).alias("lo"), x["hi"].alias("hi")))
+    cut = F.get(F.transform(F.array(spans), later), 0)  # the spans are worked out once
     starts = F.flatten(F.transform(F.filter(cut, lambda x: x["lo"] <= x["hi"]), lambda x: F.sequence(x["lo"], x["hi"])))
     found = stored(spots.withColumn("start", F.explode(starts)).select(*id_, "n", "m", "length", "size", "start"), "windows")
 
