@@ -48,10 +48,14 @@ def clean_keyword(text: Column) -> Column:
     return F.btrim(collapse(text), F.lit(" .,;:|/\\"))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def distinct_by(items: Column, key) -> Column:
-    """The first of the items of each key, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """The first of the items of each key, in order; for short lists, since every item is looked up among all keys."""
+    return let(items, lambda some: let(F.transform(some, key), lambda keys: F.filter(some, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def clean_aliases(items: Column) -> Column:
@@ -113,10 +117,10 @@ def tokens(text: Column) -> Column:
 
 def expanded_tokens(text: Column) -> Column:
     """The tokens with the words that their abbreviations stand for."""
-    found = tokens(text)
     table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    more = F.flatten(F.transform(found, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))
-    return F.array_union(found, more)
+    short = F.array(*map(F.lit, EXPANSIONS))
+    more = lambda t: F.flatten(F.transform(F.array_intersect(t, short), lambda x: F.try_element_at(table, x)))
+    return let(tokens(text), lambda t: F.array_union(t, more(t)))
 
 
 def display_name(text: Column) -> Column:

@@ -36,7 +36,7 @@ _docs("catalog_tokens", """array_to_string(list_sort(list_distinct(flatten(list_
     lambda x: CASE x WHEN 'ai' THEN ['ai', 'artificial', 'intelligence', 'machine', 'learning', 'genai'] WHEN 'llm' THEN ['llm', 'large', 'language', 'models', 'model', 'generative', 'ai']
     WHEN 'ml' THEN ['ml', 'machine', 'learning'] WHEN 'etl' THEN ['etl', 'extract', 'transform', 'load', 'data'] WHEN 'db' THEN ['db', 'database', 'databases'] WHEN 'devops' THEN ['devops', 'cloud', 'infrastructure', 'deployment']
     WHEN 'ot' THEN ['ot', 'operational', 'technology', 'security', 'cybersecurity'] WHEN 'nas' THEN ['nas', 'storage', 'network', 'infrastructure'] ELSE [x] END)))), ' ')""",
-      lambda: F.array_join(F.array_sort(T.expanded_tokens(F.col("text"))), " "))
+      lambda: F.array_join(F.sort_array(T.expanded_tokens(F.col("text"))), " "))
 _docs("split_labels", "array_to_string(list_filter(list_transform(string_split_regex(text, '[\\r\\n|;]'), lambda x: trim(x, ' ')), lambda x: length(x) > 0), '#')", lambda: F.array_join(T.split_labels(F.col("text")), "#"))
 _docs("flt_keyword_word", "regexp_matches(lower(text), '(^|[^a-z0-9_])the([^a-z0-9_]|$)') AND lang = 'en'", lambda: T.whole_word(F.regexp_replace("text", "[^\\x00-\\x7F]", "#"), "the") & (F.col("lang") == "en"))
 _docs("term_count", "(length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4", lambda: T.occurrences(F.lower("text"), F.lit("tion")))
