@@ -15,6 +15,10 @@ from demandlens.llm.util import components, doc_columns, stored
 
 #: From so many distinct fingerprints on, two wide segments cost less than three narrow ones.
 WIDE_FROM = 28_000_000
+#: Sets of shingles meet if one of so many bands of so many least hashes agrees.
+BANDS, ROWS = 24, 5
+#: A band key of more sets is split by further permutations; at the last level all pairs under a key are compared.
+CROWD, LEVELS = 100, 2
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -136,17 +140,143 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, wide: bo
     return prints.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, so that sums and products of hashes spread over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def band_keys(found: np.ndarray, level: int = 0) -> np.ndarray:
+    """BANDS keys of a set of hashes, each of the ROWS least values under as many permutations; levels differ in these."""
+    odd = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) + np.uint64(level << 20)) | np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), 1024):
+        np.minimum(least, (found[at : at + 1024, None] * odd).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = _mixed(keys + row)
+    return keys.view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, words: int, level: int = 0, whole: bool = False) -> DataFrame:
+    """(doc_id, fp, sid, n, bands) for every row: fingerprint, name and size of its set of shingles, and the set's band keys.
+
+    With ``whole`` the set itself is returned too. A text without words has an empty set and no bands.
+    """
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), 1000):
+                some = part.iloc[at : at + 1000]
+                rows = []
+                for text in some["text"].tolist():
+                    hashes = shingle_hashes(text, words)
+                    found = np.unique(hashes)
+                    sid = int(_mixed(found).sum(dtype=np.uint64).view(np.int64))
+                    bands = band_keys(found, level) if len(found) else None
+                    rows.append((fingerprint(hashes), sid, len(found), bands, *([found.view(np.int64)] if whole else [])))
+                out = pd.DataFrame(rows, columns=["fp", "sid", "n", "bands", *(["hashes"] if whole else [])])
+                out.insert(0, "doc_id", some["doc_id"].astype("Int64").array)
+                yield out
+
+    columns = "doc_id long, fp long, sid long, n int, bands array<long>" + (", hashes array<long>" if whole else "")
+    return doc_columns(docs, "doc_id", "text").mapInPandas(work, columns)
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Rows filed under a key at which more than one label lies."""
+    spread = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return rows.join(spread.select("key").hint("merge"), "key", "left_semi")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """(a, b) labels of the pairs whose sets have that many tenths of their union in common, or more."""
+    for side in "pq":
+        mine = sets.select(F.col("doc_id").alias(f"{side}_doc"), F.col("sid").alias(f"{side}_sid"), F.col("hashes").alias(f"{side}_set"))
+        pairs = pairs.join(mine.hint("merge"), [f"{side}_doc", f"{side}_sid"])
+    common = F.size(F.array_intersect("p_set", "q_set"))
+    return pairs.where(common * 10 >= tenths * (F.col("p_n") + F.col("q_n") - common)).selectExpr("p_label AS a", "q_label AS b")
+
+
+def _sized(tenths: int) -> Column:
+    """Sets of these sizes can reach the similarity, and their links aren't known."""
+    return (F.col("p_label") != F.col("q_label")) & (F.least("p_n", "q_n") * 10 >= F.greatest("p_n", "q_n") * tenths)
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{side}_{k}") for c, k in (("doc", "doc"), ("sid", "sid"), ("n", "n"), ("label", "label"))])
+
+
+def _relabelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, rows["label"] == roots["node"], "left").withColumn("label", F.coalesce("root", "label")).drop("node", "root")
+
+
+def similar_sets(docs: DataFrame, prints: DataFrame, labelled: DataFrame, words: int, tenths: int) -> DataFrame:
+    """(label, root) of labels that links between different sets of shingles join; labels without such a link may be missing.
+
+    1. Every set, once for all its copies, is filed under its band keys. Keys at which one label lies are dropped.
+    2. One pivot for each key, the same for all keys that hold it, is compared with the others filed there; this joins
+       dense groups without forming their pairs.
+    3. The pairs of different labels that are left under a key are compared. A key of more than CROWD sets is first
+       split by band keys of further permutations and goes through steps 2 and 3 again; at the last of LEVELS nothing
+       is split, so no pair is left out.
+
+    Sets are compared whole; only rows with a doc_id take part.
+    """
+    texts = doc_columns(docs, "doc_id", "text")
+    known = prints.where("doc_id IS NOT NULL AND n > 0")
+    once = known.groupBy("fp", "sid").agg(F.min(F.struct("doc_id", "n", "bands")).alias("s"))
+    filed = once.join(labelled.hint("merge"), "fp").select(F.explode("s.bands").alias("key"), F.col("s.doc_id").alias("doc"), "sid", F.col("s.n").alias("n"), "label")
+    open_ = stored(_crossing(stored(filed, "filed")), "open")
+    wanted = stored(open_.select("doc").distinct(), "wanted")
+    asked = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
+    sets = stored(shingle_sets(asked, words, whole=True).select("doc_id", "sid", "hashes").dropDuplicates(["doc_id", "sid"]), "sets")
+
+    links = None
+    rows = open_
+    for level in range(1, LEVELS + 1):
+        pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(level)).alias("x"), "doc", "sid", "n", "label")).alias("s")).select("key", "s.*")
+        pairs = _side(rows, "p").join(_side(pivots, "q").hint("merge"), "key").where(_sized(tenths)).drop("key").distinct()
+        roots = stored(components(_similar(pairs, sets, tenths), "dense_sets"), "roots")
+        dense = roots.selectExpr("node AS a", "root AS b")
+        links = dense if links is None else links.unionByName(dense)
+        rows = stored(_crossing(_relabelled(rows, roots)), "open")
+
+        crowded = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CROWD).select("key")
+        crowded = stored(crowded if level < LEVELS else crowded.where("false"), "crowded")
+        calm = rows.join(crowded.hint("merge"), "key", "left_anti")
+        pairs = _side(calm, "p").join(_side(calm, "q").hint("merge"), "key").where((F.col("p_sid") < F.col("q_sid")) & _sized(tenths)).drop("key").distinct()
+        links = links.unionByName(stored(_similar(pairs, sets, tenths), "links"))
+        if not crowded.limit(1).count():
+            break
+        rest = stored(rows.join(crowded.hint("merge"), "key", "left_semi"), "rest")
+        asked = texts.join(rest.select("doc").distinct().hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
+        again = shingle_sets(asked, words, level).select(F.col("doc_id").alias("doc"), "sid", "bands").dropDuplicates(["doc", "sid"])
+        finer = rest.join(again.hint("merge"), ["doc", "sid"]).withColumn("band", F.explode("bands"))
+        rows = stored(_crossing(stored(finer.select(F.xxhash64("key", "band").alias("key"), "doc", "sid", "n", "label"), "finer")), "open")
+    return components(links, "sets").selectExpr("node AS label", "root")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, distance: int = 4, tenths: int = 8) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the smallest of their component; one row for each id.
 
-    Rows with a null doc_id stay: nothing names the group they would stand for.
+    Two rows link if their fingerprints differ in at most ``distance`` bits, or if their sets of word shingles have
+    ``tenths`` of their union in common: the former are found by multi-index hashing, the latter by bands of least
+    hashes (at similarity 0.8 the bands meet with a probability of 0.99993, above it with a higher one) and compared
+    whole. Rows with a null doc_id stay: nothing names the group they would stand for; they link others by their
+    fingerprint alone. Texts without words are one group. Other columns are not read.
     """
-    found = stored(near_duplicates(docs, words, distance), "groups")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_copies"))
-    kept = stored(kept, "kept")
+    prints = stored(shingle_sets(docs, words), "prints")
+    labelled = stored(cluster(prints, distance).withColumnRenamed("root", "label"), "labelled")
+    more = similar_sets(docs, prints, labelled, words, tenths)
+    rooted = labelled.join(more.hint("merge"), "label", "left").select("fp", F.coalesce("root", "label").alias("root"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    names = stored(rooted.join(least.hint("merge"), "fp").select("root", "doc"), "rooted").groupBy("root").agg(F.min("doc").alias("_kept_id"))
+    kept = names.where("_kept_id IS NOT NULL").select("_kept_id").distinct()
     # a join by shuffle at every size: the table of ids grows with the documents
-    out = docs.join(kept.drop("_copies").hint("merge"), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
-    if kept.where("_copies > 1").limit(1).count():
+    out = docs.join(stored(kept, "kept").hint("merge"), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    if prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id IS NULL"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandlens.llm import chat, decontam, lm
 from tests.llm.conftest import TEXTS
+from tests.llm.near_copies import kept_ids
 
 DATA = "/root/testdata/sf0.001"
 
@@ -256,7 +257,6 @@ def test_threads_without_quotes_keep_turns(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
-    from demandlens.llm import simhash
     from demandlens.session import table
 
     docs = table(spark, "/root/testdata/sf0.001", "documents")
@@ -274,8 +274,7 @@ def test_pipeline_stages(spark, tmp_path):
         if k == 0:
             assert len(ids) > 0.9 * len(before)
         if k == 1:
-            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept).collect()}
-            assert sorted(ids) == sorted(set(groups.values()))
+            assert sorted(ids) == kept_ids(before)
         if k == 2:
             assert sorted(ids) == sorted({d for d, _ in before} - {d for d, _ in reference_matches(before, benchmark)})
         if k == 4:

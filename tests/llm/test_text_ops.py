@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from demandlens.llm import counts, encoding, language, mixing, pii, simhash, store, transport
 from tests.llm.conftest import TEXTS
+from tests.llm.near_copies import kept_ids, with_copies
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 DATA = "/root/testdata/sf0.001"
@@ -214,6 +215,27 @@ def test_simhash_edges(docs, no_docs):
     assert 2 not in kept and kept.count(3) == 1 and None in kept
 
 
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 2])
+def test_one_of_each_near_copy(spark, monkeypatch, crowd):
+    """Edited copies of the table's texts, short texts that share most of their shingles, and a group of similar texts; crowded keys are split."""
+    from demandlens.session import table
+
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    texts = [(r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").collect() if r["text"] and len(r["text"]) < 4000]
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    group = []
+    for k in range(40):
+        some = list(base)
+        for _ in range(rng.randint(2, 9)):
+            some[rng.randrange(150)] = f"x{rng.randrange(999)}"
+        group.append((5_000_000 + k, " ".join(some)))
+    short = [(6_000_000 + k, " ".join([*base[:k], f"end{k % 3}"])) for k in range(1, 30)]
+    made = with_copies(texts[:80], 3) + group + short + short[:5]
+    got = [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got) == kept_ids(made)
+
+
 # --- operators 3 and 4
 
 
