@@ -18,7 +18,9 @@ WIDE_FROM = 28_000_000
 #: Sets of shingles meet if one of so many bands of so many least hashes agrees.
 BANDS, ROWS = 24, 5
 #: A band key of more sets is split by further permutations; at the last level all pairs under a key are compared.
-CROWD, LEVELS = 100, 2
+CROWD, LEVELS = 5000, 2
+#: Longs of a set's marks, each of whose bits is the parity of the hashes that fall on it.
+MARKS = 8
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -159,10 +161,17 @@ def band_keys(found: np.ndarray, level: int = 0) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def marks(found: np.ndarray) -> np.ndarray:
+    """Parities of a set of hashes by their leading bits: the marks of two sets differ in no more bits than the sets in members."""
+    at = found >> np.uint64(64 - (64 * MARKS - 1).bit_length())
+    odd = np.bincount(at.astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def shingle_sets(docs: DataFrame, words: int, level: int = 0, whole: bool = False) -> DataFrame:
     """(doc_id, fp, sid, n, bands) for every row: fingerprint, name and size of its set of shingles, and the set's band keys.
 
-    With ``whole`` the set itself is returned too. A text without words has an empty set and no bands.
+    With ``whole`` the set itself and its marks are returned too. A text without words has an empty set and no bands.
     """
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,12 +184,12 @@ def shingle_sets(docs: DataFrame, words: int, level: int = 0, whole: bool = Fals
                     found = np.unique(hashes)
                     sid = int(_mixed(found).sum(dtype=np.uint64).view(np.int64))
                     bands = band_keys(found, level) if len(found) else None
-                    rows.append((fingerprint(hashes), sid, len(found), bands, *([found.view(np.int64)] if whole else [])))
-                out = pd.DataFrame(rows, columns=["fp", "sid", "n", "bands", *(["hashes"] if whole else [])])
+                    rows.append((fingerprint(hashes), sid, len(found), bands, *([found.view(np.int64), marks(found)] if whole else [])))
+                out = pd.DataFrame(rows, columns=["fp", "sid", "n", "bands", *(["hashes", "marks"] if whole else [])])
                 out.insert(0, "doc_id", some["doc_id"].astype("Int64").array)
                 yield out
 
-    columns = "doc_id long, fp long, sid long, n int, bands array<long>" + (", hashes array<long>" if whole else "")
+    columns = "doc_id long, fp long, sid long, n int, bands array<long>" + (", hashes array<long>, marks array<long>" if whole else "")
     return doc_columns(docs, "doc_id", "text").mapInPandas(work, columns)
 
 
@@ -204,8 +213,27 @@ def _sized(tenths: int) -> Column:
     return (F.col("p_label") != F.col("q_label")) & (F.least("p_n", "q_n") * 10 >= F.greatest("p_n", "q_n") * tenths)
 
 
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{side}_{k}") for c, k in (("doc", "doc"), ("sid", "sid"), ("n", "n"), ("label", "label"))])
+_FIELDS = ("doc", "sid", "n", "label")
+
+
+def _side(rows: DataFrame, side: str, more: tuple = ()) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in (*_FIELDS, *more)])
+
+
+def _all_pairs(rows: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Distinct pairs of different labels under a key that can reach the similarity by their sizes and marks.
+
+    Sets of sizes adding up to s have ``tenths`` of their union in common only if they differ in at most
+    s * (10 - tenths) / (10 + tenths) members, which bounds the bits in which their marks differ. So the join itself leaves
+    out nearly all pairs of lesser similarity, however many lie under a key, and no other.
+    """
+    names = tuple(f"m{k}" for k in range(MARKS))
+    known = sets.select(F.col("doc_id").alias("doc"), "sid", *[F.col("marks")[k].alias(m) for k, m in enumerate(names)])
+    marked = rows.join(known.hint("merge"), ["doc", "sid"])
+    apart = sum((F.bit_count(F.col(f"p_{m}").bitwiseXOR(F.col(f"q_{m}"))) for m in names), F.lit(0))
+    close = apart * (10 + tenths) <= (F.col("p_n") + F.col("q_n")) * (10 - tenths)
+    met = _side(marked, "p", names).join(_side(marked, "q", names).hint("merge"), "key").where((F.col("p_sid") < F.col("q_sid")) & _sized(tenths) & close)
+    return met.select(*[f"{side}_{c}" for side in "pq" for c in _FIELDS]).distinct()
 
 
 def _relabelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -218,9 +246,9 @@ def similar_sets(docs: DataFrame, prints: DataFrame, labelled: DataFrame, words:
     1. Every set, once for all its copies, is filed under its band keys. Keys at which one label lies are dropped.
     2. One pivot for each key, the same for all keys that hold it, is compared with the others filed there; this joins
        dense groups without forming their pairs.
-    3. The pairs of different labels that are left under a key are compared. A key of more than CROWD sets is first
-       split by band keys of further permutations and goes through steps 2 and 3 again; at the last of LEVELS nothing
-       is split, so no pair is left out.
+    3. The pairs of different labels that are left under a key are compared, those whose marks allow the similarity. A
+       key of more than CROWD sets is first split by band keys of further permutations and goes through steps 2 and 3
+       again; at the last of LEVELS nothing is split, so no pair is left out.
 
     Sets are compared whole; only rows with a doc_id take part.
     """
@@ -231,7 +259,7 @@ def similar_sets(docs: DataFrame, prints: DataFrame, labelled: DataFrame, words:
     open_ = stored(_crossing(stored(filed, "filed")), "open")
     wanted = stored(open_.select("doc").distinct(), "wanted")
     asked = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
-    sets = stored(shingle_sets(asked, words, whole=True).select("doc_id", "sid", "hashes").dropDuplicates(["doc_id", "sid"]), "sets")
+    sets = stored(shingle_sets(asked, words, whole=True).select("doc_id", "sid", "hashes", "marks").dropDuplicates(["doc_id", "sid"]), "sets")
 
     links = None
     rows = open_
@@ -246,8 +274,7 @@ def similar_sets(docs: DataFrame, prints: DataFrame, labelled: DataFrame, words:
         crowded = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CROWD).select("key")
         crowded = stored(crowded if level < LEVELS else crowded.where("false"), "crowded")
         calm = rows.join(crowded.hint("merge"), "key", "left_anti")
-        pairs = _side(calm, "p").join(_side(calm, "q").hint("merge"), "key").where((F.col("p_sid") < F.col("q_sid")) & _sized(tenths)).drop("key").distinct()
-        links = links.unionByName(stored(_similar(pairs, sets, tenths), "links"))
+        links = links.unionByName(stored(_similar(_all_pairs(calm, sets, tenths), sets, tenths), "links"))
         if not crowded.limit(1).count():
             break
         rest = stored(rows.join(crowded.hint("merge"), "key", "left_semi"), "rest")

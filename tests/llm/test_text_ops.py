@@ -215,6 +215,16 @@ def test_simhash_edges(docs, no_docs):
     assert 2 not in kept and kept.count(3) == 1 and None in kept
 
 
+def test_marks_differ_less_than_sets():
+    rng = np.random.default_rng(8)
+    for size, other in [(1, 1), (3, 40), (150, 130), (150, 0), (4000, 3000)]:
+        common = rng.integers(0, 1 << 64, rng.integers(0, 200), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 64, n, dtype=np.uint64)])) for n in (size, other))
+        apart = sum((int(x) ^ int(y)).bit_count() for x, y in zip(simhash.marks(a).view(np.uint64), simhash.marks(b).view(np.uint64), strict=True))
+        assert len(simhash.marks(a)) == simhash.MARKS and apart <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert sum(int(x).bit_count() for x in simhash.marks(np.array([5], dtype=np.uint64)).view(np.uint64)) == 1
+
+
 @pytest.mark.parametrize("crowd", [simhash.CROWD, 2])
 def test_one_of_each_near_copy(spark, monkeypatch, crowd):
     """Edited copies of the table's texts, short texts that share most of their shingles, and a group of similar texts; crowded keys are split."""
