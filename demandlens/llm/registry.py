@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandlens.llm import chat, counts, decontam, language, lm, mixing, oracles, pii, simhash, store, transport
+from demandlens.llm import chat, counts, decontam, language, lm, mixing, oracles, pii, repair, simhash, store, transport
 
 _QUERIES = {
     "op1_pseudonyms": pii.op1_pseudonyms,
@@ -19,6 +19,7 @@ _QUERIES = {
     "op8_transport_streams": transport.op8_transport_streams,
     "op9_language_id": language.op9_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_repair_conversations": repair.op11_repair_conversations,
 }
 
 
