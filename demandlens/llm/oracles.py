@@ -66,4 +66,26 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM chosen c JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-SQL: dict[str, str] = {"op11_repair_conversations": REPAIR}
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+RESAMPLE = rf"""
+WITH {CRC_TABLE},
+words AS (
+  SELECT 'd' AS side, rowid AS r, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
+  UNION ALL SELECT 'b', 0, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+distinct_words AS (SELECT word, {crc32("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc_table),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN distinct_words USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * (all_s + 10000) / ((s::DOUBLE + 1) * (all_t + 10000))))::BIGINT AS gain FROM counts, sums),
+totals AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM words JOIN distinct_words USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+weighed AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n + n) % n)) // n, 0)::BIGINT AS weight,
+    ('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT AS h
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN totals USING (r)),
+scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weighed),
+able AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM able
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20
+"""
+
+SQL: dict[str, str] = {"op11_repair_conversations": REPAIR, "op12_resample": RESAMPLE}
