@@ -88,4 +88,24 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN r
 UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20
 """
 
-SQL: dict[str, str] = {"op11_repair_conversations": REPAIR, "op12_resample": RESAMPLE}
+JACCARD = rf"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM texts),
+classes AS (SELECT dense_rank() OVER (ORDER BY list_sort(s)) AS c, r, doc_id, s FROM sets),
+points AS (SELECT c, min(doc_id) AS doc, any_value(s) AS s, len(any_value(s)) AS n FROM classes GROUP BY c),
+members AS (SELECT c, n, unnest(s) AS shingle FROM points),
+common AS (
+  SELECT a.c AS a, b.c AS b, a.n AS an, b.n AS bn, count(*) AS shared FROM members a JOIN members b ON a.shingle = b.shingle AND a.c < b.c
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= 90 * (an + bn - shared)),
+reach(a, b) AS (
+  SELECT c, c FROM points
+  UNION SELECT reach.a, e.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = reach.b),
+named AS (SELECT reach.a AS c, min(doc) AS component_id FROM reach JOIN points ON points.c = reach.b GROUP BY reach.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id FROM classes JOIN named USING (c)
+"""
+
+SQL: dict[str, str] = {"op11_repair_conversations": REPAIR, "op12_resample": RESAMPLE, "op13_jaccard_groups": JACCARD}

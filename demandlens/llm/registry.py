@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandlens.llm import chat, counts, decontam, language, lm, mixing, oracles, pii, repair, resample, simhash, store, transport
+from demandlens.llm import chat, counts, decontam, jaccard, language, lm, mixing, oracles, pii, repair, resample, simhash, store, transport
 
 _QUERIES = {
     "op1_pseudonyms": pii.op1_pseudonyms,
@@ -21,6 +21,7 @@ _QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_repair_conversations": repair.op11_repair_conversations,
     "op12_resample": resample.op12_resample,
+    "op13_jaccard_groups": jaccard.op13_jaccard_groups,
 }
 
 
