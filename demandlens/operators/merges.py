@@ -31,11 +31,16 @@ def sync_metrics(plan: DataFrame, group: list[str]) -> DataFrame:
 
 
 def match_existing(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """The newest stored job of the same external id or the same url: two equal joins instead of one with OR."""
-    stored = existing.select("id", "external_id", "source_url", "created_at")
-    by = [incoming.alias("i").join(stored.alias("s"), (F.col(f"i.{k}") == F.col(f"s.{k}")) & (F.col(f"i.{k}") != "")).select("i.row_id", "s.id", "s.created_at") for k in ("external_id", "source_url")]
-    found = by[0].unionByName(by[1]).groupBy("row_id").agg(F.max(F.struct("created_at", "id")).alias("x"))
-    return incoming.select("row_id").join(found, "row_id", "left").select("row_id", F.col("x.id").alias("existing_id"))
+    """The newest stored job of the same external id or the same url: two equal joins instead of one with OR.
+
+    Stored jobs of one key are one row before the join, so a row that comes in meets two at most, whatever a key holds.
+    """
+    out = incoming.select("row_id", "external_id", "source_url")
+    for k in ("external_id", "source_url"):
+        newest = existing.where(F.col(k) != "").groupBy(F.col(k).alias("k")).agg(F.max(F.struct("created_at", "id")).alias(f"by_{k}"))
+        out = out.join(newest, F.col(k) == F.col("k"), "left").drop("k")
+    found = F.greatest("by_external_id", "by_source_url")
+    return out.select("row_id", found["id"].alias("existing_id"))
 
 
 def attach_merge(existing: DataFrame, scored: DataFrame) -> DataFrame:

@@ -9,18 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.functions import text as T
-
-
-def containing(longs: DataFrame, shorts: DataFrame) -> DataFrame:
-    """(long, short): distinct pairs of texts of which the first holds the second.
-
-    Texts are joined on the beginning of the short one, up to three characters, among all runs of as many characters of
-    the long one; only such pairs are compared. An empty text is held by none.
-    """
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("long") - n + 1, F.lit(1))), lambda i: F.substring("long", i, F.lit(n)))
-    cut = longs.select("long").distinct().select("long", F.explode(F.array_distinct(F.concat(*[runs(n) for n in (1, 2, 3)]))).alias("key"))
-    begin = shorts.select("short").where("short <> ''").distinct().withColumn("key", F.substring("short", 1, 3))
-    return cut.join(begin, "key").where(F.col("long").contains(F.col("short"))).select("long", "short").distinct()
+from demandlens.operators.fuzzy import containing, weighted_matches
 
 
 def skill_terms(skills: DataFrame, keywords: DataFrame, alias_rows: DataFrame) -> DataFrame:
@@ -69,28 +58,29 @@ def fuzzy_matches(names: DataFrame, skills: DataFrame, threshold: float = 90.0)
         """One more than the edits that a name of ``size`` characters allows."""
         return F.floor(F.ceil(size / F.lit(least)) * slack + 1e-9).cast("int") + 1
 
+    def cut(rows: DataFrame) -> DataFrame:
+        """Rows (size, ...) once for each piece of a name of that size, with its place and width."""
+        out = rows.withColumn("parts", pieces(F.col("size"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        begin, end = (F.floor(F.col("size") * (F.col("k") + i) / F.col("parts")).cast("int") for i in (0, 1))
+        return out.withColumns({"at": begin, "width": end - begin})
+
     own = skills.groupBy(T.normalize_name(F.col("name")).alias("skill_name")).agg(F.min("id").alias("skill_id")).where("skill_name <> ''")
-    own = own.withColumn("size", F.length("skill_name")).withColumn("parts", pieces(F.col("size")))
-    cut = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    begin = F.floor(F.col("size") * F.col("k") / F.col("parts")).cast("int")
-    end = F.floor(F.col("size") * (F.col("k") + 1) / F.col("parts")).cast("int")
-    cut = cut.select("skill_name", "skill_id", "size", "parts", begin.alias("at"), F.substring("skill_name", begin + 1, end - begin).alias("piece"))
-    # every place and width at which some skill of a possible length is cut
-    shapes = cut.select("size", "at", F.length("piece").alias("width"), "parts").distinct()
-    asked = names.select("normalized").where("normalized <> ''").distinct().withColumn("n", F.length("normalized"))
-    near = (F.col("n") >= F.floor(F.col("size") * F.lit(least))) & (F.col("n") <= F.ceil(F.col("size") / F.lit(least)))
-    wide = asked.join(shapes, near).withColumn("shift", F.explode(F.sequence(-F.col("parts") + 1, F.col("parts") - 1)))
-    probe = wide.select("normalized", "size", "at", F.substring("normalized", F.col("at") + F.col("shift") + 1, F.col("width")).alias("piece")).where("at + 1 > 0 AND piece <> ''").distinct()
-    pairs = probe.join(cut.select("skill_name", "skill_id", "size", "at", "piece"), ["size", "at", "piece"]).select("normalized", "skill_name", "skill_id").distinct()
+    filed = cut(own.withColumn("size", F.length("skill_name"))).withColumn("piece", F.substring("skill_name", F.col("at") + 1, F.col("width")))
+    n = F.length("normalized")
+    sizes = F.sequence(F.floor(n * F.lit(least)).cast("int"), F.ceil(n / F.lit(least)).cast("int"))
+    asked = names.select("normalized").where("normalized <> ''").distinct().select("normalized", F.explode(sizes).alias("size")).where("size > 0")
+    wide = cut(asked).withColumn("shift", F.explode(F.sequence(-F.col("parts") + 1, F.col("parts") - 1))).where("at + shift >= 0")
+    probe = wide.select("normalized", "size", "at", F.substring("normalized", F.col("at") + F.col("shift") + 1, F.col("width")).alias("piece")).where("piece <> ''").distinct()
+    pairs = probe.join(filed.select("skill_name", "skill_id", "size", "at", "piece"), ["size", "at", "piece"]).select("normalized", "skill_name", "skill_id").distinct()
     scored = pairs.withColumn("score", edit_ratio(F.col("normalized"), F.col("skill_name"))).where(F.col("score") >= threshold)
     best = scored.groupBy("normalized").agg(F.min(F.struct((-F.col("score")).alias("s"), "skill_name", "skill_id")).alias("x"))
     return best.select("normalized", "x.skill_id", (-F.col("x.s")).alias("score"))
 
 
 def resolve(names: DataFrame, skills: DataFrame, alias_rows: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """names with skill_id, confidence and source: alias, exact, fuzzy, else unmapped; ``empty`` for a name without text."""
+    """names with skill_id, confidence and source: alias, exact, fuzzy (the weighted ratio), else unmapped; ``empty`` for a name without text."""
     first = alias_resolve(names, skills, alias_rows)
-    fuzzy = fuzzy_matches(first.where("source IS NULL"), skills, threshold).withColumnsRenamed({"normalized": "f_key", "skill_id": "f_id"})
+    fuzzy = weighted_matches(first.where("source IS NULL"), skills, threshold).withColumnsRenamed({"normalized": "f_key", "skill_id": "f_id"})
     both = first.join(fuzzy, first["normalized"] == fuzzy["f_key"], "left")
     open_ = F.col("source").isNull()
     return both.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.functions import text as T
-from demandlens.operators.resolution import containing
+from demandlens.operators.fuzzy import containing
 
 
 def skill_import(skills: DataFrame, rows: DataFrame) -> DataFrame:

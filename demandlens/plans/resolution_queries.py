@@ -66,8 +66,50 @@ def fuzzy_levenshtein(d):
     return R.fuzzy_matches(R.alias_resolve(_of(d, NAMES), skills(d), _of(d, ALIAS)).where("source IS NULL"), skills(d))
 
 
+#: Names in other orders, with words more, fewer or twice, misspelt, or inside longer texts.
+VARIANTS = """(SELECT id AS row_id, CASE id % 9 WHEN 0 THEN concat(split_part(name, ' ', 3), ' ', split_part(name, ' ', 1), ' ', split_part(name, ' ', 2)) WHEN 1 THEN concat(name, ' ', split_part(name, ' ', 1))
+    WHEN 2 THEN concat(substr(name, 1, 3), 'x', substr(name, 4)) WHEN 3 THEN concat('Senior ', name, ' specialist in teams') WHEN 4 THEN concat(name, ' pro') WHEN 5 THEN concat(split_part(name, ' ', 1), ' ', split_part(name, ' ', 2))
+    WHEN 6 THEN concat(split_part(name, ' ', 2), 's ', split_part(name, ' ', 1), ' ', split_part(name, ' ', 3)) WHEN 7 THEN concat('completely different ', CAST(id AS STRING)) ELSE replace(name, 'a', 'o') END AS name FROM d_skill_set)"""
+
+
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of texts of up to 120 characters, a bit of a HUGEINT for each character of ``a``."""
+    full = f"((1::HUGEINT << length({a})::INT) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN 1::HUGEINT << (i - 1)::INT ELSE 0 END))::HUGEINT)"
+    return f"(length({a}) - bit_count(list_reduce(list_prepend({full}, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
+def indel_share(a: str, b: str, lengths: str, least: float) -> str:
+    """100 less the share of insertions and deletions, 0 where more substitutions would be needed than the least share leaves."""
+    return f"CASE WHEN levenshtein({a}, {b}) <= {1 - least / 100} * ({lengths}) + 1e-9 THEN 100 - 100.0::DOUBLE * (length({a}) + length({b}) - 2 * {lcs(a, b)}) / ({lengths}) ELSE 0 END"
+
+
+def weighted(names: str, least: float = 90) -> str:
+    """SQL of the best skill of each name (normalized) by the weighted ratio, all pairs compared."""
+    listed = lambda c: f"list_sort(list_filter(string_split({c}, ' '), lambda w: w <> ''))"
+    token = least / 0.95
+    return f"""(WITH a AS (SELECT DISTINCT normalized AS x, {listed('normalized')} AS xw, list_distinct(xw) AS xs, array_to_string(xw, ' ') AS xo FROM {names} WHERE normalized <> ''),
+    b AS (SELECT k AS y, id, {listed('k')} AS yw, list_distinct(yw) AS ys, array_to_string(yw, ' ') AS yo FROM (SELECT {N('name')} AS k, min(id) AS id FROM {SKILL} GROUP BY 1)),
+    p AS (SELECT *, greatest(length(x), length(y)) < 1.5 * least(length(x), length(y)) AS alike, list_has_any(xs, ys) AS meets FROM a, b WHERE levenshtein(x, y) <= {1 - least / 100} * (length(x) + length(y)) OR contains(x, y) OR contains(y, x)
+        OR (alike AND (meets OR levenshtein(xo, yo) <= {1 - token / 100} * (length(x) + length(y))))),
+    q AS (SELECT *, array_to_string(list_sort(list_filter(xs, lambda w: NOT list_contains(ys, w))), ' ') AS xd, array_to_string(list_sort(list_filter(ys, lambda w: NOT list_contains(xs, w))), ' ') AS yd,
+        length(array_to_string(list_intersect(xs, ys), ' ')) AS n, CASE WHEN n > 0 THEN 1 ELSE 0 END AS g FROM p),
+    r AS (SELECT x AS normalized, y, id, {indel_share('x', 'y', 'length(x) + length(y)', least)} AS plain,
+        CASE WHEN NOT alike THEN 0 WHEN n > 0 AND (xd = '' OR yd = '') THEN 95 ELSE 0.95::DOUBLE * greatest({indel_share('xo', 'yo', 'length(xo) + length(yo)', token)}, {indel_share('xd', 'yd', '2 * (n + g) + length(xd) + length(yd)', token)},
+          CASE WHEN n > 0 THEN greatest(100 - 100.0::DOUBLE * (1 + length(xd)) / (2 * n + 1 + length(xd)), 100 - 100.0::DOUBLE * (1 + length(yd)) / (2 * n + 1 + length(yd))) ELSE 0 END) END AS words,
+        CASE WHEN NOT alike AND greatest(length(x), length(y)) <= 8 * least(length(x), length(y)) AND (contains(x, y) OR contains(y, x)) THEN 90 ELSE 0 END AS window_score FROM q)
+    SELECT normalized, id AS skill_id, round(greatest(plain, words, window_score), 4) AS score FROM r WHERE greatest(plain, words, window_score) >= {least} - 1e-9
+    QUALIFY row_number() OVER (PARTITION BY normalized ORDER BY round(greatest(plain, words, window_score), 6) DESC, y) = 1)"""
+
+
+@query("fuzzy_weighted", f"SELECT * FROM {weighted(f'(SELECT {N(C("name"))} AS normalized FROM {VARIANTS})')}")
+def fuzzy_weighted(d):
+    return R.weighted_matches(_of(d, VARIANTS).select(R.T.normalize_name(R.T.clean_keyword(F.col("name"))).alias("normalized")), skills(d))
+
+
+UNKNOWN = f"(SELECT normalized FROM {STAGED} WHERE source IS NULL)"
 LADDER = f"""(SELECT row_id, coalesce(x.skill_id, f.skill_id) AS skill_id, CASE WHEN source IN ('alias', 'exact') THEN 1.0 WHEN f.score IS NOT NULL THEN round(f.score / 100, 4) ELSE 0.0 END::DOUBLE AS confidence,
-    coalesce(source, CASE WHEN f.score IS NOT NULL THEN 'fuzzy' END, 'unmapped') AS source FROM {STAGED} x LEFT JOIN {FUZZY} f ON f.normalized = x.normalized AND x.source IS NULL)"""
+    coalesce(source, CASE WHEN f.score IS NOT NULL THEN 'fuzzy' END, 'unmapped') AS source FROM {STAGED} x LEFT JOIN {weighted(UNKNOWN)} f ON f.normalized = x.normalized AND x.source IS NULL)"""
 
 
 @query("resolve_ladder", f"SELECT * FROM {LADDER}")
