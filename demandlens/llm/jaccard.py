@@ -7,11 +7,12 @@ coordinates' minima in common, so points too far apart can't link. The points ar
   ``most`` members. The groups are dealt into more slabs than that, so the points of two linked sets are equal in some slab: in
   the slab's tree they lie in the same node, whose box has no extent in the slab's coordinates. Such a node is a key.
 - A node's points are packed along a space-filling curve into pages, each with the box of its points. Pages of a node are
-  compared only if their boxes allow enough overlap, then their points by the sum of minima over all DIMS groups.
+  compared only if their boxes allow enough overlap, then their points by the sum of minima over all DIMS groups, and over FINE groups
+  of which the counts' parities are kept: counts that differ in parity differ by one at least.
 - Pairs that survive are verified on their whole sets.
 
-Equal sets are one point. A node's pivot is compared first, which joins dense groups without their pairs; links inside a group add
-nothing afterwards.
+Equal sets are one point. A node's pivots are compared first, one a round, which joins dense groups without their pairs; links inside a
+group add nothing afterwards.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from demandlens.llm.util import components, doc_columns, stored
 
 #: Coordinates of a whole point, and those of the coarser one by which boxes are compared first.
 DIMS, COARSE = 64, 8
+#: Groups of which a point has the parities alone, a bit each.
+FINE = 512
+#: Pivots of a node that are compared with its other points before their pairs are.
+PIVOTS = 2
 #: Points of a page.
 PAGE = 64
 #: Groups of a slab, by the upper bits of a hash.
@@ -127,6 +132,12 @@ def point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=DIMS)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the members by group, at FINE groups, as longs."""
+    odd = np.bincount((hashes >> np.uint64(65 - FINE.bit_length())).astype(np.int64), minlength=FINE) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def curve(p: np.ndarray) -> int:
     """Place of a point on a Z-order curve over its four sums of 16 coordinates, 12 leading bits each."""
     four = p.reshape(4, -1).sum(axis=1)
@@ -135,11 +146,11 @@ def curve(p: np.ndarray) -> int:
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_WHOLE = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("place", pa.int64()), ("point", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+_WHOLE = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("place", pa.int64()), ("point", pa.list_(pa.int32())), ("fine", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))])
 
 
 def sets(docs: DataFrame, words: int, num: int, den: int, whole: bool = False) -> DataFrame:
-    """(doc_id, sid, n, keys) of every row, or with ``whole`` (doc_id, sid, place, point, hashes)."""
+    """(doc_id, sid, n, keys) of every row, or with ``whole`` (doc_id, sid, place, point, fine, hashes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, rows, held = Classes(num, den), [], 0
@@ -148,7 +159,7 @@ def sets(docs: DataFrame, words: int, num: int, den: int, whole: bool = False) -
                 hashes, sid = shingle_set(text.as_py(), words)
                 if whole:
                     p = point(hashes)
-                    rows.append({"doc_id": doc_id, "sid": sid, "place": curve(p), "point": p, "hashes": hashes.view(np.int64)})
+                    rows.append({"doc_id": doc_id, "sid": sid, "place": curve(p), "point": p, "fine": parities(hashes), "hashes": hashes.view(np.int64)})
                     held += len(hashes)
                 else:
                     keys = nodes(hashes, classes) if len(hashes) else None
@@ -160,7 +171,7 @@ def sets(docs: DataFrame, words: int, num: int, den: int, whole: bool = False) -
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _WHOLE if whole else _SETS)
 
-    ddl = "doc_id long, sid binary, place long, point array<int>, hashes array<long>" if whole else "doc_id long, sid binary, n long, keys array<long>"
+    ddl = "doc_id long, sid binary, place long, point array<int>, fine array<long>, hashes array<long>" if whole else "doc_id long, sid binary, n long, keys array<long>"
     return doc_columns(docs, "doc_id", "text").mapInArrow(work, ddl)
 
 
@@ -190,11 +201,11 @@ def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFra
     return left.where(enough(F.size(F.array_intersect("p_set", "q_set")))).select(F.col("p_label").alias("a"), F.col("q_label").alias("b"))
 
 
-_PAGE = "key long, page long, low array<int>, high array<int>, n_low long, n_high long, label_low long, label_high long, node array<long>, n array<long>, label array<long>, point array<int>"
+_PAGE = "key long, page long, low array<int>, high array<int>, n_low long, n_high long, label_low long, label_high long, node array<long>, n array<long>, label array<long>, point array<int>, fine array<long>"
 
 
 def pages(filed: DataFrame) -> DataFrame:
-    """Pages of PAGE points of each node (key, node, n, label, place, point), packed along the curve, with their boxes.
+    """Pages of PAGE points of each node (key, node, n, label, place, point, fine), packed along the curve, with their boxes.
 
     Dealt by range over key and place, so the points of one node fill several tasks.
     """
@@ -207,7 +218,7 @@ def pages(filed: DataFrame) -> DataFrame:
             coarse = points.reshape(len(rows), COARSE, -1).sum(axis=2)
             columns = {c: [r[c] for r in rows] for c in ("node", "n", "label")}
             ends = {"n_low": min(columns["n"]), "n_high": max(columns["n"]), "label_low": min(columns["label"]), "label_high": max(columns["label"])}
-            return {"key": rows[0]["key"], "page": rows[0]["node"], "low": coarse.min(axis=0), "high": coarse.max(axis=0), **ends, **columns, "point": points.ravel()}
+            return {"key": rows[0]["key"], "page": rows[0]["node"], "low": coarse.min(axis=0), "high": coarse.max(axis=0), **ends, **columns, "point": points.ravel(), "fine": np.concatenate([r["fine"] for r in rows])}
 
         def out() -> Iterator[dict]:
             rows: list[dict] = []
@@ -247,7 +258,7 @@ def page_pairs(packed: DataFrame, num: int, den: int) -> DataFrame:
     sizes = (F.col("p_n_high") * den >= F.col("q_n_low") * num) & (F.col("q_n_high") * den >= F.col("p_n_low") * num)
     boxes = (minima * (num + den) >= (F.col("p_n_low") + F.col("q_n_low")) * num) & (gap * (num + den) <= (F.col("p_n_high") + F.col("q_n_high")) * (den - num))
     met = side("p").join(side("q").hint("merge"), "key").where(meet & sizes & boxes)
-    names = [f"{s}_{c}" for s in "pq" for c in ("node", "n", "label", "point")]
+    names = [f"{s}_{c}" for s in "pq" for c in ("node", "n", "label", "point", "fine")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +267,9 @@ def page_pairs(packed: DataFrame, num: int, den: int) -> DataFrame:
                 p, q = (value[f"{s}_point"].reshape(-1, DIMS) for s in "pq")
                 pn, qn = value["p_n"], value["q_n"]
                 common = np.stack([np.minimum(x, q).sum(axis=1) for x in p])
+                p_fine, q_fine = (value[f"{s}_fine"].view(np.uint64).reshape(-1, FINE // 64) for s in "pq")
+                odd = np.bitwise_count(p_fine[:, None] ^ q_fine[None]).sum(axis=2, dtype=np.int64)
+                common = np.minimum(common, (pn[:, None] + qn[None, :] - odd) // 2)
                 good = common * (num + den) >= (pn[:, None] + qn[None, :]) * num
                 good &= value["p_label"][:, None] != value["q_label"][None, :]
                 if np.array_equal(value["p_node"], value["q_node"]):
@@ -286,20 +300,22 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int =
     texts = doc_columns(docs, "doc_id", "text")
     texts = texts.join(wanted.select("least").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     whole = sets(texts, words, num, den, whole=True).join(wanted.select("sid", "node").hint("merge"), "sid").dropDuplicates(["sid"])
-    whole = stored(whole.select("node", "place", "point", "hashes"), "whole")
+    whole = stored(whole.select("node", "place", "point", "fine", "hashes"), "whole")
     open_ = stored(open_, "open")
 
-    pivots = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("x"), "node", "n", "label")).alias("s")).select("key", F.col("s.node").alias("q"), F.col("s.n").alias("q_n"), F.col("s.label").alias("q_label"))
-    tried = open_.join(pivots.hint("merge"), "key").where((F.col("node") != F.col("q")) & _near("n", "q_n", num, den))
-    tried = tried.select(F.col("node").alias("p"), "q", F.col("n").alias("p_n"), "q_n", F.col("label").alias("p_label"), "q_label").distinct()
-    dense = stored(components(stored(_verified(tried, whole, num, den), "tried"), "dense"), "roots")
-
-    rest = open_.join(pivots.select("key", "q").hint("merge"), "key").where(F.col("node") != F.col("q")).select("key", "node", "n")
-    rest = rest.join(dense.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label"))
-    rest = stored(_crossing(stored(rest, "rest")), "crossing")
-    packed = stored(pages(rest.join(whole.select("node", "place", "point").hint("merge"), "node")), "pages")
+    rest, edges = open_, None
+    for k in range(PIVOTS):
+        pivots = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "label")).alias("s")).select("key", F.col("s.node").alias("q"), F.col("s.n").alias("q_n"), F.col("s.label").alias("q_label"))
+        both = stored(rest.join(pivots.hint("merge"), "key").where("node <> q"), "tried")
+        tried = both.where((F.col("label") != F.col("q_label")) & _near("n", "q_n", num, den)).select(F.col("node").alias("p"), "q", F.col("n").alias("p_n"), "q_n", F.col("label").alias("p_label"), "q_label")
+        roots = stored(components(stored(_verified(tried.distinct(), whole, num, den), "linked"), "dense"), "roots")
+        more = roots.selectExpr("node AS a", "root AS b")
+        edges = more if edges is None else edges.unionByName(more)
+        labelled = both.select("key", "node", "n", "label").join(roots.withColumnRenamed("node", "label").hint("merge"), "label", "left")
+        rest = stored(_crossing(stored(labelled.select("key", "node", "n", F.coalesce("root", "label").alias("label")), "rest")), "crossing")
+    packed = stored(pages(rest.join(whole.select("node", "place", "point", "fine").hint("merge"), "node")), "pages")
     links = stored(_verified(stored(page_pairs(packed, num, den), "pairs"), whole, num, den), "links")
-    roots = stored(components(links.unionByName(dense.selectExpr("node AS a", "root AS b")), "links"), "roots")
+    roots = stored(components(links.unionByName(edges), "links"), "roots")
 
     rooted = stored(once.select("sid", "node", "least").join(roots.hint("merge"), "node", "left").select("sid", "least", F.coalesce("root", "node").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -89,7 +89,8 @@ def test_linked_sets_meet_in_a_node_and_within_the_bound():
         a = np.unique(a)
         common = len(np.intersect1d(a, b))
         minima = int(np.minimum(jaccard.point(a), jaccard.point(b)).sum())
-        assert minima >= common
+        odd = int(np.bitwise_count((jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64)).sum())
+        assert minima >= common and len(a) + len(b) - odd >= 2 * common
         if 10 * common >= 9 * (len(a) + len(b) - common) and len(a) != common:
             met += 1
             assert set(jaccard.nodes(a, classes)) & set(jaccard.nodes(b, classes))
@@ -97,8 +98,8 @@ def test_linked_sets_meet_in_a_node_and_within_the_bound():
 
 
 def test_pages_cover_and_bound_their_points(spark):
-    rows = [(i % 3, i, 5 + i % 4, i, i * 7 % 50, [(i * d) % 3 for d in range(jaccard.DIMS)]) for i in range(400)]
-    filed = spark.createDataFrame(rows, "key long, node long, n long, label long, place long, point array<int>")
+    rows = [(i % 3, i, 5 + i % 4, i, i * 7 % 50, [(i * d) % 3 for d in range(jaccard.DIMS)], [i] * (jaccard.FINE // 64)) for i in range(400)]
+    filed = spark.createDataFrame(rows, "key long, node long, n long, label long, place long, point array<int>, fine array<long>")
     got = jaccard.pages(filed).collect()
     assert sorted(x for p in got for x in p["node"]) == list(range(400))
     for p in got:
