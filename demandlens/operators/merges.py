@@ -116,26 +116,48 @@ def job_keys(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"exact": exact, "finger": finger})
 
 
+def _predecessors(rows: DataFrame, key: str) -> DataFrame:
+    """rows (rid, source, ord, ...) with ``n_<key>``, 0, 1 or 2 (or more) rows of the key before, and ``p_<key>``, the only one.
+
+    The two first rows of a key are pre-aggregated minima, so a key of any number of rows is split.
+    """
+    known = rows.where(F.col(key).isNotNull()).select(F.col("source").alias("s"), F.col(key).alias("k"), F.struct("ord", "rid").alias("at"))
+    first = known.groupBy("s", "k").agg(F.min("at").alias("one"))
+    later = known.withColumnsRenamed({"s": "s2", "k": "k2"}).join(first, F.col("s2").eqNullSafe(F.col("s")) & (F.col("k2") == F.col("k"))).where("at > one")
+    second = later.groupBy("s", "k").agg(F.min("at").alias("two")).withColumnsRenamed({"s": "s2", "k": "k2"})
+    ends = first.join(second, F.col("s2").eqNullSafe(F.col("s")) & (F.col("k2") == F.col("k")), "left").select("s", "k", "one", "two")
+    out = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col(key) == F.col("k")), "left")
+    n = F.when(F.col("one.rid").isNull() | (F.col("one.rid") == F.col("rid")), 0).when(F.col("two.rid") == F.col("rid"), 1).otherwise(2)
+    return out.withColumns({f"n_{key}": n, f"p_{key}": F.when(n == 1, F.col("one.rid"))}).drop("s", "k", "one", "two")
+
+
 def greedy_dedupe(rows: DataFrame) -> DataFrame:
     """Rows (source, ord, exact, finger, ...) in order: dropped if a kept row of the source has the exact key or the fingerprint.
 
-    A null key equals no other. A dropped row registers neither key. In every round the open rows that come first under
-    both their keys are kept and the rows that share a key with them dropped; the others wait. Keys are joined as
-    pre-aggregated minima, so a source of any size is split. ``ord`` is distinct within a source.
+    A null key equals no other. A dropped row registers neither key. ``ord`` is distinct within a source. In every round, an open row without open rows
+    of its keys before it is kept, and one with a single such row is kept if that one isn't. Along chains of the latter, fates are
+    composed by doubling, so a chain of n rows takes log n joins; then all rows that share a key with a kept one are dropped and the
+    others wait. A row behind several open ones waits for a round in which they are decided: this choice by order is a greedy matching
+    of keys and fingerprints, for which no method of few rounds is known, so rows that wait for one another in many levels take as many rounds.
     """
     shape = rows.columns
-    open_ = cut_lineage(rows)
+    open_ = cut_lineage(rows.withColumn("rid", F.monotonically_increasing_id()))
     kept: list[DataFrame] = []
     while not open_.isEmpty():
-        marked = open_
-        for key in ("exact", "finger"):
-            first = open_.where(F.col(key).isNotNull()).groupBy("source", key).agg(F.min("ord").alias(f"first_{key}"))
-            first = first.withColumnRenamed("source", "s")
-            marked = marked.join(first, F.col("source").eqNullSafe(F.col("s")) & (marked[key] == first[key]), "left").drop("s", first[key])
-        firsts = (F.coalesce("first_exact", "ord") == F.col("ord")) & (F.coalesce("first_finger", "ord") == F.col("ord"))
-        marked = cut_lineage(marked.withColumn("keep", firsts))
-        kept.append(marked.where("keep").select(*shape))
-        rest = marked.where(~F.col("keep")).select(*shape)
+        marked = _predecessors(_predecessors(open_, "exact"), "finger")
+        before = F.array_distinct(F.array_compact(F.array("p_exact", "p_finger")))
+        several = (F.greatest("n_exact", "n_finger") > 1) | (F.size(before) > 1)
+        free = F.greatest("n_exact", "n_finger") == 0
+        to = F.when(free | several, F.col("rid")).otherwise(F.element_at(before, 1))
+        fates = cut_lineage(marked.select("rid", to.alias("to"), (to != F.col("rid")).alias("flip"), free.alias("free")))
+        while True:
+            next_ = fates.select(F.col("rid").alias("mid"), F.col("to").alias("to2"), F.col("flip").alias("flip2"), F.col("free").alias("free2"))
+            fates = cut_lineage(fates.join(next_, F.col("to") == F.col("mid")).select("rid", F.col("to2").alias("to"), (F.col("flip") != F.col("flip2")).alias("flip"), F.col("free2").alias("free"), (F.col("to") != F.col("to2")).alias("moved")))
+            if fates.where("moved").isEmpty():
+                break
+        decided = open_.join(fates.where("free").select("rid", "flip"), "rid", "left")
+        kept.append(cut_lineage(decided.where("NOT flip").select(*shape)))
+        rest = decided.where("flip IS NULL").select("rid", *shape)
         for key in ("exact", "finger"):
             taken = kept[-1].where(F.col(key).isNotNull()).select(F.col("source").alias("s"), F.col(key).alias("k")).distinct()
             rest = rest.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col(key) == F.col("k")), "left_anti")

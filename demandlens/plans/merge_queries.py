@@ -98,7 +98,15 @@ def dedupe_first(d):
     return G.dedupe_first(d.part.select("p_name", "p_partkey", "p_brand"), ["p_name"], ["p_partkey"])
 
 
-@query("greedy_dedupe")
+@query("greedy_dedupe", """SELECT source, ord, exact, finger FROM (WITH RECURSIVE r AS (
+    SELECT p_type AS source, p_partkey::BIGINT AS ord, CASE WHEN p_partkey % 3 = 0 THEN 'external_id ' || lower(p_name) WHEN p_partkey % 4 = 0 THEN 'source_url ' || lower(p_brand) END AS exact,
+      CASE WHEN p_partkey % 5 > 0 THEN concat_ws(chr(10), lower(p_name), lower(p_brand), '', (p_size % 2)::VARCHAR) END AS finger, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part),
+    scan(source, i, ord, exact, finger, keep, keys) AS (
+      SELECT DISTINCT p_type, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, false, []::VARCHAR[] FROM part
+      UNION ALL SELECT r.source, r.i, r.ord, r.exact, r.finger, NOT coalesce(list_contains(keys, r.exact), false) AND NOT coalesce(list_contains(keys, r.finger), false),
+        CASE WHEN NOT coalesce(list_contains(keys, r.exact), false) AND NOT coalesce(list_contains(keys, r.finger), false) THEN list_concat(keys, list_filter([r.exact, r.finger], lambda x: x IS NOT NULL)) ELSE keys END
+      FROM scan JOIN r ON r.source = scan.source AND r.i = scan.i + 1)
+    SELECT * FROM scan WHERE keep)""", views=False)
 def greedy_dedupe(d):
     rows = d.part.selectExpr(
         "p_type AS source", "p_partkey AS ord", "CASE WHEN p_partkey % 3 = 0 THEN p_name END AS external_id", "CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS source_url", "p_name AS title",
