@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from demandlens.functions import text as T
 from demandlens.operators.fuzzy import containing
+from demandlens.session import cut_lineage
 
 
 def skill_import(skills: DataFrame, rows: DataFrame) -> DataFrame:
@@ -140,6 +141,39 @@ def assign(skills: DataFrame, names: DataFrame, patterns: DataFrame, existing: D
     )
 
 
+def hierarchy(items: DataFrame, known: DataFrame, most: int = 64) -> DataFrame:
+    """(uri, parent, root, depth, outcome) of items (uri, broader) that may come before their parents; known: uri, parent, of those that are there.
+
+    Parents are linked when all items are in: an item's new parent is the last broader term by text that exists and isn't the item itself, as the terms are
+    taken in order, else what it was. Roots and depths come from pointers that double each round, so a chain of 5,000 takes 13 rounds; what never
+    reaches a root lies on a cycle or behind one, and has neither. ``outcome``: linked (a new parent), kept, root, missing (its broader terms aren't
+    there), cycle.
+    """
+    every = known.select("uri").unionByName(items.select("uri")).where("uri <> ''").distinct()
+    asked = items.where("uri <> '' AND broader <> '' AND broader <> uri").select("uri", "broader").distinct()
+    there = asked.join(every.select(F.col("uri").alias("broader"), F.lit(True).alias("there")), "broader", "left")
+    chosen = there.groupBy("uri").agg(F.max(F.when(F.col("there"), F.col("broader"))).alias("new_parent"))
+    old = known.groupBy("uri").agg(F.max("parent").alias("old_parent"))
+    linked = every.join(chosen.withColumn("asked", F.lit(True)), "uri", "left").join(old, "uri", "left").withColumn("parent", F.coalesce("new_parent", "old_parent"))
+    linked = cut_lineage(linked)
+    state = linked.select("uri", F.coalesce("parent", "uri").alias("to"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNull().alias("at_root"))
+    # a pointer to a term that isn't there ends at itself
+    here = every.select(F.col("uri").alias("to"), F.lit(True).alias("here"))
+    state = cut_lineage(state.join(here, "to", "left").select("uri", F.when(F.col("here"), F.col("to")).otherwise(F.col("uri")).alias("to"), F.when(F.col("here"), F.col("depth")).otherwise(0).cast("long").alias("depth"), (F.col("at_root") | F.col("here").isNull()).alias("at_root")))
+    left = state.count()
+    for _ in range(most):
+        onward = state.select(F.col("uri").alias("mid"), F.col("to").alias("to2"), F.col("depth").alias("more"), F.col("at_root").alias("root2"))
+        moved = state.join(onward, F.col("to") == F.col("mid")).select("uri", F.col("to2").alias("to"), F.when(F.col("at_root"), F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("depth"), (F.col("at_root") | F.col("root2")).alias("at_root"))
+        state = cut_lineage(moved)
+        left = (left + 1) // 2
+        if left <= 1 or state.where("NOT at_root").isEmpty():
+            break
+    out = linked.join(state.select("uri", "to", "depth", "at_root"), "uri")
+    found = F.col("at_root")
+    outcome = F.when(~found, "cycle").when(F.col("new_parent").isNotNull() & ~F.col("new_parent").eqNullSafe(F.col("old_parent")), "linked").when(F.col("asked") & F.col("new_parent").isNull(), "missing").when(F.col("parent").isNull(), "root").otherwise("kept")
+    return out.select("uri", "parent", F.when(found, F.col("to")).alias("root"), F.when(found, F.col("depth")).alias("depth"), outcome.alias("outcome"))
+
+
 def company_import(companies: DataFrame, incoming: DataFrame) -> DataFrame:
     """The next state of companies (id, name, website): matched by name without case and spare blanks; the last row of each name wins."""
     key = lambda c: F.lower(T.collapse(F.col(c)))
