@@ -62,10 +62,6 @@ def _cases(name: str, values: list[str | None], sql: str, f):
         return d.d_skill_set.select("id", F.element_at(given, (F.col("id") % len(values) + 1).cast("int")).alias("x")).select("id", f(F.col("x")).alias("value"))
 
 
-_cases("norm_job_type", ["FULL_TIME", " full time", "Fulltime", "PART-TIME ", "parttime", "Part  Time", "contract", "Contractor", "temp", "TEMPORARY", "intern", "Internship", "Seasonal  work", "", None],
-       """CASE WHEN regexp_matches(k, '^full[ -]?time$') THEN 'Full-time' WHEN regexp_matches(k, '^part[ -]?time$') THEN 'Part-time' WHEN k = 'contract' THEN 'Contract' WHEN k IN ('temp', 'temporary') THEN 'Temporary'
-       WHEN k IN ('intern', 'internship') THEN 'Internship' ELSE trim(regexp_replace(replace(x, '_', ' '), ' +', ' ', 'g')) END""".replace("k,", "lower(trim(regexp_replace(replace(x, '_', ' '), ' +', ' ', 'g'))),").replace("WHEN k ", "WHEN lower(trim(regexp_replace(replace(x, '_', ' '), ' +', ' ', 'g'))) "),
-       T.job_type)
 _cases("relation_type", ["broader", " Broader Than", "BROADERTHAN", "broader_than", "broaderTransitive", "narrower", "narrower than ", "NarrowerThan", "narrowermatch", "related", "", None],
        "CASE WHEN regexp_matches(lower(trim(x)), '^broader( ?than)?$') THEN 'broader' WHEN regexp_matches(lower(trim(x)), '^narrower( ?than)?$') THEN 'narrower' ELSE 'related' END", T.relation_type)
 _cases("detect_source", ["https://www.linkedin.com/jobs/1", "LinkedIn.com/jobs", "https://notlinkedin.com/", "https://boards.greenhouse.io/x", "https://greenhouse.io/x", "job-boards.greenhouse.io:443/y", "user@jobs.lever.co./z",

@@ -1,4 +1,4 @@
-"""Rules over given texts: postings, pages, answers, resumes. Rows take written cases in turn; the SQL holds what each must give."""
+"""Written cases of rules over postings, pages, answers and resumes: what is given and what each must give."""
 
 import json
 
@@ -6,22 +6,15 @@ from pyspark.sql import functions as F
 
 from demandlens.operators import answers as A
 from demandlens.operators import canonical as K
-from demandlens.plans.catalog import query
 from demandlens.sources import parsers as P
 
 
-def _literal(value) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+CASES: list[tuple] = []
 
 
-def cases(name: str, pairs: list[tuple], f, column: str = "value"):
+def cases(name: str, pairs: list[tuple], f):
     """f takes rows (id, x) to rows (id, value); pairs are what x is and what value must be."""
-    wanted = ", ".join(_literal(w) for _, w in pairs)
-
-    @query(name, f"SELECT id, ([{wanted}])[id % {len(pairs)} + 1] AS {column} FROM d_skill_set")
-    def run(d):
-        given = F.array(*[F.lit(x).cast("string") for x, _ in pairs])
-        return f(d.d_skill_set.select("id", F.element_at(given, (F.col("id") % len(pairs) + 1).cast("int")).alias("x")))
+    CASES.append((name, pairs, f))
 
 
 def each(name: str, pairs: list[tuple], f):
@@ -133,20 +126,3 @@ def _lists(rows):
 cases("gold_eval", [("Go,sql|SQL|go|sql|vb|rust,GO", "true|||"), ("go||go,sql|c|go|", "false|sql|c|go"), ("|go|||| ", "false|||"), ("go|||||rust", "false|||")],
       lambda rows: A.evaluate(_lists(rows)).select(F.col("run").alias("id"), F.concat_ws("|", F.col("passed").cast("string"), *[F.array_join(c, ",") for c in ("missing_expected", "missing_mapped", "rejected_present")]).alias("value")))
 cases("eval_accepted", [("Go,sql|SQL, rust||||", "go,rust,sql"), ("|||||", "")], lambda rows: A.evaluate(_lists(rows)).select(F.col("run").alias("id"), F.array_join("accepted", ",").alias("value")))
-
-
-@query("stability", "SELECT lower(category) AS normalized, count(*) AS n, count(*) = 3 AS stable FROM d_skill_set GROUP BY 1")
-def stability(d):
-    return A.stability(d.d_skill_set.select(F.concat(F.lit(" "), F.upper("category"), F.lit(".")).alias("name")), 3)
-
-
-STEP = "element_at(array('text_extraction', 'ollama_extract', 'ollama_verify', 'skillset_mapping', 'job_match', 'market_fit', 'other'), CAST(id % 7 + 1 AS INT))"
-
-
-@query("resume_status", """SELECT resume_id, CAST(count(*) FILTER (s IN ('SUCCESS', 'FAILED')) AS BIGINT) AS finished, round(count(*) FILTER (s IN ('SUCCESS', 'FAILED')) * 100 / 6, 2) AS progress, string_agg(s, ',' ORDER BY k) AS statuses FROM
-    (SELECT r.resume_id, t.k, coalesce(l.status, CASE WHEN t.k = 5 AND r.resume_id % 2 = 0 THEN 'SUCCESS' END, 'PENDING') AS s FROM (SELECT DISTINCT crawl_run_id AS resume_id FROM d_pipeline_log) r CROSS JOIN range(0, 6) t(k)
-    LEFT JOIN (SELECT crawl_run_id AS resume_id, id % 7 AS k, arg_max(status, (created_at, id)) AS status FROM d_pipeline_log GROUP BY 1, 2) l ON l.resume_id = r.resume_id AND l.k = t.k) GROUP BY 1""")
-def resume_status(d):
-    logs = d.d_pipeline_log.selectExpr("id", "crawl_run_id AS resume_id", f"{STEP} AS step_name", "status", "created_at")
-    stored = logs.where("resume_id % 2 = 0").selectExpr("resume_id", "'market_fit' AS step_name", "'SUCCESS' AS status").distinct()
-    return A.pipeline_status(logs, stored)
