@@ -11,8 +11,8 @@ coordinates' minima in common, so points too far apart can't link. The points ar
   of which the counts' parities are kept: counts that differ in parity differ by one at least.
 - Pairs that survive are verified on their whole sets.
 
-Equal sets are one point. A node's pivots are compared first, one a round, which joins dense groups without their pairs; links inside a
-group add nothing afterwards.
+Equal sets are one point. A node's pivot is compared first, which joins dense groups without their pairs; links inside a group add nothing
+afterwards.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ from demandlens.llm.util import components, doc_columns, stored
 DIMS, COARSE = 64, 8
 #: Groups of which a point has the parities alone, a bit each.
 FINE = 512
-#: Pivots of a node that are compared with its other points before their pairs are.
-PIVOTS = 2
 #: Points of a page.
 PAGE = 64
 #: Groups of a slab, by the upper bits of a hash.
@@ -303,19 +301,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int =
     whole = stored(whole.select("node", "place", "point", "fine", "hashes"), "whole")
     open_ = stored(open_, "open")
 
-    rest, edges = open_, None
-    for k in range(PIVOTS):
-        pivots = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "label")).alias("s")).select("key", F.col("s.node").alias("q"), F.col("s.n").alias("q_n"), F.col("s.label").alias("q_label"))
-        both = stored(rest.join(pivots.hint("merge"), "key").where("node <> q"), "tried")
-        tried = both.where((F.col("label") != F.col("q_label")) & _near("n", "q_n", num, den)).select(F.col("node").alias("p"), "q", F.col("n").alias("p_n"), "q_n", F.col("label").alias("p_label"), "q_label")
-        roots = stored(components(stored(_verified(tried.distinct(), whole, num, den), "linked"), "dense"), "roots")
-        more = roots.selectExpr("node AS a", "root AS b")
-        edges = more if edges is None else edges.unionByName(more)
-        labelled = both.select("key", "node", "n", "label").join(roots.withColumnRenamed("node", "label").hint("merge"), "label", "left")
-        rest = stored(_crossing(stored(labelled.select("key", "node", "n", F.coalesce("root", "label").alias("label")), "rest")), "crossing")
+    pivots = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("x"), "node", "n")).alias("s")).select("key", F.col("s.node").alias("q"), F.col("s.n").alias("q_n"))
+    both = stored(open_.join(pivots.hint("merge"), "key").where("node <> q"), "tried")
+    tried = both.where(_near("n", "q_n", num, den)).select(F.col("node").alias("p"), "q", F.col("n").alias("p_n"), "q_n", F.col("node").alias("p_label"), F.col("q").alias("q_label"))
+    linked = stored(_verified(tried.distinct(), whole, num, den), "linked")
+    dense = stored(components(linked, "dense"), "roots")
+    labels = dense.select("node", F.col("root").alias("label"))
+    rest = both.select("key", "node", "n").join(labels.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    rest = stored(_crossing(stored(rest, "rest")), "crossing")
     packed = stored(pages(rest.join(whole.select("node", "place", "point", "fine").hint("merge"), "node")), "pages")
     links = stored(_verified(stored(page_pairs(packed, num, den), "pairs"), whole, num, den), "links")
-    roots = stored(components(links.unionByName(edges), "links"), "roots")
+    roots = stored(components(links.unionByName(dense.selectExpr("node AS a", "root AS b")), "links"), "roots")
 
     rooted = stored(once.select("sid", "node", "least").join(roots.hint("merge"), "node", "left").select("sid", "least", F.coalesce("root", "node").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
