@@ -35,6 +35,16 @@ def job_matches(links: DataFrame, resume: DataFrame, jobs: DataFrame, limit: int
     return named.orderBy(F.desc("match_percent"), F.desc("matched"), "company_id", F.lower("title"), "job_post_id").limit(limit)
 
 
+def job_match_lists(links: DataFrame, resume: DataFrame, skills: DataFrame, first: int = 6) -> DataFrame:
+    """(job_post_id, matched, missing, match_percent) of jobs that share a skill with the resume: the names of the shared skills and of the ``first`` others, by id."""
+    per_skill = F.struct("skill_set_id", "name")
+    marked = links.select("job_post_id", "skill_set_id").distinct().join(resume.select("skill_set_id", F.lit(True).alias("own")), "skill_set_id", "left").join(skills.select(F.col("id").alias("skill_set_id"), "name"), "skill_set_id")
+    per = marked.groupBy("job_post_id").agg(F.array_sort(F.collect_list(F.when(F.col("own"), per_skill))).alias("m"), F.array_sort(F.collect_list(F.when(F.col("own").isNull(), per_skill))).alias("x")).where("size(m) > 0")
+    names = lambda c: F.transform(c, lambda s: s["name"])
+    share = percentage(F.size("m"), F.size("m") + F.size("x"))
+    return per.select("job_post_id", names("m").alias("matched"), names(F.slice("x", 1, first)).alias("missing"), share.alias("match_percent"))
+
+
 def missing_categories(star: DataFrame, resume: DataFrame) -> DataFrame:
     """Categories with jobs in which the resume has no skill."""
     counts = star.groupBy("skill_category").agg(F.countDistinct("job_post_id").alias("job_count"))
@@ -85,14 +95,17 @@ def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return out.where("similarity IS NOT NULL")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
-    """Exact nearest neighbours by cosine of rows (query_id, query), of a similarity of ``least`` or more.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact nearest neighbours by cosine of rows (query_id, query), k of them or as many as there are; a negative similarity is given as 0.
 
-    Each task keeps the k best of its own vectors for every query before anything is shuffled.
+    Equals go by the vectors' ``name``, if they have one, then by id. Each task keeps the k best of its own vectors for every query before anything is shuffled.
     """
-    pairs = similarities(vectors, queries).where((F.col("id") != F.col("query_id")) & (F.col("similarity") >= least))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    pairs = similarities(vectors, queries).where(F.col("id") != F.col("query_id"))
+    by = ["id"]
+    if "name" in vectors.columns:
+        pairs, by = pairs.join(vectors.select("id", "name"), "id"), ["name", "id"]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), *by))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("similarity", F.greatest("similarity", F.lit(0.0)))
 
 
 def market_matches(resume: DataFrame, vectors: DataFrame, skills: DataFrame, demands: DataFrame) -> DataFrame:

@@ -181,6 +181,22 @@ def evidence_score(jobs: DataFrame) -> DataFrame:
     return scored.withColumns({"score": F.least(score, F.lit(100)).cast("int"), "reasons": reasons}).drop("_terms", "_title", "_description", "_normal", "_asked", "_all", "_times")
 
 
+def score_links(rows: DataFrame, skills: DataFrame, keywords: DataFrame) -> DataFrame:
+    """rows (job_post_id, skill_set_id, name and the texts of ``evidence_score``) with score, reasons and ``rank`` within the job.
+
+    The terms of a row are its mapped name and its skill's name, keywords in use and aliases, each normalised name once. Skills of a job rank by score,
+    then by their skill's name, case ignored, then by id; a row whose skill isn't there goes by its mapped name.
+    """
+    words = keywords.groupBy(F.col("skill_set_id").alias("id")).agg(F.sort_array(F.collect_list("raw_text")).alias("_words"))
+    none = F.array().cast("array<string>")
+    known = skills.select("id", F.col("name").alias("_skill_name"), "aliases").join(words, "id", "left")
+    known = known.select(F.col("id").alias("skill_set_id"), "_skill_name", F.concat(F.array("_skill_name"), F.coalesce("_words", none), F.coalesce("aliases", none)).alias("_names"))
+    named = rows.join(known, "skill_set_id", "left").withColumn("terms", F.concat(F.array("name"), F.coalesce("_names", none)))
+    scored = evidence_score(named).withColumn("name", F.coalesce("_skill_name", "name"))
+    rank = F.row_number().over(Window.partitionBy("job_post_id").orderBy(F.desc("score"), F.lower("name"), "skill_set_id"))
+    return scored.withColumn("rank", rank.cast("long")).drop("_skill_name", "_names", "terms")
+
+
 def embedding_text(skills: DataFrame, keywords: DataFrame) -> DataFrame:
     """(id, text): name, description, aliases and keywords of each skill, joined by ". "; blank parts are left out."""
     words = keywords.groupBy(F.col("skill_set_id").alias("id")).agg(F.sort_array(F.collect_list("raw_text")).alias("words"))

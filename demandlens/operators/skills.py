@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandlens.functions import text as T
 from demandlens.functions.numbers import mean2, percentage
 
 
@@ -218,3 +219,14 @@ def group_rows(counted: DataFrame, key: str, name: str, value: str) -> DataFrame
     item = F.struct((-F.col(value)).alias("v"), F.col(name).alias("n"))
     per = counted.groupBy(key).agg(F.sum(value).alias("total"), F.count("*").alias("n_items"), F.array_sort(F.collect_list(item)).alias("x"))
     return per.select(key, "total", "n_items", F.array_join(F.transform("x", lambda s: F.concat(s["n"], F.lit("="), (-s["v"]).cast("string"))), ";").alias("items"))
+
+
+def without_skills(jobs: DataFrame, links: DataFrame, hosts: list[str], companies: list[int]) -> DataFrame:
+    """Jobs (id, status, source_url, company_id) without skills in a source's scope: a URL on one of its hosts or one of its companies. Archived jobs aren't looked at; no scope, no jobs."""
+    place = F.coalesce(T.host(F.coalesce("source_url", F.lit(""))), F.lit(""))
+    inside = F.lit(False)
+    for h in hosts:
+        inside = inside | (place == h) | place.endswith(f".{h}")
+    if companies:
+        inside = inside | F.coalesce(F.col("company_id").isin(companies), F.lit(False))
+    return jobs.where((F.col("status") != "ARCHIVED") & inside).join(links.select(F.col("job_post_id").alias("id")), "id", "left_anti")

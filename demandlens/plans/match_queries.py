@@ -51,6 +51,13 @@ def job_matches(d):
     return M.job_matches(d.d_link, resume(d), d.d_job_post).select("job_post_id", "matched", "required", "match_percent", "title", "company_id")
 
 
+@query("job_match_lists", f"""SELECT job_post_id, array_to_string(m, ', ') AS matched, coalesce(array_to_string(x[1:6], ', '), '') AS missing, CAST(floor((len(m) * 2000 + n) / (2 * n)) AS DOUBLE) / 10 AS match_percent FROM (SELECT job_post_id, list(s.name ORDER BY s.id) FILTER (s.id IN {RESUME}) AS m,
+    list(s.name ORDER BY s.id) FILTER (s.id NOT IN {RESUME}) AS x, count(*) AS n FROM d_link l JOIN d_skill_set s ON s.id = l.skill_set_id GROUP BY 1) WHERE m IS NOT NULL""")
+def job_match_lists(d):
+    found = M.job_match_lists(d.d_link, resume(d), d.d_skill_set)
+    return found.select("job_post_id", F.array_join("matched", ", ").alias("matched"), F.array_join("missing", ", ").alias("missing"), "match_percent")
+
+
 @query("missing_categories", f"SELECT skill_category, count(DISTINCT job_post_id) AS job_count FROM d_star WHERE skill_category NOT IN (SELECT category FROM d_skill_set WHERE id IN {RESUME} AND id IN (SELECT skill_set_id FROM d_link)) GROUP BY 1")
 def missing_categories(d):
     return M.missing_categories(star(d), resume(d))
@@ -80,17 +87,23 @@ def resume_profile_pct(d):
     return M.whole_percentages(mine, "n", ["category"])
 
 
-@query("knn_top_k", """SELECT m.id, round(list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]), 5) AS similarity FROM d_skill_embedding m, (SELECT embedding FROM d_skill_embedding WHERE id = 3) r
-    WHERE list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]) >= 0 ORDER BY list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, m.id LIMIT 11""")
+COSINE = "list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[])"
+
+
+def named_vectors(d):
+    return d.d_skill_embedding.join(d.d_skill_set.select("id", "name"), "id")
+
+
+@query("knn_top_k", f"""SELECT m.id, round(greatest(0, {COSINE}), 5) AS similarity FROM d_skill_embedding m JOIN d_skill_set s ON s.id = m.id, (SELECT embedding FROM d_skill_embedding WHERE id = 3) r ORDER BY {COSINE} DESC, s.name, m.id LIMIT 11""")
 def knn_top_k(d):
     query = d.d_skill_embedding.where("id = 3").selectExpr("-1L AS query_id", "embedding AS query")
-    return M.top_k(d.d_skill_embedding, query, 11).select("id", "similarity").withColumn("similarity", F.round("similarity", 5))
+    return M.top_k(named_vectors(d), query, 11).select("id", "similarity").withColumn("similarity", F.round("similarity", 5))
 
 
-@query("knn_batch", """SELECT query_id, id, similarity, rank FROM (SELECT r.id AS query_id, m.id, round(list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]), 5) AS similarity,
-    row_number() OVER (PARTITION BY r.id ORDER BY list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, m.id) AS rank FROM d_skill_embedding m JOIN d_skill_embedding r ON m.id <> r.id AND r.id % 50 = 0) WHERE rank <= 5 AND similarity >= 0""")
+@query("knn_batch", f"""SELECT query_id, id, similarity, rank FROM (SELECT r.id AS query_id, m.id, round(greatest(0, {COSINE}), 5) AS similarity,
+    row_number() OVER (PARTITION BY r.id ORDER BY {COSINE} DESC, s.name, m.id) AS rank FROM d_skill_embedding m JOIN d_skill_set s ON s.id = m.id JOIN d_skill_embedding r ON m.id <> r.id AND r.id % 50 = 0) WHERE rank <= 5""")
 def knn_batch(d):
-    return M.top_k(d.d_skill_embedding, resume_vectors(d), 5).select("query_id", "id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    return M.top_k(named_vectors(d), resume_vectors(d), 5).select("query_id", "id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 #: Demand in which every second skill of the resume is missing, so that both rules are met.

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from demandlens.operators import matching as M
 from demandlens.operators import resolution as R
 from demandlens.operators import taxonomy as X
 from demandlens.plans.catalog import query
@@ -139,12 +140,14 @@ def catalog_score(d):
 
 
 @query("rag_candidates", f"""SELECT query_id, skill_id, normalized, source, row_number() OVER (PARTITION BY query_id ORDER BY k, rank, skill_id) AS rank FROM (SELECT *, CASE k WHEN 0 THEN 'vector' ELSE 'catalog' END AS source FROM
-    (SELECT query_id, query_id + r AS skill_id, {N('name')} AS normalized, r AS rank, 0 AS k FROM {QUERIES}, range(1, 4) t(r) JOIN {SKILL} s ON s.id = query_id + r UNION ALL SELECT query_id, skill_id, {N('name')}, rank, 1 FROM {SCORED} JOIN {SKILL} s ON s.id = skill_id)
-    QUALIFY row_number() OVER (PARTITION BY query_id, normalized ORDER BY k, rank, skill_id) = 1)""")
+    (SELECT query_id, m.id AS skill_id, {N('s.name')} AS normalized, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(m.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, s.name, m.id) AS rank, 0 AS k FROM {QUERIES} JOIN d_skill_embedding r ON r.id = query_id JOIN d_skill_embedding m ON m.id <> r.id JOIN {SKILL} s ON s.id = m.id QUALIFY rank <= 3
+      UNION ALL SELECT query_id, skill_id, {N('name')}, rank, 1 FROM {SCORED} JOIN {SKILL} s ON s.id = skill_id) QUALIFY row_number() OVER (PARTITION BY query_id, normalized ORDER BY k, rank, skill_id) = 1)""")
 def rag_candidates(d):
-    names = skills(d).select(F.col("id").alias("skill_id"), R.T.normalize_name(F.col("name")).alias("normalized"))
-    vector = _of(d, QUERIES).select("query_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")).withColumn("skill_id", F.col("query_id") + F.col("rank"))
-    vector = vector.select("query_id", "skill_id", F.col("rank").cast("long").alias("rank")).join(names, "skill_id")
+    """The three skills nearest to each query's vector, then those of like words."""
+    named = skills(d).select("id", "name")
+    names = named.select(F.col("id").alias("skill_id"), R.T.normalize_name(F.col("name")).alias("normalized"))
+    asked = _of(d, QUERIES).select("query_id").join(d.d_skill_embedding.selectExpr("id AS query_id", "embedding AS query"), "query_id")
+    vector = M.top_k(d.d_skill_embedding.join(named, "id"), asked, 3).select("query_id", F.col("id").alias("skill_id"), F.col("rank").cast("long").alias("rank")).join(names, "skill_id")
     return R.merged_candidates(vector, candidates(d).join(names, "skill_id"))
 
 
@@ -174,6 +177,24 @@ def skill_score(d):
     return R.evidence_score(rows).select("id", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
+#: A row of each link: some texts name the skill, one of its keywords or aliases, once or twice.
+EVIDENCE = """(SELECT l.id, job_post_id, skill_set_id, concat(' ', s.name, ',') AS name, CASE WHEN l.score % 3 = 0 THEN concat('Lead ', upper(s.name)) ELSE j.title END AS title, CASE WHEN l.score % 4 = 0 THEN concat('Work with ', s.name, ' and KW', CAST(s.id % 50 AS STRING), '  steel') ELSE '' END AS description,
+    CASE WHEN l.score % 5 = 0 THEN concat('alias ', CAST(s.id % 40 AS STRING)) END AS normalized_text, CASE l.job_post_id % 3 WHEN 0 THEN 'Minimum' WHEN 1 THEN 'About' END AS label, CASE WHEN l.score % 7 = 0 THEN s.name ELSE 'care' END AS fragment, l.score % 2 = 0 AS verified, '' AS verified_reason, s.id % 9 = 0 AS created
+    FROM d_link l JOIN d_skill_set s ON s.id = l.skill_set_id JOIN d_job_post j ON j.id = l.job_post_id)"""
+TERMS_OF = f"""(SELECT id AS sid, name AS skill_name, list_distinct(list_filter(list_concat([{N('name')}], CASE WHEN id % 4 = 0 THEN ['kw' || id % 50 || ' steel'] ELSE []::VARCHAR[] END, list_transform(string_split(alias_text, '|'), lambda a: {N('a')})), lambda t: t <> '')) AS terms FROM {SKILL})"""
+MET = lambda c: f"len(list_filter(terms, lambda t: contains({LOW.format(c)}, t))) > 0"
+
+
+@query("link_scores", f"""SELECT id, CAST(score AS INT) AS score, row_number() OVER (PARTITION BY job_post_id ORDER BY score DESC, lower(skill_name), skill_set_id) AS rank FROM (SELECT *, least(100, CASE WHEN a THEN 30 ELSE 0 END + CASE WHEN b THEN 25 ELSE 0 END + CASE WHEN c THEN 20 ELSE 0 END + CASE WHEN e THEN 15 ELSE 0 END
+    + CASE WHEN verified THEN 20 ELSE 0 END + CASE WHEN created THEN 5 ELSE 10 END + CASE WHEN n > 1 THEN least(10, 2 * (n - 1)) ELSE 0 END) AS score FROM (SELECT *, {MET('title')} AS a, {MET('fragment')} AND (label IS NULL OR label <> 'About') AS b, {MET('description')} AS c, {MET('normalized_text')} AS e,
+    list_sum(list_transform(terms, lambda t: (length({LOW.format(ALL)}) - length(replace({LOW.format(ALL)}, t, ''))) // length(t))) AS n FROM {EVIDENCE} JOIN {TERMS_OF} ON sid = skill_set_id))""")
+def link_scores(d):
+    keywords = _of(d, KEYWORD)
+    d.d_job_post.createOrReplaceTempView("d_job_post")
+    rows = d._spark.sql(f"SELECT * FROM {EVIDENCE}").withColumn("fragments", F.array(F.struct("label", F.col("fragment").alias("text"))))
+    return R.score_links(rows, skills(d), keywords).select("id", "score", "rank")
+
+
 @query("embedding_text", f"""SELECT id, concat_ws('. ', name, CASE WHEN description <> '' THEN description END, CASE WHEN alias_text <> '' THEN array_to_string(list_filter(string_split(alias_text, '|'), lambda x: trim(x) <> ''), '. ') END,
     CASE WHEN id % 4 = 0 THEN 'kw' || id % 50 || ' steel ' END) AS text FROM {SKILL}""")
 def embedding_text(d):

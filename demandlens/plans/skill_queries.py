@@ -186,6 +186,15 @@ def jobs_missing_skills(d):
     return d.d_job_post.where("status <> 'ARCHIVED'").join(d.d_link.selectExpr("job_post_id AS id"), "id", "left_anti").select("id", "title", "status")
 
 
+SCOPED = "SELECT id, status, company_id, CASE id % 4 WHEN 0 THEN concat('https://boards.example.org/', CAST(id AS STRING)) WHEN 1 THEN concat('jobs.example.com/', CAST(id AS STRING)) WHEN 2 THEN 'https://notexample.com/' ELSE '' END AS source_url FROM d_job_post"
+
+
+@query("jobs_missing_skills_scoped", rf"SELECT id FROM ({SCOPED}) j WHERE status <> 'ARCHIVED' AND (regexp_matches(source_url, '^(https://)?([a-z]+\.)*example\.(org|com)/') OR company_id IN (1, 7, 10)) AND NOT EXISTS (SELECT 1 FROM d_link l WHERE l.job_post_id = j.id AND l.skill_set_id % 4 = 0)")
+def jobs_missing_skills_scoped(d):
+    d.d_job_post.createOrReplaceTempView("d_job_post")
+    return S.without_skills(d._spark.sql(SCOPED), d.d_link.where("skill_set_id % 4 = 0"), ["example.org", "example.com"], [1, 7, 10]).select("id")
+
+
 @query("category_parent", "SELECT c.id, c.name, p.name AS parent FROM d_category c LEFT JOIN d_category p ON c.parent_id = p.id")
 def category_parent(d):
     c, p = d.d_category.alias("c"), d.d_category.alias("p")

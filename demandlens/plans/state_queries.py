@@ -39,10 +39,9 @@ def approve_mapping(d):
     return G.approve(d.d_skill_set.selectExpr("id", "'SEED' AS source", "is_approved"), chosen.union(chosen))
 
 
-@query("embedding_backfill_plan", "SELECT id, (SELECT greatest(count(*) - 100, 0) FROM d_skill_set WHERE id % 3 = 1) AS remaining FROM d_skill_set WHERE id % 3 = 1 ORDER BY id LIMIT 100")
+@query("embedding_backfill_plan", "SELECT id, (SELECT greatest(count(*) - 100, 0) FROM d_skill_set WHERE id NOT IN (SELECT id FROM d_skill_embedding)) AS remaining FROM d_skill_set WHERE id NOT IN (SELECT id FROM d_skill_embedding) ORDER BY id LIMIT 100")
 def embedding_backfill_plan(d):
-    skills = d.d_skill_set.select("id", F.when(F.col("id") % 3 != 1, F.array(F.lit(0.5))).alias("embedding"))
-    return G.embedding_backfill(skills, 100)
+    return G.embedding_backfill(d.d_skill_set.select("id").join(d.d_skill_embedding, "id", "left"), 100)
 
 
 @query("coalesce_backfill", "SELECT id, CASE WHEN id % 4 = 0 THEN 'Given' ELSE employment_type END AS job_type FROM d_job_post")
@@ -78,20 +77,6 @@ def archive_list(d):
     return M.archive_list(d.d_crawl_run.selectExpr("id", "started_at AS created_at", "CASE WHEN id % 3 = 0 THEN 'RESTORED' ELSE 'DONE' END AS status", "processed_sources AS archived_count"))
 
 
-@query("cooldown_flag", "SELECT id, id % 3 = 1 AS cooling FROM d_job_source")
-def cooldown_flag(d):
-    until = "CASE id % 3 WHEN 0 THEN TIMESTAMP_NTZ'2024-01-31 00:00:00' WHEN 1 THEN TIMESTAMP_NTZ'2024-01-31 00:00:01' END AS rate_limited_until"
-    return M.on_cooldown(d.d_job_source.selectExpr("id", until), "2024-01-31 00:00:00")
-
-
-@query("source_scope", "SELECT page_id, page_id % 4 IN (0, 3) AS in_scope FROM pages", views=False)
-def source_scope(d):
-    """Is the source of a stored job's URL among those of a crawl; a blank URL never is."""
-    url = F.expr("CASE page_id % 4 WHEN 0 THEN concat('https://uk.linkedin.com/jobs/', page_id) WHEN 1 THEN '' WHEN 2 THEN url ELSE 'boards.greenhouse.io/x' END")
-    inside = (F.coalesce(F.trim(url), F.lit("")) != "") & T.detect_source(url).isin("LINKEDIN", "GREENHOUSE")
-    return d.pages.select("page_id", inside.alias("in_scope"))
-
-
 @query("application_display", """SELECT a.id AS application_id, j.title, c.name AS company, CASE WHEN j.employment_type = '' THEN 'Unspecified' ELSE j.employment_type END AS job_type, j.location, coalesce(x.s, '') AS skills, coalesce(y.s, '') AS job_skills FROM d_application a JOIN d_job_post j ON j.id = a.job_post_id
     JOIN d_company c ON c.id = j.company_id LEFT JOIN (SELECT application_id, string_agg(name, ', ' ORDER BY name) AS s FROM d_application_skill m JOIN d_skill_set s ON s.id = m.skill_set_id GROUP BY 1) x ON x.application_id = a.id
     LEFT JOIN (SELECT job_post_id, string_agg(name, ', ' ORDER BY name) AS s FROM d_link l JOIN d_skill_set s ON s.id = l.skill_set_id GROUP BY 1) y ON y.job_post_id = j.id""")

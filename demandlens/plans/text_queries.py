@@ -48,33 +48,6 @@ _each("html_to_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(re
 _each("url_host", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '^www\.', '') AS value FROM pages", "pages", "page_id", lambda: T.host(F.col("url")))
 _each("norm_company", "SELECT id, lower(name) AS value FROM d_company", "d_company", "id", lambda: T.company_name(F.concat("name", F.element_at(F.array(F.lit(", Inc."), F.lit(" LLC"), F.lit(" Ltd."), F.lit(""), F.lit("  ")), (F.col("id") % 5 + 1).cast("int")))))
 _each("norm_source", "SELECT id, replace(lower(remote_type), '-', '_') AS value FROM d_job_post", "d_job_post", "id", lambda: T.source_key(F.col("remote_type")))
-_each("norm_confidence", "SELECT id, CASE id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.3 WHEN 2 THEN 1.0 ELSE NULL END::DOUBLE AS value FROM d_skill_set", "d_skill_set", "id",
-      lambda: F.when(F.col("id") % 4 == 0, T.confidence(F.lit("HIGH"))).when(F.col("id") % 4 == 1, T.confidence(F.lit(" low"))).when(F.col("id") % 4 == 2, T.confidence(F.lit("7.5"))))
-
-
-def _cases(name: str, values: list[str | None], sql: str, f):
-    """A rule over a table whose rows take the values in turn; sql is the rule over x, in DuckDB's words."""
-    quoted = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
-
-    @query(name, f"SELECT id, {sql} AS value FROM (SELECT id, ([{quoted}])[id % {len(values)} + 1] AS x FROM d_skill_set)")
-    def run(d):
-        given = F.array(*[F.lit(v).cast("string") for v in values])
-        return d.d_skill_set.select("id", F.element_at(given, (F.col("id") % len(values) + 1).cast("int")).alias("x")).select("id", f(F.col("x")).alias("value"))
-
-
-_cases("relation_type", ["broader", " Broader Than", "BROADERTHAN", "broader_than", "broaderTransitive", "narrower", "narrower than ", "NarrowerThan", "narrowermatch", "related", "", None],
-       "CASE WHEN regexp_matches(lower(trim(x)), '^broader( ?than)?$') THEN 'broader' WHEN regexp_matches(lower(trim(x)), '^narrower( ?than)?$') THEN 'narrower' ELSE 'related' END", T.relation_type)
-_cases("detect_source", ["https://www.linkedin.com/jobs/1", "LinkedIn.com/jobs", "https://notlinkedin.com/", "https://boards.greenhouse.io/x", "https://greenhouse.io/x", "job-boards.greenhouse.io:443/y", "user@jobs.lever.co./z",
-       "https://lever.co", "http://app.handshake.com", "https://x.joinhandshake.com?q=linkedin.com", "https://example.com", "", None, "RSS|https://example.com/feed", "LEVER|", "GENERIC_HTML|https://a.b", "RSS|linkedin.com"],
-       r"""coalesce(CASE WHEN regexp_matches(h, '(^|\.)linkedin\.com$') THEN 'LINKEDIN' WHEN regexp_matches(h, '(^|\.)(join)?handshake\.com$') THEN 'HANDSHAKE' WHEN regexp_matches(h, '(^|\.)(my|boards|job-boards)\.greenhouse\.io$') THEN 'GREENHOUSE'
-       WHEN regexp_matches(h, '(^|\.)jobs\.lever\.co$') THEN 'LEVER' END, CASE WHEN contains(x, '|') AND split_part(x, '|', 1) IN ('RSS', 'LEVER') THEN split_part(x, '|', 1) END, 'CAREER_SITE')""".replace("(h,", r"(rtrim(regexp_extract(lower(regexp_replace(x, '^[A-Z_]+\|', '')), '^(?:https?://)?(?:[^/@?]*@)?([^/:?#]*)', 1), '.'),"),
-       lambda x: T.detect_source(F.element_at(F.split(x, r"\|"), -1), F.when(x.contains("|"), F.element_at(F.split(x, r"\|"), 1))))
-_cases("display_name", ["python", " NODE.JS ", "machine  learning", "Machine LEARNING", "data lake", "ETL", "dbt Cloud", "c++ / rust,", "apis", "<sql>", "123", "", None],
-       """CASE lower(n) WHEN 'python' THEN 'Python' WHEN 'node.js' THEN 'Node.js' WHEN 'machine learning' THEN 'Machine Learning' WHEN 'apis' THEN 'APIs' WHEN 'sql' THEN 'SQL' WHEN 'data lake' THEN 'Data Lake' WHEN 'etl' THEN 'Etl'
-       WHEN 'c++ / rust' THEN 'C++ / Rust' ELSE n END""".replace("lower(n)", r"lower(trim(trim(regexp_replace(x, '\s+', ' ', 'g')), '.,;:|/\<>'))").replace("ELSE n", r"ELSE trim(trim(regexp_replace(x, '\s+', ' ', 'g')), '.,;:|/\<>')"), T.display_name)
-_cases("expand_compound", ["Amazon Web Services (AWS)", "databases (MySQL, Oracle)", "testing (unit) (end to end) (Unit)", "(graphql)", "tools (a b c d e)", "plain", "note (see: x)", "()", None],
-       """CASE WHEN x LIKE 'Amazon%' THEN 'Amazon Web Services|AWS' WHEN x LIKE 'databases%' THEN 'Databases' WHEN x LIKE 'testing%' THEN 'Testing|Unit|End To End' WHEN x LIKE '(graph%' THEN 'GraphQL' WHEN x LIKE 'tools%' THEN 'Tools'
-       WHEN x = 'plain' THEN 'Plain' WHEN x LIKE 'note%' THEN 'Note' WHEN x = '()' THEN '()' ELSE '' END""", lambda x: F.array_join(T.compound_names(x), "|"))
 _each("parse_id_list", "SELECT id, id || ',' || (id + 1) AS value FROM d_skill_set", "d_skill_set", "id", lambda: F.array_join(F.transform(T.id_list(F.concat_ws(",", F.col("id"), F.lit(" x"), F.col("id") + 1, F.lit(""))), lambda x: x.cast("string")), ","))
 _each("format_percent", "SELECT id, CASE WHEN score % 4 = 0 THEN CAST(score // 4 AS VARCHAR) ELSE printf('%.2f', score / 4) END AS value FROM d_link", "d_link", "id", lambda: T.format_percent(F.col("score") / 4))
 _each("percentage", "SELECT id, CASE WHEN score = 0 THEN 0.0 ELSE CAST(floor((7 * 2000 + score) / (2 * score)) AS DOUBLE) / 10 END AS value FROM d_link", "d_link", "id", lambda: percentage(F.lit(7), F.col("score")))
