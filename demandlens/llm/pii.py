@@ -109,7 +109,9 @@ class Pseudonyms:
         "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ -]?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
         "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     }
-    EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+    LOCAL = re.compile(r"[A-Za-z0-9._%+-]++@?")
+    FIRST = re.compile(r"[A-Za-z0-9]")
+    DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
     NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
     KINDS = {k: re.compile(p) for k, p in PATTERNS.items()}
     #: Kinds of several lengths, whose pattern can take in a neighbouring number.
@@ -262,6 +264,16 @@ class Pseudonyms:
                 return a, a - size, kind, new
         return None
 
+    def emails(self, text: str) -> Iterator[tuple[int, int]]:
+        """Begin and end of each address: from the first letter or digit of a whole run of local characters before an @. Every run is read once."""
+        end = 0
+        for run in self.LOCAL.finditer(text):
+            if text[run.end() - 1] != "@" or not (first := self.FIRST.search(text, max(run.start(), end), run.end() - 1)):
+                continue
+            if domain := self.DOMAIN.match(text, run.end()):
+                end = domain.end()
+                yield first.start(), end
+
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, first character, length) of each in it.
 
@@ -294,10 +306,10 @@ class Pseudonyms:
 
         at = 0
         if "@" in text:
-            for m in self.EMAIL.finditer(text):
-                numbers(text[at : m.start()])
-                put(self.replaced("email", m[0]), "email")
-                at = m.end()
+            for begin, end in self.emails(text):
+                numbers(text[at:begin])
+                put(self.replaced("email", text[begin:end]), "email")
+                at = end
         numbers(text[at:])
         return "".join(out), spans
 
