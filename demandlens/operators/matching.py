@@ -64,12 +64,12 @@ def recommended(demands: DataFrame, limit: int = 10) -> DataFrame:
     return demands.withColumn("priority", F.round(priority, 2)).orderBy(F.desc("priority"), "skill_name", "skill_set_id").limit(limit)
 
 
-def whole_percentages(counts: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """Whole percents that add up to 100: each rounded half to even, the rest goes to the first largest. For a report's few rows."""
-    everything = Window.partitionBy()
+def whole_percentages(counts: DataFrame, value: str, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Whole percents that add up to 100 for each key: each rounded half to even, the rest goes to the first largest. Without keys for a report's few rows."""
+    everything = Window.partitionBy(*(keys or []))
     share = F.bround(F.col(value) * 100.0 / F.sum(value).over(everything)).cast("long")
     rows = counts.withColumn("share", share)
-    first = F.row_number().over(Window.orderBy(F.desc(value), *order)) == 1
+    first = F.row_number().over(everything.orderBy(F.desc(value), *order)) == 1
     rest = F.lit(100) - F.sum("share").over(everything)
     return rows.withColumns({"first": first, "rest": rest}).withColumn("percent", F.col("share") + F.when(F.col("first"), F.col("rest")).otherwise(0)).drop("first", "rest", "share")
 
@@ -133,8 +133,8 @@ def most_similar_per_market(resume: DataFrame, market: DataFrame) -> DataFrame:
     return market.select("id").join(best, "id", "left").select("id", clamp(F.coalesce("best", F.lit(0.0)), 0.0, 1.0).alias("similarity"))
 
 
-def market_fit(matches: DataFrame) -> DataFrame:
-    """Mean similarity of a resume's skills in percent, weighed by the demand of what they match; one counts as matched from 0.7 on."""
+def market_fit(matches: DataFrame, *keys: str) -> DataFrame:
+    """Mean similarity of a resume's skills in percent, weighed by the demand of what they match; one counts as matched from 0.7 on. One row for each key, or for all."""
     weighed = F.when(F.col("demand") > 0, F.col("demand"))
     fit = clamp(F.sum(weighed * F.col("similarity")) / F.sum(weighed), 0.0, 1.0)
-    return matches.agg(F.round(100 * F.coalesce(fit, F.lit(0.0)), 1).alias("fit_percent"), F.count_if(F.col("similarity") >= 0.7).alias("matched"), F.count("*").alias("skills"))
+    return matches.groupBy(*keys).agg(F.round(100 * F.coalesce(fit, F.lit(0.0)), 1).alias("fit_percent"), F.count_if(F.col("similarity") >= 0.7).alias("matched"), F.count("*").alias("skills"))
