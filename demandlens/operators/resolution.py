@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandlens.functions import text as T
 from demandlens.operators.fuzzy import containing, weighted_matches
+from demandlens.session import cut_lineage
 
 
 def skill_terms(skills: DataFrame, keywords: DataFrame, alias_rows: DataFrame) -> DataFrame:
@@ -98,8 +99,10 @@ def catalog_candidates(queries: DataFrame, skills: DataFrame, keywords: DataFram
     """
     terms = skill_terms(skills.where("is_active"), keywords, skills.sparkSession.createDataFrame([], "alias string, skill_id long"))
     terms = terms.join(skills.where("is_active").select(F.col("id").alias("skill_id")), "skill_id", "left_semi")
-    terms = terms.select("skill_id", "normalized", (F.col("rank") == 1).alias("own"), T.tokens(F.col("normalized")).alias("words"))
+    # both are read several times below: stored once, so that names aren't taken apart again
+    terms = cut_lineage(terms.select("skill_id", "normalized", (F.col("rank") == 1).alias("own"), T.tokens(F.col("normalized")).alias("words")))
     asked = queries.select("query_id", T.normalize_name(F.col("query")).alias("q"), T.expanded_tokens(T.normalize_name(F.col("query"))).alias("tokens")).where("q <> '' AND size(tokens) > 0")
+    asked = cut_lineage(asked)
     by_word = asked.select("query_id", F.explode("tokens").alias("w")).join(terms.select("skill_id", "normalized", "own", F.explode("words").alias("w")), "w")
     shared = by_word.groupBy("query_id", "skill_id", "normalized", "own").agg(F.count("*").alias("n"))
     texts, names = asked.select("q").distinct(), terms.select("normalized").distinct()

@@ -24,9 +24,9 @@ def resolved_names(names: DataFrame, skills: DataFrame, keywords: DataFrame, ali
     on and only if it names a candidate. Sources: empty, alias, exact, unresolved (no candidates), ollama_error (no or a
     broken answer), low_confidence, invalid_canonical, rag. Null and blank names are ``empty``.
     """
-    first = resolution.alias_resolve(names.select("name").distinct(), skills, alias_rows)
+    first = cut_lineage(resolution.alias_resolve(names.select("name").distinct(), skills, alias_rows))
     open_ = first.where("source IS NULL").select("name", "normalized")
-    asked = open_.select(F.col("normalized").alias("query_id"), F.col("normalized").alias("query")).distinct()
+    asked = cut_lineage(open_.select(F.col("normalized").alias("query_id"), F.col("normalized").alias("query")).distinct())
     meant = skills.select(F.col("id").alias("skill_id"), T.normalize_name(F.col("name")).alias("normalized"))
     found = resolution.catalog_candidates(asked, skills, keywords).select("query_id", "skill_id", "rank")
     if nearest is None:
