@@ -182,6 +182,54 @@ def log_projection(logs: DataFrame, sources: DataFrame, companies: DataFrame) ->
     )
 
 
+def metric_list(metadata: Column, status: Column) -> Column:
+    """The metrics of ``metric_text`` as an array of (key, label, value)."""
+    failed = status == "FAILED"
+    values = {k: F.get_json_object(metadata, f"$.{k}") for k, _, _ in METRICS}
+    counted, items = failed & values["errors"].isNull(), []
+    for key, label, always in METRICS:
+        absent = F.when(failed, "1").otherwise("0") if key == "errors" else F.lit("0") if always else F.lit(None).cast("string")
+        items.append(F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), F.coalesce(values[key], absent).alias("value")))
+        counted = counted | values[key].isNotNull()
+    return F.filter(F.array(*items), lambda x: F.coalesce(counted, F.lit(False)) & x["value"].isNotNull())
+
+
+LOG_FILTERS = ["status", "severity", "step_name", "source_id", "crawl_run_id", "job_id", "company_id"]
+
+
+def filtered_logs(logs: DataFrame, limit: int = 50, **filters) -> DataFrame:
+    """The newest log rows that equal all given values of status, severity, step_name, source_id, crawl_run_id, job_id and company_id; an empty value or 0 asks for nothing."""
+    unknown = set(filters) - set(LOG_FILTERS)
+    if unknown:
+        raise ValueError(f"not a filter of logs: {sorted(unknown)}")
+    for name, value in filters.items():
+        if value:
+            logs = logs.where(F.col(name) == value)
+    return recent(logs, "created_at", limit)
+
+
+def log_rows(logs: DataFrame, sources: DataFrame, companies: DataFrame) -> DataFrame:
+    """All fields of log rows: their own, the names of their source and company (empty without one), moments in UTC as ISO text and for display, durations, metrics and the reason of an error.
+
+    A row without a moment shows a dash; one without a duration has no label either.
+    """
+    s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    c = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    at, fraction = F.col("created_at"), F.date_format("created_at", "SSSSSS")
+    iso = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("+00:00"))
+    duration = F.when(F.col("duration_ms").isNull(), "").otherwise(duration_display(F.col("duration_ms")))
+    metadata, status = F.col("metadata"), F.col("status")
+    blank = F.lit("")
+    return logs.join(s, "source_id", "left").join(c, "company_id", "left").select(
+        "id", iso.alias("created_at"), F.coalesce(iso, blank).alias("created_at_datetime"), F.coalesce(F.date_format(at, "MMM d, h:mm a"), F.lit("-")).alias("created_at_display"),
+        F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss 'UTC'"), blank).alias("created_at_title"), "service_name", "step_name", "status", "severity", "crawl_run_id", "source_id",
+        F.coalesce("source_name", blank).alias("source_name"), "job_id", "company_id", F.coalesce("company_name", blank).alias("company_name"), "message", "metadata", "error_text",
+        error_reason(metadata, F.col("error_text")).alias("error_reason"), "duration_ms", duration.alias("duration_display"), F.col("duration_ms").alias("flow_duration_ms"),
+        duration.alias("flow_duration_display"), F.when(duration == "", "").otherwise("Duration").alias("flow_duration_label"), metric_list(metadata, status).alias("metric_summary"),
+        metric_text(metadata, status).alias("metric_summary_text"),
+    )
+
+
 def on_cooldown(sources: DataFrame, as_of: str) -> DataFrame:
     """Sources (id, rate_limited_until) and whether they still wait."""
     return sources.select("id", F.coalesce(F.col("rate_limited_until") > F.expr(f"TIMESTAMP_NTZ'{as_of}'"), F.lit(False)).alias("cooling"))

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("skill_queries", "demand_queries", "report_queries", "match_queries", "text_queries", "merge_queries", "resolution_queries", "state_queries", "sink_queries", "page_queries", "profile_queries", "rule_queries", "flow_queries", "resume_queries")
+_MODULES = ("skill_queries", "demand_queries", "report_queries", "match_queries", "text_queries", "merge_queries", "resolution_queries", "state_queries", "sink_queries", "page_queries", "profile_queries", "rule_queries", "flow_queries", "resume_queries", "backfill_queries")
 
 
 def query(name: str, sql: str | None = None, views: bool = True):
