@@ -50,13 +50,13 @@ def parse_verified(answers: DataFrame, most: int = 20) -> DataFrame:
     rows = answers.select("id", F.explode(F.array(F.struct(F.lit(True).alias("verified"), _items(F.col("payload"), "verified_skills").alias("l")), F.struct(F.lit(False).alias("verified"), _items(F.col("payload"), "rejected_skills").alias("l")))).alias("s"))
     each = rows.select("id", "s.verified", F.explode("s.l").alias("x")).where("x.name <> ''")
     one = each.groupBy("id", "verified", F.lower("x.name").alias("key")).agg(F.min("x").alias("x"))
+    # windows only: a union of two lists that are dealt alike fails if the lists are dealt to different numbers of partitions when run
     by = Window.partitionBy("id", "verified").orderBy("x.at")
-    good = one.where("verified").withColumn("at", F.row_number().over(by)).where(F.col("at") <= most)
-    taken = good.groupBy("id").agg(F.count("*").alias("taken"))
-    rest = one.where("NOT verified").join(good.select("id", "key"), ["id", "key"], "left_anti").withColumn("at", F.row_number().over(by))
-    rest = rest.join(taken, "id", "left").where(F.col("at") <= F.lit(most) - F.coalesce("taken", F.lit(0)))
-    pick = ["id", "verified", F.col("at").cast("long").alias("at"), F.col("x.name").alias("name")]
-    return good.select(*pick).unionByName(rest.select(*pick))
+    ranked = one.withColumn("good", F.col("verified") & (F.row_number().over(by) <= most))
+    ranked = ranked.withColumn("taken_name", F.max("good").over(Window.partitionBy("id", "key"))).where("good OR (NOT verified AND NOT taken_name)")
+    placed = ranked.withColumn("at", F.row_number().over(by)).withColumn("taken", F.count_if("good").over(Window.partitionBy("id")))
+    kept = placed.where(F.col("good") | (F.col("at") <= F.lit(most) - F.col("taken")))
+    return kept.select("id", "verified", F.col("at").cast("long").alias("at"), F.col("x.name").alias("name"))
 
 
 def parse_mapped(answers: DataFrame) -> DataFrame:
