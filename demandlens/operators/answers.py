@@ -50,7 +50,6 @@ def parse_verified(answers: DataFrame, most: int = 20) -> DataFrame:
     rows = answers.select("id", F.explode(F.array(F.struct(F.lit(True).alias("verified"), _items(F.col("payload"), "verified_skills").alias("l")), F.struct(F.lit(False).alias("verified"), _items(F.col("payload"), "rejected_skills").alias("l")))).alias("s"))
     each = rows.select("id", "s.verified", F.explode("s.l").alias("x")).where("x.name <> ''")
     one = each.groupBy("id", "verified", F.lower("x.name").alias("key")).agg(F.min("x").alias("x"))
-    # windows only: a union of two lists that are dealt alike fails if the lists are dealt to different numbers of partitions when run
     by = Window.partitionBy("id", "verified").orderBy("x.at")
     ranked = one.withColumn("good", F.col("verified") & (F.row_number().over(by) <= most))
     ranked = ranked.withColumn("taken_name", F.max("good").over(Window.partitionBy("id", "key"))).where("good OR (NOT verified AND NOT taken_name)")
