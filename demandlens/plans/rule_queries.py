@@ -85,7 +85,7 @@ rule("merge_config", "SELECT event_id AS id, event_type AS x, CAST(user_id AS ST
      lambda rows: F.array_join(F.array_sort(F.transform(F.map_entries(K.merged_config(F.create_map(F.lit("a"), F.col("x"), F.lit("b"), F.col("y")), F.when(F.col("x") == "view", F.create_map(F.lit("a"), F.col("y"), F.lit("c"), F.col("x"))).otherwise(F.create_map(F.lit("c"), F.col("x"))))),
                                                  lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","))
 rule("rolling_window_pick", "SELECT id, title AS x FROM d_job_post", "array_to_string(list_transform(range(least(2, len(string_split(x, ' ')))), lambda i: string_split(x, ' ')[(id + i) % len(string_split(x, ' ')) + 1]), ',')",
-     lambda rows: F.array_join(P.picked_window(F.split("x", " "), (F.col("id") % 1000000).cast("int"), 2), ","))
+     lambda rows: F.array_join(P.picked_window(F.split("x", " "), F.col("id"), 2), ","))
 rule("picked_language", """SELECT doc_id AS id, concat('{"', lang, '": "', CASE WHEN n_chars % 5 = 0 THEN '' ELSE source END, '"', CASE doc_id % 3 WHEN 0 THEN ', "en-gb": "Gb"' WHEN 1 THEN ', "en-us": "", "zz": "Last"' ELSE '' END, '}') AS x FROM documents""",
      """coalesce(nullif(x ->> '$.en', ''), nullif(x ->> '$."en-us"', ''), nullif(x ->> '$."en-gb"', ''), nullif(x ->> '$.de', ''), nullif(x ->> '$.fr', ''), nullif(x ->> '$.es', ''), nullif(x ->> '$.zz', ''))""", lambda x: P.picked_language(F.from_json(x, "map<string,string>")))
 rule("link_uris", """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('{"b": [{"uri": "', p_name, '"}, {"uri": "u2"}], "a": [{"uri": "', p_brand, '"}]}') WHEN 1 THEN concat('{"c": [{"uri": "', p_name, '"}]}') ELSE concat('{"a": [{"uri": "', p_type, '"}]}') END AS x FROM part""",

@@ -158,9 +158,9 @@ def inline_jobs(sources: DataFrame) -> DataFrame:
 
 
 def picked_window(items: Column, offset: Column, most: int) -> Column:
-    """The next ``most`` items of a list from an offset on, around its end, each once."""
+    """The next ``most`` items of a list from an offset of any size on, around its end, each once."""
     n = F.size(items)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.least(n, F.lit(most)) - 1), lambda i: F.get(items, (offset + i) % n))).otherwise(F.array().cast("array<string>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.least(n, F.lit(most)) - 1), lambda i: F.get(items, ((offset + i) % n).cast("int")))).otherwise(F.array().cast("array<string>"))
 
 
 def search_combinations(sources: DataFrame, most: int = 60) -> DataFrame:
