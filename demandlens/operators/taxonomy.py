@@ -116,17 +116,18 @@ def pattern_matches(skills: DataFrame, patterns: DataFrame) -> DataFrame:
     cleaned = patterns.select("category", "ord", F.lower(F.trim("pattern")).alias("pattern")).where("pattern <> ''")
     texts = skills.select(F.col("id").alias("skill_id"), searchable.alias("s"))
     pairs = containing(texts.select(F.col("s").alias("long")), cleaned.select(F.col("pattern").alias("short")))
-    found = texts.join(pairs, F.col("s") == F.col("long")).join(cleaned, F.col("short") == F.col("pattern"))
+    # sizes guessed from compressed files would send all names through the driver
+    found = texts.join(pairs.hint("merge"), F.col("s") == F.col("long")).join(cleaned, F.col("short") == F.col("pattern"))
     return found.select("category", "skill_id", "ord", "pattern", F.when(F.length("pattern") >= 8, 0.85).otherwise(0.7).alias("confidence"))
 
 
 def suggestions(skills: DataFrame, names: DataFrame, patterns: DataFrame, assigned: DataFrame) -> DataFrame:
     """(category, skill_id, confidence, reason): skills of a category's seed that it lacks; an exact name before patterns, those in order."""
     named = skills.select(F.col("id").alias("skill_id"), F.col("name").alias("skill_name"), T.normalize_name(F.col("name")).alias("n"))
-    exact = names.withColumn("n", T.normalize_name(F.col("name"))).join(named, "n").select(
+    exact = names.withColumn("n", T.normalize_name(F.col("name"))).join(named.hint("merge"), "n").select(
         "category", "skill_id", F.struct(F.lit(-1).alias("ord"), F.lit(0.95).alias("confidence"), F.concat(F.lit("exact skill match: "), F.col("skill_name")).alias("reason")).alias("x"))
     held = pattern_matches(skills, patterns).select("category", "skill_id", F.struct("ord", "confidence", F.concat(F.lit("pattern match: "), F.col("pattern")).alias("reason")).alias("x"))
-    first = exact.unionByName(held).groupBy("category", "skill_id").agg(F.min("x").alias("x")).join(assigned, ["category", "skill_id"], "left_anti")
+    first = exact.unionByName(held).groupBy("category", "skill_id").agg(F.min("x").alias("x")).join(assigned.hint("merge"), ["category", "skill_id"], "left_anti")
     return first.select("category", "skill_id", F.col("x.confidence").alias("confidence"), F.col("x.reason").alias("reason"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from demandlens.operators import taxonomy as X
 from demandlens.plans import catalog
 from demandlens.sources import parsers as P
 
@@ -29,3 +30,15 @@ def test_large_ids_reach_the_rule(spark, tmp_path):
     for r in got:
         words = f"{segments[jobs[r.id].o_custkey]} engineer {r.id % 97}".split(" ")
         assert r.value == f"{words[r.id % 3]},{words[(r.id + 1) % 3]}"
+
+
+def test_names_of_a_taxonomy_are_not_broadcast(spark):
+    """Sizes guessed from compressed files are far too small, so a broadcast of skills doesn't fit the driver."""
+    skills = spark.createDataFrame([(1, "steel lace", ["alias 1"]), (2, "rose", [])], "id long, name string, aliases array<string>")
+    patterns = spark.createDataFrame([("Metals", 0, " Steel "), ("Plants", 0, "rose")], "category string, ord int, pattern string")
+    names = spark.createDataFrame([("Plants", "ROSE")], "category string, name string")
+    found = X.pattern_matches(skills, patterns)
+    assert "SortMergeJoin [s#" in plan(found)
+    none = spark.createDataFrame([], "category string, skill_id long")
+    assert "SortMergeJoin [n#" in plan(X.suggestions(skills, names, patterns, none))
+    assert sorted((r.category, r.skill_id) for r in found.collect()) == [("Metals", 1), ("Plants", 2)]
