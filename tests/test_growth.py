@@ -1,7 +1,11 @@
 """Steps whose work must grow no faster than their tables: plans, and results where pairs are left out."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from demandlens.operators import fuzzy, resolution
 from demandlens.operators import taxonomy as X
 from demandlens.plans import catalog
 from demandlens.sources import parsers as P
@@ -42,3 +46,41 @@ def test_names_of_a_taxonomy_are_not_broadcast(spark):
     none = spark.createDataFrame([], "category string, skill_id long")
     assert "SortMergeJoin [n#" in plan(X.suggestions(skills, names, patterns, none))
     assert sorted((r.category, r.skill_id) for r in found.collect()) == [("Metals", 1), ("Plants", 2)]
+
+
+def test_candidates_by_classes_equal_all_pairs(spark):
+    """A keyword that is an alias too counts once; classes of frequent words lose nothing, ties go by name."""
+    rng = random.Random(5)
+    words = ["steel", "lace", "rose", "data", "ring"]
+    rows = [(i, f"{rng.choice(words)} {rng.choice(words)} {i}", rng.random() < 0.9, [f"also {rng.choice(words)}"] if i % 3 == 0 else []) for i in range(1, 121)]
+    kept = [(i, rows[i - 1][3][0] if i % 6 == 0 else f"kw {rng.choice(words)}") for i in range(1, 121) if i % 2 == 0]
+    asked = [(i, f"{rng.choice(words)} {rng.choice(['tools', 'x', str(i), rng.choice(words)])}") for i in range(1, 31)] + [(40, "steel"), (41, "ring 11"), (42, "ml etl")]
+    skills = spark.createDataFrame(rows, "id long, name string, is_active boolean, aliases array<string>")
+    got = resolution.catalog_candidates(spark.createDataFrame(asked, "query_id long, query string"), skills, spark.createDataFrame(kept, "skill_set_id long, raw_text string"), 4, frequent=6)
+
+    def tokens(x):
+        return {w for w in re.split("[^a-z0-9+#.]+", x) if len(w) > 1} - {"tools"}
+
+    want = set()
+    for q, text in asked:
+        mine = tokens(text) | ({"machine", "learning"} if "ml" in tokens(text) else set()) | ({"extract", "transform", "load", "data"} if "etl" in tokens(text) else set())
+        scores = []
+        for i, name, active, aliases in rows:
+            terms = {(name, True)} | {(a, False) for a in aliases} | {(k, False) for j, k in kept if j == i}
+            score = 0
+            for t, own in terms if active and mine else ():
+                n = len(mine & tokens(t))
+                score += (8 if own else 6) * (t in text or text in t) + n * (4 if own else 3) + 2 * (own and 0 < n == len(tokens(t)))
+            if score:
+                scores.append((-score, name, i))
+        want |= {(q, i, -s, k + 1) for k, (s, _, i) in enumerate(sorted(scores)[:4])}
+    assert {(r.query_id, r.skill_id, r.score, r["rank"]) for r in got.collect()} == want
+
+
+def test_long_texts_are_looked_up_by_long_runs(spark):
+    """Of many texts that share short runs, those that hold a long one are found, and no others are compared."""
+    longs = [f"steel lace {i} xx" for i in range(100, 400)]
+    shorts = ["lace 123 xx", "steel lac", "lace 1234", "ace 39", "e"]
+    got = fuzzy.containing(spark.createDataFrame([(x,) for x in longs], "long string"), spark.createDataFrame([(x,) for x in shorts], "short string"))
+    assert {tuple(r) for r in got.collect()} == {(x, y) for x in longs for y in shorts if y in x}
+    assert fuzzy.RUNS == (3, 9)
