@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from demandlens.operators import fuzzy, resolution
+from demandlens.operators import fuzzy, matching, resolution
 from demandlens.operators import taxonomy as X
 from demandlens.plans import catalog
 from demandlens.sources import parsers as P
@@ -84,3 +84,24 @@ def test_long_texts_are_looked_up_by_long_runs(spark):
     got = fuzzy.containing(spark.createDataFrame([(x,) for x in longs], "long string"), spark.createDataFrame([(x,) for x in shorts], "short string"))
     assert {tuple(r) for r in got.collect()} == {(x, y) for x in longs for y in shorts if y in x}
     assert fuzzy.RUNS == (3, 9)
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    """Blocks of queries and vectors meet as products; equals, zero vectors, other sizes and a null element go as by all pairs."""
+    monkeypatch.setattr(matching, "BLOCK", 16)
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)], f"n{i % 10}") for i in range(1, 81)]
+    rows += [(i, rows[3][1], f"n{i % 3}") for i in range(90, 96)] + [(100, [0.0] * 5, "zero"), (101, [1.0, 2.0], "short"), (102, [1.0, None, 0.0, 0.0, 0.0], "hole"), (103, None, "none")]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>, name string")
+    queries = vectors.where("id % 4 = 0 OR id > 99").selectExpr("id AS query_id", "embedding AS query")
+    found = matching.top_k(vectors, queries, 3)
+    assert "CartesianProduct" not in plan(found) and "NestedLoop" not in plan(found)
+    e = {r.id: r.embedding for r in vectors.collect()}
+    names = {i: n for i, _, n in rows}
+    usable = lambda x: x is not None and None not in x and any(x)
+    size = lambda x: sum(v * v for v in x) ** 0.5
+    want = set()
+    for q in [r.query_id for r in queries.collect()]:
+        best = sorted((-sum(map(float.__mul__, e[q], e[i])) / (size(e[q]) * size(e[i])), names[i], i) for i in e if i != q and usable(e[q]) and usable(e[i]) and len(e[q]) == len(e[i]))
+        want |= {(q, i, k + 1) for k, (_, _, i) in enumerate(best[:3])}
+    assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == want
