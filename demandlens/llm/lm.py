@@ -205,16 +205,18 @@ def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def nce_pass(model: LogBilinear, before2: np.ndarray, before1: np.ndarray, klass: np.ndarray, counts: np.ndarray, unigram: np.ndarray, seed: int, rate: float) -> tuple[LogBilinear, np.ndarray]:
-    """Adagrad over as many draws as there are n-grams, evenly spaced over their counts, so each is drawn in proportion to its count.
+    """Adagrad over all n-grams, each weighed by its count; one of a large count is visited several times, with equal parts of it.
 
-    A batch shares its noise classes, drawn from the unigram. Also returns how often each context was met.
+    Weights are relative to the mean count, and visits are at most a quarter more than n-grams. A batch shares its noise classes, drawn from the unigram. Also returns how often each context was met.
     """
     model = LogBilinear(*(x.copy() for x in model.parts()))
     q, b, c1, c2, r = model.parts()
     rng = np.random.default_rng(seed)
-    upto = np.cumsum(counts)
-    draws = np.searchsorted(upto, (np.arange(len(counts)) + rng.random()) / len(counts) * upto[-1], side="right")
+    share = counts / counts.mean()
+    visits = np.maximum(1, (share / 4).astype(np.int64))
+    draws = np.repeat(np.arange(len(counts)), visits)
     rng.shuffle(draws)
+    weight = (share / visits).astype(np.float32)
     met = np.bincount(before2[draws], minlength=len(r)) + np.bincount(before1[draws], minlength=len(r))
     squares = [np.full(x.shape, 1e-2, dtype=np.float32) for x in model.parts()]
     log_noise = (np.log(unigram) + math.log(NOISE)).astype(np.float32)
@@ -233,6 +235,7 @@ def nce_pass(model: LogBilinear, before2: np.ndarray, before1: np.ndarray, klass
         fake = h @ qn.T + (b[noise] - log_noise[noise])
         g_real = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # ascent on log sigma(real)
         g_fake = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
+        g_real, g_fake = g_real * weight[mine], g_fake * weight[mine, None]
         g_h = g_real[:, None] * qw + g_fake @ qn
         rows, g_q = _sums(np.concatenate([w, noise]), np.concatenate([g_real[:, None] * h, g_fake.T @ h]))
         g_b = np.bincount(w, g_real, len(b)) + np.bincount(noise, g_fake.sum(axis=0), len(b))
