@@ -16,38 +16,49 @@ SECTIONS = {
 STEPS = ["text_extraction", "ollama_extract", "ollama_verify", "skillset_mapping", "job_match", "market_fit"]
 
 
-def _items(payload: Column, key: str) -> Column:
-    """The entries of a list, each an object or a plain name, as structs in order."""
-    listed = F.from_json(F.get_json_object(payload, f"$.{key}"), "array<string>")
-    field = lambda x, k: F.when(x.rlike(r"^\s*\{"), F.get_json_object(x, f"$.{k}"))
-    name = lambda x: F.when(x.rlike(r"^\s*\{"), F.coalesce(F.nullif(field(x, "name"), F.lit("")), field(x, "skill"), F.lit(""))).otherwise(x)
-    return F.transform(listed, lambda x, i: F.struct(i.alias("at"), T.display_name(name(x)).alias("name"), T.confidence(field(x, "confidence")).alias("confidence"),
-                                                     F.substring(T.collapse(F.coalesce(field(x, "source_fragment"), F.lit(""))), 1, 240).alias("fragment"),
-                                                     F.substring(T.collapse(F.coalesce(field(x, "reason"), F.lit(""))), 1, 300).alias("reason")))
+def _listed(payload: Column, key: str) -> Column:
+    return F.from_json(F.get_json_object(payload, f"$.{key}"), "array<string>")
+
+
+def _items(listed: Column) -> Column:
+    """The entries of a list, each an object or a plain name, as structs in order; every field is read once."""
+
+    def item(x: Column, i: Column) -> Column:
+        field = lambda k: F.when(x.rlike(r"^\s*\{"), F.get_json_object(x, f"$.{k}"))
+        name = F.when(x.rlike(r"^\s*\{"), F.coalesce(F.nullif(field("name"), F.lit("")), field("skill"), F.lit(""))).otherwise(x)
+        return F.struct(i.alias("at"), T.display_name(name).alias("name"), T.let(field("confidence"), T.confidence).alias("confidence"),
+                        F.substring(T.collapse(F.coalesce(field("source_fragment"), F.lit(""))), 1, 240).alias("fragment"),
+                        F.substring(T.collapse(F.coalesce(field("reason"), F.lit(""))), 1, 300).alias("reason"))
+
+    return F.transform(listed, item)
 
 
 def parse_extracted(answers: DataFrame, most: int = 20) -> DataFrame:
-    """(id, at, name, confidence, fragment, error) of answers (id, payload): the first ``most`` distinct names, case ignored; an answer without any gives one row with an error."""
+    """(id, at, name, confidence, fragment, error) of answers (id, payload): the first ``most`` distinct names, case ignored; an answer without any gives one row with an error.
+
+    An answer is read once, in the one expression that is exploded; a filter on its parts would be pushed below and read it again.
+    """
     ok = F.try_parse_json("payload").isNotNull() & F.col("payload").rlike(r"^\s*\{")
-    first = _items(F.col("payload"), "candidate_skills")
-    listed = F.when(F.size(F.coalesce(first, F.array())) > 0, first).otherwise(_items(F.col("payload"), "skills"))
-    rows = answers.select("id", ok.alias("ok"), listed.alias("listed"))
-    blank = F.exists("listed", lambda x: x["name"] == "")
-    error = (
-        F.when(~F.coalesce("ok", F.lit(False)), "malformed").when(F.size(F.coalesce("listed", F.array())) == 0, "no skills").when(blank, "empty name")
+    listed = T.let(_listed(F.col("payload"), "candidate_skills"), lambda first: F.when(F.size(F.coalesce(first, F.array())) > 0, first).otherwise(_listed(F.col("payload"), "skills")))
+    row = lambda x, error: F.struct(x["at"].alias("at"), x["name"].alias("name"), x["confidence"].alias("confidence"), x["fragment"].alias("fragment"), error.cast("string").alias("error"))
+    none = {"at": F.lit(0), "name": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "fragment": F.lit(None).cast("string")}
+    bad = lambda error: F.array(row(none, F.lit(error)))
+    good = lambda l: F.transform(l, lambda x: row(x, F.lit(None)))
+    rows = lambda l: (
+        F.when(~F.coalesce(ok, F.lit(False)), bad("malformed")).when(F.size(F.coalesce(l, F.array())) == 0, bad("no skills")).when(F.exists(l, lambda x: x["name"] == ""), bad("empty name")).otherwise(good(l))
     )
-    rows = rows.withColumn("error", error)
-    each = rows.where("error IS NULL").select("id", F.explode("listed").alias("x"))
+    # dealt by id once, which serves the groups and the ranks, and before the answers are read: a file of a few megabytes is one task
+    each = answers.select("id", "payload").repartition("id").select("id", F.explode(T.let(_items(listed), rows)).alias("x"))
     one = each.groupBy("id", F.lower("x.name").alias("key")).agg(F.min("x").alias("x"))
+    failed = F.col("x.error").isNotNull()
     rank = F.row_number().over(Window.partitionBy("id").orderBy("x.at"))
-    kept = one.withColumn("at", rank.cast("long")).where(F.col("at") <= most).select("id", "at", "x.name", "x.confidence", "x.fragment", F.lit(None).cast("string").alias("error"))
-    bad = rows.where("error IS NOT NULL").select("id", F.lit(0).cast("long").alias("at"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("fragment"), "error")
-    return kept.unionByName(bad)
+    kept = one.withColumn("at", F.when(failed, 0).otherwise(rank).cast("long")).where(F.col("at") <= most)
+    return kept.select("id", "at", "x.name", "x.confidence", "x.fragment", "x.error")
 
 
 def parse_verified(answers: DataFrame, most: int = 20) -> DataFrame:
     """(id, verified, at, name) of answers: distinct verified names up to ``most``, then distinct rejected ones that aren't among them, up to what is left."""
-    rows = answers.select("id", F.explode(F.array(F.struct(F.lit(True).alias("verified"), _items(F.col("payload"), "verified_skills").alias("l")), F.struct(F.lit(False).alias("verified"), _items(F.col("payload"), "rejected_skills").alias("l")))).alias("s"))
+    rows = answers.select("id", "payload").repartition("id").select("id", F.explode(F.array(F.struct(F.lit(True).alias("verified"), _items(_listed(F.col("payload"), "verified_skills")).alias("l")), F.struct(F.lit(False).alias("verified"), _items(_listed(F.col("payload"), "rejected_skills")).alias("l")))).alias("s"))
     each = rows.select("id", "s.verified", F.explode("s.l").alias("x")).where("x.name <> ''")
     one = each.groupBy("id", "verified", F.lower("x.name").alias("key")).agg(F.min("x").alias("x"))
     by = Window.partitionBy("id", "verified").orderBy("x.at")

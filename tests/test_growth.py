@@ -105,3 +105,15 @@ def test_nearest_by_blocks(spark, monkeypatch):
         best = sorted((-sum(map(float.__mul__, e[q], e[i])) / (size(e[q]) * size(e[i])), names[i], i) for i in e if i != q and usable(e[q]) and usable(e[i]) and len(e[q]) == len(e[i]))
         want |= {(q, i, k + 1) for k, (_, _, i) in enumerate(best[:3])}
     assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == want
+
+
+def test_answers_are_read_once(spark):
+    """Filters on what was parsed aren't pushed below the parser, and one exchange serves groups and ranks."""
+    from demandlens.operators import answers
+
+    rows = spark.createDataFrame([(1, '{"skills": ["a", "A", {"name": "b c", "confidence": "high"}]}'), (2, "x"), (3, '{"skills": []}'), (4, '{"skills": ["a", " "]}')], "id long, payload string")
+    found = answers.parse_extracted(rows, 2)
+    assert {(r.id, r.at, r.name, r.confidence, r.error) for r in found.collect()} == {(1, 1, "A", None, None), (1, 2, "B C", 0.9, None), (2, 0, None, None, "malformed"), (3, 0, None, None, "no skills"), (4, 0, None, None, "empty name")}
+    text = plan(found)
+    text = text[text.index("Initial Plan") :] if "Initial Plan" in text else text
+    assert text.count("get_json_object(payload") <= 2 and text.count("Exchange hashpartitioning") == 1
