@@ -208,6 +208,20 @@ def filtered_logs(logs: DataFrame, limit: int = 50, **filters) -> DataFrame:
     return recent(logs, "created_at", limit)
 
 
+#: Rows of one source or company are dealt to so many tasks.
+DEALS = 64
+
+
+def with_names(rows: DataFrame, named: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the name of what their key says, null without one; named: (key, name), each key once.
+
+    Many rows may have one key, or none: they are dealt by their id too, and names are looked up once for each key and deal.
+    """
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(DEALS)))
+    asked = dealt.where(F.col(key).isNotNull()).select(key, "_deal").distinct().join(named.select(key, name), key)
+    return dealt.join(asked, [key, "_deal"], "left").drop("_deal")
+
+
 def log_rows(logs: DataFrame, sources: DataFrame, companies: DataFrame) -> DataFrame:
     """All fields of log rows: their own, the names of their source and company (empty without one), moments in UTC as ISO text and for display, durations, metrics and the reason of an error.
 
@@ -220,7 +234,7 @@ def log_rows(logs: DataFrame, sources: DataFrame, companies: DataFrame) -> DataF
     duration = F.when(F.col("duration_ms").isNull(), "").otherwise(duration_display(F.col("duration_ms")))
     metadata, status = F.col("metadata"), F.col("status")
     blank = F.lit("")
-    return logs.join(s, "source_id", "left").join(c, "company_id", "left").select(
+    return with_names(with_names(logs, s, "source_id", "source_name"), c, "company_id", "company_name").select(
         "id", iso.alias("created_at"), F.coalesce(iso, blank).alias("created_at_datetime"), F.coalesce(F.date_format(at, "MMM d, h:mm a"), F.lit("-")).alias("created_at_display"),
         F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss 'UTC'"), blank).alias("created_at_title"), "service_name", "step_name", "status", "severity", "crawl_run_id", "source_id",
         F.coalesce("source_name", blank).alias("source_name"), "job_id", "company_id", F.coalesce("company_name", blank).alias("company_name"), "message", "metadata", "error_text",

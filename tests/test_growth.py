@@ -117,3 +117,42 @@ def test_answers_are_read_once(spark):
     text = plan(found)
     text = text[text.index("Initial Plan") :] if "Initial Plan" in text else text
     assert text.count("get_json_object(payload") <= 2 and text.count("Exchange hashpartitioning") == 1
+
+
+def test_blank_ids_are_dealt_out(spark):
+    """Listings without an id or URL don't meet in one task, and find their job by the other field."""
+    from demandlens.sinks import sync
+
+    stored = spark.createDataFrame([("k1", "x1", "u1", "2001-01-01"), ("k2", "", "u2", "2001-01-02"), ("k0", "", "", "2001-01-03")], "job_key string, external_id string, source_url string, created_at string")
+    rows = [(i, "", f"u{i}") for i in range(1, 4000)] + [(4000, "x1", "u2"), (4001, None, None), (4002, "x9", "")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = sync.matched(spark.createDataFrame(rows, "ord long, external_id string, source_url string"), stored, "now")
+        by_url = [r["count"] for r in found.where("source_url <> ''").groupBy(F.spark_partition_id()).count().collect()]
+        keys = {r.ord: r.job_key for r in found.collect()}
+        no_url = sync.matched(spark.createDataFrame([(i, f"x{i}", "") for i in range(4000)], "ord long, external_id string, source_url string"), stored, "now")
+        most = max(r["count"] for r in no_url.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(by_url) < 1000 and most < 1000
+    assert (keys[1], keys[2], keys[3], keys[4000], keys[4001], keys[4002]) == ("k1", "k2", "source_url u3 now", "k2", None, "external_id x9 now")
+
+
+def test_logs_of_one_company_are_dealt_out(spark):
+    from demandlens.operators import monitoring
+
+    logs = spark.range(4000).select("id", F.expr("CASE WHEN id % 4 > 0 THEN id % 2 END").alias("company_id"))
+    names = spark.createDataFrame([(0, "none"), (5, "far")], "company_id long, company_name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = monitoring.with_names(logs, names, "company_id", "company_name")
+        most = max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect())
+        rows = {r.id: (r.company_id, r.company_name) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert most < 1000 and len(rows) == 4000
+    assert (rows[1], rows[2], rows[4]) == ((1, None), (0, "none"), (None, None))
