@@ -20,13 +20,15 @@ def _said(c: str) -> Column:
 def matched(incoming: DataFrame, stored: DataFrame, at: str) -> DataFrame:
     """incoming with ``job_key``: of the newest stored job of its external id or URL, else a new one of its id or URL and the moment.
 
-    Jobs of one id or URL are one row before the join. A row with neither has no key.
+    Jobs of one id or URL are one row before the join. A row with neither has no key. Rows that leave a field blank meet nothing by it, but would all
+    be dealt to one task; they are dealt by their ``ord`` instead.
     """
     own = F.coalesce(*(F.concat(F.lit(f"{c} "), _said(c), F.lit(f" {at}")) for c in ("external_id", "source_url")))
     out = incoming
     for c in ("external_id", "source_url"):
-        newest = stored.where(_said(c).isNotNull()).groupBy(F.col(c).alias("k")).agg(F.max(F.struct("created_at", "job_key")).alias(f"by_{c}"))
-        out = out.join(newest, F.col(c) == F.col("k"), "left").drop("k")
+        newest = stored.where(_said(c).isNotNull()).groupBy(F.col(c).alias("k")).agg(F.max(F.struct("created_at", "job_key")).alias(f"by_{c}")).withColumn("deal", F.lit(0).cast("long"))
+        dealt = F.when(_said(c).isNull(), F.col("ord")).otherwise(0).cast("long")
+        out = out.withColumns({"asked_k": _said(c), "asked_deal": dealt}).join(newest, (F.col("asked_k") == F.col("k")) & (F.col("asked_deal") == F.col("deal")), "left").drop("k", "deal", "asked_k", "asked_deal")
     found = F.greatest("by_external_id", "by_source_url")
     return out.withColumn("job_key", F.coalesce(found["job_key"], own)).drop("by_external_id", "by_source_url")
 
