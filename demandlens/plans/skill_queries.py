@@ -43,7 +43,7 @@ def skill_gap(d):
 @query("company_breakdown", f"""SELECT company_id, company_name, skill_set_id, skill_name, count(DISTINCT job_post_id) AS job_count, count(*) AS links, {MEAN.format('score')} AS avg_score,
     row_number() OVER (PARTITION BY company_id ORDER BY count(DISTINCT job_post_id) DESC, sum(score) * 1.0 / count(*) DESC, skill_name, skill_set_id) AS rank FROM d_star GROUP BY ALL QUALIFY rank <= 3""".replace("GROUP BY ALL", "GROUP BY company_id, company_name, skill_set_id, skill_name"))
 def company_breakdown(d):
-    return S.company_breakdown(star(d))
+    return S.company_breakdown(d.d_link, d.d_skill_set, d.d_job_post, d.d_company)
 
 
 @query("job_category_skills", f"""SELECT CASE WHEN employment_type = '' THEN 'Unspecified' ELSE employment_type END AS category, skill_set_id, skill_name, count(DISTINCT job_post_id) AS job_count, count(*) AS links,

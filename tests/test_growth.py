@@ -156,3 +156,11 @@ def test_logs_of_one_company_are_dealt_out(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert most < 1000 and len(rows) == 4000
     assert (rows[1], rows[2], rows[4]) == ((1, None), (0, "none"), (None, None))
+
+
+def test_companies_are_counted_by_ids(spark):
+    """Names come after the counts, so that tables of a task hold numbers alone."""
+    found = catalog.queries()["company_breakdown"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["company_id", "company_name", "skill_set_id", "skill_name", "job_count", "links", "rank", "avg_score"]
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(found))
+    assert keys and not any("name" in k for k in keys)
