@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.functions.numbers import demand_score, growth_ratio, percentage, trend_type
+from demandlens.session import dealt, parts_for
 
 
 def demand(links: DataFrame, as_of: str) -> DataFrame:
@@ -48,7 +49,8 @@ def trends_with_demand(trends: DataFrame, demands: DataFrame) -> DataFrame:
 def category_counts(rows: DataFrame, category: str, approved_only: bool = False) -> DataFrame:
     """Distinct jobs of each category that has any."""
     kept = rows.where("is_approved") if approved_only else rows
-    return kept.groupBy(F.col(category).cast("string").alias("category")).agg(F.countDistinct("job_post_id").alias("job_count")).where("category IS NOT NULL")
+    pairs = kept.select(F.col(category).cast("string").alias("category"), "job_post_id").where("category IS NOT NULL")
+    return dealt(pairs, parts_for(rows), "category", "job_post_id").distinct().groupBy("category").agg(F.count("job_post_id").alias("job_count"))
 
 
 def category_share(counts: DataFrame, limit: int = 5) -> DataFrame:

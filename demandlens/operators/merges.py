@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.functions.text import collapse
-from demandlens.session import cut_lineage
+from demandlens.session import cut_lineage, dealt, parts_for
 
 
 def _filled(c: str):
@@ -45,9 +45,10 @@ def match_existing(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 def attach_merge(existing: DataFrame, scored: DataFrame) -> DataFrame:
     """Upsert of links (owner, skill): scores within 0 and 100, the first of repeated skills by ``ord`` wins."""
-    first = scored.groupBy("job_post_id", "skill_set_id").agg(F.min(F.struct("ord", "score")).alias("x"))
+    keys, parts = ["job_post_id", "skill_set_id"], max(parts_for(existing), parts_for(scored))
+    first = dealt(scored.select(*keys, "ord", "score"), parts, *keys).groupBy(*keys).agg(F.min(F.struct("ord", "score")).alias("x"))
     new = first.select("job_post_id", "skill_set_id", F.least(F.greatest("x.score", F.lit(0)), F.lit(100)).alias("new_score"))
-    both = existing.select("job_post_id", "skill_set_id", "score").join(new, ["job_post_id", "skill_set_id"], "full")
+    both = dealt(existing.select(*keys, "score"), parts, *keys).join(new, keys, "full")
     action = F.when(F.col("score").isNull(), "insert").when(F.col("new_score").isNull() | (F.col("score") == F.col("new_score")), "keep").otherwise("update")
     return both.select("job_post_id", "skill_set_id", F.coalesce("new_score", "score").alias("score"), action.alias("action"))
 

@@ -164,3 +164,32 @@ def test_companies_are_counted_by_ids(spark):
     assert found.columns == ["company_id", "company_name", "skill_set_id", "skill_name", "job_count", "links", "rank", "avg_score"]
     keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(found))
     assert keys and not any("name" in k for k in keys)
+
+
+def test_links_are_dealt_by_the_size_of_their_files(spark, monkeypatch, tmp_path):
+    """More files ask for more parts, whatever the session's number, in every step that groups links; paths are taken as they are named."""
+    import math
+    import os
+    import shutil
+
+    from demandlens import session
+    from demandlens.operators import demand, merges
+    from demandlens.sources.binding import Domain
+
+    folder = str(tmp_path / "a b %20c")
+    shutil.copytree("/root/testdata/sf0.001", folder)
+    d = Domain(spark, folder)
+    assert session.parts_for(d.lineitem) == 0 and session.parts_for(spark.range(3)) == 0
+    size = os.path.getsize(f"{folder}/lineitem.parquet")
+    monkeypatch.setattr(session, "PART_BYTES", 2000)
+    n = session.parts_for(d.lineitem)
+    assert n == math.ceil(size / 2000) > 8
+    links = Domain(spark, folder).d_link
+    assert len(re.findall(rf"hashpartitioning\([^)]*, {n}\), REPARTITION_BY_NUM", plan(links))) == 1
+    merged = merges.attach_merge(links, links.selectExpr("job_post_id", "skill_set_id", "score + 1 AS score", "0 AS ord"))
+    assert {x for x in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan(merged))} == {str(n)}
+    counts = demand.category_counts(links.selectExpr("job_post_id", "skill_set_id % 3 AS category"), "category")
+    assert re.search(rf"hashpartitioning\(category[^)]*, {n}\), REPARTITION_BY_NUM", plan(counts))
+    assert {(r.category, r.job_count) for r in counts.collect()} == {(r.c, r.n) for r in links.groupBy(F.expr("string(skill_set_id % 3)").alias("c")).agg(F.countDistinct("job_post_id").alias("n")).collect()}
+    mine = Domain(spark, folder).d_application_skill
+    assert re.search(rf"hashpartitioning\(job_post_id[^)]*, {n}\), REPARTITION_BY_NUM", plan(mine))
