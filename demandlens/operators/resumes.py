@@ -107,12 +107,11 @@ def market_fits(owned: DataFrame, vectors: DataFrame, skills: DataFrame, demands
     return matching.market_fit(mine.join(best.withColumnRenamed("query_id", "skill_set_id"), "skill_set_id"), "owner")
 
 
-def _lacking(owned: DataFrame, ranked: DataFrame, key: str, size: int, first: int) -> DataFrame:
-    """For each owner the first rows of a list of at most ``size`` rows (place, key, ...) that it doesn't have; owners meet places, not each other."""
-    held = owned.join(F.broadcast(ranked.select(key, "place")), key).groupBy("owner").agg(F.collect_set("place").alias("held"))
-    places = F.slice(F.array_except(F.sequence(F.lit(1), F.lit(size)), F.coalesce("held", F.array().cast("array<int>"))), 1, first)
-    rows = owned.select("owner").distinct().join(held, "owner", "left").select("owner", F.explode(places).alias("place"))
-    return rows.join(F.broadcast(ranked), "place")
+def _lacking(owned: DataFrame, ranked: DataFrame, key: str, first: int) -> DataFrame:
+    """(owner, places): for each owner the first places of a short list (place, key, ...) whose keys it doesn't have, in order; owners meet places, not each other."""
+    every = ranked.agg(F.sort_array(F.collect_list("place")).alias("every"))
+    held = owned.join(F.broadcast(ranked.select(key, "place")), key, "left").groupBy("owner").agg(F.collect_set("place").alias("held"))
+    return held.crossJoin(F.broadcast(every)).select("owner", F.slice(F.array_except("every", "held"), 1, first).alias("places"))
 
 
 def gap_skills(owned: DataFrame, demands: DataFrame, skills: DataFrame, limit: int = 15) -> DataFrame:
@@ -123,12 +122,13 @@ def gap_skills(owned: DataFrame, demands: DataFrame, skills: DataFrame, limit: i
     top = demands.join(skills.select(F.col("id").alias("skill_set_id"), "name"), "skill_set_id").orderBy(F.desc("demand_score"), "name", "skill_set_id").limit(2 * limit)
     place = F.row_number().over(Window.orderBy(F.desc("demand_score"), "name", "skill_set_id"))  # over the list only
     ranked = top.select("skill_set_id", "name", "demand_score", F.round(F.col("demand_score") + F.when(F.col("trend_type") == "rising", 25).otherwise(0), 2).alias("priority"), place.alias("place"))
-    rows = _lacking(owned.select("owner", "skill_set_id"), ranked, "skill_set_id", 2 * limit, limit)
-    by = Window.partitionBy("owner")
-    return rows.select(
-        "owner", "skill_set_id", "demand_score", "priority", F.row_number().over(by.orderBy("place")).cast("long").alias("missing_rank"),
-        F.row_number().over(by.orderBy(F.desc("priority"), F.lower("name"), "place")).cast("long").alias("rank"),
-    )
+    turn = F.row_number().over(Window.orderBy(F.desc("priority"), F.lower("name"), "place"))  # over the list only
+    ranked = cut_lineage(ranked.withColumn("turn", turn).drop("name"))
+    turns = ranked.agg(F.map_from_entries(F.collect_list(F.struct("place", "turn"))).alias("turns"))
+    lacks = _lacking(owned.select("owner", "skill_set_id"), ranked, "skill_set_id", limit).crossJoin(F.broadcast(turns))
+    by_turn = F.transform(F.array_sort(F.transform("places", lambda p: F.struct(F.col("turns")[p].alias("turn"), p.alias("place")))), lambda x: x["place"])
+    rows = lacks.select("owner", "places", F.posexplode(by_turn).alias("at", "place")).join(F.broadcast(ranked), "place")
+    return rows.select("owner", "skill_set_id", "demand_score", "priority", F.array_position("places", F.col("place")).alias("missing_rank"), (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def gap_categories(owned: DataFrame, members: DataFrame, counts: DataFrame, limit: int = 15) -> DataFrame:
@@ -138,10 +138,10 @@ def gap_categories(owned: DataFrame, members: DataFrame, counts: DataFrame, limi
     """
     order = [F.desc("job_count"), F.lower("category"), F.col("category")]
     top = counts.where("job_count > 0").orderBy(*order).limit(limit)
-    ranked = top.select("category", "job_count", F.row_number().over(Window.orderBy(*order)).alias("place"))  # over the list only
+    ranked = cut_lineage(top.select("category", "job_count", F.row_number().over(Window.orderBy(*order)).alias("place")))  # over the list only
     within = owned.select("owner", "skill_set_id").join(members.select("skill_set_id", "category"), "skill_set_id", "left").select("owner", "category").distinct()
-    rows = _lacking(within, ranked, "category", limit, limit)
-    return rows.select("owner", "category", "job_count", F.row_number().over(Window.partitionBy("owner").orderBy("place")).cast("long").alias("rank"))
+    rows = _lacking(within, ranked, "category", limit).select("owner", F.posexplode("places").alias("at", "place")).join(F.broadcast(ranked), "place")
+    return rows.select("owner", "category", "job_count", (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def profiles(owned: DataFrame, members: DataFrame) -> DataFrame:

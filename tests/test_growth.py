@@ -193,3 +193,18 @@ def test_links_are_dealt_by_the_size_of_their_files(spark, monkeypatch, tmp_path
     assert {(r.category, r.job_count) for r in counts.collect()} == {(r.c, r.n) for r in links.groupBy(F.expr("string(skill_set_id % 3)").alias("c")).agg(F.countDistinct("job_post_id").alias("n")).collect()}
     mine = Domain(spark, folder).d_application_skill
     assert re.search(rf"hashpartitioning\(job_post_id[^)]*, {n}\), REPARTITION_BY_NUM", plan(mine))
+
+
+def test_gaps_are_ranked_without_windows_over_owners(spark):
+    from demandlens.operators import resumes
+
+    owned = spark.createDataFrame([(1, 1), (1, 9), (2, 2)], "owner long, skill_set_id long")
+    demands = spark.createDataFrame([(1, 9.0, "stable"), (2, 8.0, "stable"), (3, 7.0, "rising"), (4, 6.0, "stable")], "skill_set_id long, demand_score double, trend_type string")
+    skills = spark.createDataFrame([(i, f"s{i}") for i in range(1, 10)], "id long, name string")
+    found = resumes.gap_skills(owned, demands, skills, 2)
+    assert "Window" not in plan(found)
+    assert {(r.owner, r.skill_set_id, r.missing_rank, r["rank"]) for r in found.collect()} == {(1, 2, 1, 2), (1, 3, 2, 1), (2, 1, 1, 2), (2, 3, 2, 1)}
+    members = spark.createDataFrame([(1, "a"), (2, "b")], "skill_set_id long, category string")
+    lacks = resumes.gap_categories(owned, members, spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "category string, job_count long"), 3)
+    assert "Window" not in plan(lacks)
+    assert {(r.owner, r.category, r["rank"]) for r in lacks.collect()} == {(1, "b", 1), (1, "c", 2), (2, "a", 1), (2, "c", 2)}
