@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from demandlens.functions import text as T
 from demandlens.functions.numbers import percentage
 from demandlens.operators import answers, matching, resolution
-from demandlens.session import cut_lineage
+from demandlens.session import cut_lineage, dealt, parts_for
 
 NO_SKILL = "no matching SkillSet"
+#: Pairs of owner and job need so many parts for each one of the links.
+PAIRS = 4
 
 
 def resolved_names(names: DataFrame, skills: DataFrame, keywords: DataFrame, alias_rows: DataFrame, picks: DataFrame, nearest: DataFrame | None = None, least: float = 0.8) -> DataFrame:
@@ -88,15 +90,18 @@ def auto_created(mapped: DataFrame, skills: DataFrame) -> tuple[DataFrame, DataF
 def job_matches(owned: DataFrame, links: DataFrame, jobs: DataFrame, companies: DataFrame, limit: int = 20) -> DataFrame:
     """(owner, job_post_id, matched, required, match_percent, rank): for each owner (owner, skill_set_id) the jobs that share most of their skills.
 
-    Best share first, then most skills, company and title, case ignored, then the job's id; archived jobs included. A pair of owner and job is
-    counted once for each shared skill before it is joined to anything else.
+    Best share first, then most skills, company and title, case ignored, then the job's id; archived jobs included. Jobs get their number of skills
+    and their place by names before they meet owners, so pairs of owner and job are numbers alone and are shuffled once, to their owner.
     """
     asked = links.select("job_post_id", "skill_set_id").distinct()
     required = asked.groupBy("job_post_id").agg(F.count("*").alias("required"))
-    met = asked.join(owned.select("owner", "skill_set_id").distinct(), "skill_set_id").groupBy("owner", "job_post_id").agg(F.count("*").alias("matched"))
     about = jobs.select(F.col("id").alias("job_post_id"), F.lower("title").alias("title"), "company_id").join(companies.select(F.col("id").alias("company_id"), F.lower("name").alias("company")), "company_id", "left")
-    rows = met.join(required, "job_post_id").withColumn("match_percent", percentage(F.col("matched"), F.col("required"))).join(about.drop("company_id"), "job_post_id")
-    rank = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("match_percent"), F.desc("matched"), "company", "title", "job_post_id"))
+    # sorted by range, so that these numbers rise with company, title and id
+    placed = about.orderBy("company", "title", "job_post_id").select("job_post_id", F.monotonically_increasing_id().alias("place"))
+    pairs = asked.join(required.join(placed, "job_post_id"), "job_post_id").join(owned.select("owner", "skill_set_id").distinct(), "skill_set_id").drop("skill_set_id")
+    met = dealt(pairs, PAIRS * parts_for(links), "owner").groupBy("owner", "job_post_id", "required", "place").agg(F.count("*").alias("matched"))
+    rows = met.withColumn("match_percent", percentage(F.col("matched"), F.col("required")))
+    rank = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("match_percent"), F.desc("matched"), "place"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= limit).select("owner", "job_post_id", "matched", "required", "match_percent", F.col("rank").cast("long").alias("rank"))
 
 

@@ -208,3 +208,16 @@ def test_gaps_are_ranked_without_windows_over_owners(spark):
     lacks = resumes.gap_categories(owned, members, spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "category string, job_count long"), 3)
     assert "Window" not in plan(lacks)
     assert {(r.owner, r.category, r["rank"]) for r in lacks.collect()} == {(1, "b", 1), (1, "c", 2), (2, "a", 1), (2, "c", 2)}
+
+
+def test_pairs_of_owner_and_job_are_numbers(spark):
+    """No name is shuffled with a pair, and equals go by company, title and id."""
+    from demandlens.operators import resumes
+
+    links = spark.createDataFrame([(j, s) for j in range(1, 7) for s in (1, 2)], "job_post_id long, skill_set_id long")
+    jobs = spark.createDataFrame([(1, "B", 1), (2, "a", 1), (3, "z", 2), (4, "A", 1), (5, "q", None), (6, "c", 1)], "id long, title string, company_id long")
+    companies = spark.createDataFrame([(1, "Zed"), (2, "acme")], "id long, name string")
+    found = resumes.job_matches(spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "owner long, skill_set_id long"), links, jobs, companies, 5)
+    windows = [x for x in plan(found).splitlines() if "Window [" in x]
+    assert windows and not any("title" in x or "company" in x for x in windows)
+    assert [(r.owner, r.job_post_id) for r in sorted(found.collect(), key=lambda r: (r.owner, r["rank"]))] == [(o, j) for o in (7, 8) for j in (5, 3, 2, 4, 1)]
