@@ -13,6 +13,8 @@ _RUN = re.compile(r"(\s{2,}|^\s|\s$)")
 _BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: White space on which the library and Python might disagree: such texts are encoded in one piece.
 _ODD = re.compile("[\x00\x1c-\x1f\x85\u180e\u200b\ufeff]")
+#: A letter before one of these at a part's end ends a piece.
+_MARKS = ".,;:!?"
 _PLAIN = bytes(b for b in range(256) if b in (10, 32) or b > 32)
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 
@@ -90,6 +92,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
@@ -114,15 +117,25 @@ class Encoder:
         self.start = self.length = np.zeros(0, dtype=np.int64)
 
     def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
+        text = piece.encode().decode("latin-1").translate(self.written) if not piece.isascii() else self.written[32] + piece[1:] if piece[0] == " " and piece[1:].isalnum() else piece.translate(self.written)
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _known(self, word: str, before: int) -> list[int]:
+        """Ids of a word, looked up if it is one of the first ``before`` parts."""
+        k = dict.get(self.slot, word, before)
+        return self.ids[self.start[k] : self.start[k] + self.length[k]].tolist() if k < before else self._piece(word)
 
     def _learn(self) -> None:
         ids: list[int] = []
+        learned = len(self.length)
         lengths = np.zeros(len(self.slot.new), dtype=np.int64)
         for k, part in enumerate(self.slot.new):
             before = len(ids)
             if (part[1:] if part[0] == " " else part).isalpha():
                 ids += self._piece(part)
+            elif part[-1] in _MARKS and (part[1:-1] if part[0] == " " else part[:-1]).isalpha():
+                ids += self._known(part[:-1], learned)
+                ids += self._known(part[-1], learned)
             elif any(x in part for x in self.added) or _ODD.search(part):
                 ids += self.tokenizer.encode(part, add_special_tokens=False).ids
             else:

@@ -259,6 +259,17 @@ def test_encoder_equals_the_library():
         assert ids[e - n : e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_before_marks_are_looked_up(monkeypatch):
+    """A word that was seen alone isn't tokenized again with a mark after it."""
+    enc, tokenizer, asked = encoding.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY), []
+    enc.encode(["a strangeword here."])
+    plain = enc._piece
+    monkeypatch.setattr(enc, "_piece", lambda x: asked.append(x) or plain(x))
+    ids, _ = enc.encode(["b strangeword. strangeword, é! 1. a.. ."])
+    assert ids.tolist() == tokenizer.encode("b strangeword. strangeword, é! 1. a.. .", add_special_tokens=False).ids
+    assert " strangeword" not in asked and "strangeword" not in asked
+
+
 def test_token_store_round_trip(spark, docs, tmp_path):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     got = store.token_store(docs, path=f"file://{tmp_path}/s").collect()
