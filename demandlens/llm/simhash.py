@@ -19,6 +19,8 @@ WIDE_FROM = 28_000_000
 BANDS, ROWS = 24, 5
 #: A band key of more sets is split by further permutations; at the last level all pairs under a key are compared.
 CROWD, LEVELS = 5000, 2
+#: Pivots are chosen anew, so many times at most, while the pairs of different labels under keys are more than so many for each row.
+TURNS, PAIRS_A_ROW = 5, 2
 #: Longs of a set's marks, each of whose bits is the parity of the hashes that fall on it.
 MARKS = 8
 
@@ -225,17 +227,28 @@ def _all_pairs(rows: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
 
     Sets of sizes adding up to s have ``tenths`` of their union in common only if they differ in at most
     s * (10 - tenths) / (10 + tenths) members, which bounds the bits in which their marks differ. So the join itself leaves
-    out nearly all pairs of lesser similarity, however many lie under a key, and no other.
+    out nearly all pairs of lesser similarity, however many lie under a key, and no other. A pair is made under the least of
+    the keys that it shares.
     """
     names = tuple(f"m{k}" for k in range(MARKS))
     known = sets.select(F.col("doc_id").alias("doc"), "sid", *[F.col("marks")[k].alias(m) for k, m in enumerate(names)])
-    marked = rows.join(known.hint("merge"), ["doc", "sid"])
+    held = rows.groupBy("doc", "sid").agg(F.collect_set("key").alias("keys"))
+    marked = rows.join(known.hint("merge"), ["doc", "sid"]).join(held.hint("merge"), ["doc", "sid"])
     apart = sum((F.bit_count(F.col(f"p_{m}").bitwiseXOR(F.col(f"q_{m}"))) for m in names), F.lit(0))
     close = apart * (10 + tenths) <= (F.col("p_n") + F.col("q_n")) * (10 - tenths)
-    met = _side(marked, "p", names).join(_side(marked, "q", names).hint("merge"), "key").where((F.col("p_sid") < F.col("q_sid")) & _sized(tenths) & close)
+    first = F.array_min(F.array_intersect("p_keys", "q_keys")) == F.col("key")
+    more = (*names, "keys")
+    met = _side(marked, "p", more).join(_side(marked, "q", more).hint("merge"), "key").where((F.col("p_sid") < F.col("q_sid")) & _sized(tenths) & close & first)
     return met.select(*[f"{side}_{c}" for side in "pq" for c in _FIELDS]).distinct()
 
 
+def _dense(rows: DataFrame) -> bool:
+    """Whether pairs of different labels under keys are many for the rows filed there."""
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    pairs, n = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+    return n is not None and pairs > PAIRS_A_ROW * n
+
+
 def _relabelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, rows["label"] == roots["node"], "left").withColumn("label", F.coalesce("root", "label")).drop("node", "root")
 
@@ -245,7 +258,7 @@ def similar_sets(docs: DataFrame, prints: DataFrame, labelled: DataFrame, words:
 
     1. Every set, once for all its copies, is filed under its band keys. Keys at which one label lies are dropped.
     2. One pivot for each key, the same for all keys that hold it, is compared with the others filed there; this joins
-       dense groups without forming their pairs.
+       dense groups without forming their pairs. While many pairs of different labels are left, other pivots follow.
     3. The pairs of different labels that are left under a key are compared, those whose marks allow the similarity. A
        key of more than CROWD sets is first split by band keys of further permutations and goes through steps 2 and 3
        again; at the last of LEVELS nothing is split, so no pair is left out.
@@ -264,12 +277,15 @@ def similar_sets(docs: DataFrame, prints: DataFrame, labelled: DataFrame, words:
     links = None
     rows = open_
     for level in range(1, LEVELS + 1):
-        pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(level)).alias("x"), "doc", "sid", "n", "label")).alias("s")).select("key", "s.*")
-        pairs = _side(rows, "p").join(_side(pivots, "q").hint("merge"), "key").where(_sized(tenths)).drop("key").distinct()
-        roots = stored(components(_similar(pairs, sets, tenths), "dense_sets"), "roots")
-        dense = roots.selectExpr("node AS a", "root AS b")
-        links = dense if links is None else links.unionByName(dense)
-        rows = stored(_crossing(_relabelled(rows, roots)), "open")
+        for turn in range(TURNS):
+            if turn and not _dense(rows):
+                break
+            pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(level + LEVELS * turn)).alias("x"), "doc", "sid", "n", "label")).alias("s")).select("key", "s.*")
+            pairs = _side(rows, "p").join(_side(pivots, "q").hint("merge"), "key").where(_sized(tenths)).drop("key").distinct()
+            roots = stored(components(_similar(pairs, sets, tenths), "dense_sets"), "roots")
+            dense = roots.selectExpr("node AS a", "root AS b")
+            links = dense if links is None else links.unionByName(dense)
+            rows = stored(_crossing(_relabelled(rows, roots)), "open")
 
         crowded = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CROWD).select("key")
         crowded = stored(crowded if level < LEVELS else crowded.where("false"), "crowded")
