@@ -246,6 +246,12 @@ def test_one_of_each_near_copy(spark, monkeypatch, crowd):
     assert sorted(got) == kept_ids(made)
 
 
+def test_keys_of_many_labels_ask_for_other_pivots(spark):
+    """Pairs of different labels count, not rows of one."""
+    filed = lambda labels: spark.createDataFrame([(1, x) for x in labels] + [(2, 0), (2, 1)], "key long, label long")
+    assert simhash._dense(filed(range(20))) and not simhash._dense(filed([7] * 20)) and not simhash._dense(filed([1, 2]).limit(0))
+
+
 # --- operators 3 and 4
 
 
