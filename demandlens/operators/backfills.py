@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.functions import text as T
+from demandlens.session import whole_unions
 
 
 def reset_status(jobs: DataFrame) -> DataFrame:
@@ -29,6 +30,7 @@ def migrate_links(links: DataFrame, legacy: DataFrame, parent: str, origin: str)
 
     New ones are manual, of score 0, and say the table that they come from; older rows with a null key are left out.
     """
+    whole_unions(legacy.sparkSession)
     keys = [parent, "skill_set_id"]
     new = legacy.select(*keys).dropna().distinct().join(links.select(*keys), keys, "left_anti")
     made = new.select(*keys, F.lit(0).alias("score"), F.lit("MANUAL").alias("source_type"), F.to_json(F.struct(F.lit(origin).alias("migrated_from"))).alias("metadata"), F.lit("insert").alias("action"))

@@ -4,6 +4,7 @@ import pytest
 
 from demandlens.operators import backfills as B
 from demandlens.operators import monitoring as M
+from demandlens.plans import catalog
 
 
 def test_backfills_settle(spark):
@@ -25,6 +26,16 @@ def test_backfills_settle(spark):
     assert B.keyword_backfill(skills, words).count() == 0
 
 
+def test_migrated_links_come_once(spark):
+    """Sides of a union that are read in parts of different numbers, as with tables beyond the size of a broadcast."""
+    session = spark.newSession()
+    sizes = {"autoBroadcastJoinThreshold": "2k", "shuffle.partitions": "12", "adaptive.enabled": "true", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for key, size in sizes.items():
+        session.conf.set(f"spark.sql.{key}", size)
+    rows = catalog.queries()["migrate_links"](session, "/root/testdata/sf0.001")
+    assert rows.groupBy("job_post_id", "skill_set_id").count().where("count > 1").count() == 0 and rows.count() == 3344
+
+
 def test_listing_pages(spark):
     rows = [(1, "A", "https://jobs.lever.co/x", "https://other", None), (2, None, "", "https://x.example", "RSS"), (3, "C", None, "", "API"), (4, "D", None, None, "API")]
     got = B.listing_pages(spark.createDataFrame(rows, "id long, name string, base_url string, url string, resource string"))
