@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from demandlens.operators import fuzzy, matching, resolution
 from demandlens.operators import taxonomy as X
 from demandlens.plans import catalog
+from demandlens.session import cut_lineage
 from demandlens.sources import parsers as P
 
 
@@ -36,6 +37,14 @@ def test_large_ids_reach_the_rule(spark, tmp_path):
         assert r.value == f"{words[r.id % 3]},{words[(r.id + 1) % 3]}"
 
 
+def test_unions_are_dealt_again(spark):
+    """A union isn't taken as dealt because its sides are: they may be read in other numbers of parts, at which a join stops."""
+    session = spark.newSession()
+    cut_lineage(session.range(1))
+    counts = session.range(100).repartition(8).groupBy("id").count()
+    assert plan(counts.union(counts).groupBy("id").count()).count("Exchange hashpartitioning") == 3
+
+
 def test_names_of_a_taxonomy_are_not_broadcast(spark):
     """Sizes guessed from compressed files are far too small, so a broadcast of skills doesn't fit the driver."""
     skills = spark.createDataFrame([(1, "steel lace", ["alias 1"]), (2, "rose", [])], "id long, name string, aliases array<string>")
