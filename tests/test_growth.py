@@ -45,6 +45,14 @@ def test_unions_are_dealt_again(spark):
     assert plan(counts.union(counts).groupBy("id").count()).count("Exchange hashpartitioning") == 3
 
 
+def test_names_and_words_of_fuzzy_matches_are_not_broadcast(spark):
+    names = spark.sql("SELECT * FROM VALUES ('steel lace'), ('a rose') AS t(normalized)")  # of known size, unlike rows from Python
+    catalog_ = spark.sql("SELECT * FROM VALUES ('lace steel'), ('rose') AS t(skill_name)")
+    for found in (fuzzy.by_words(names, catalog_, 90.0), fuzzy.by_containment(names, catalog_)):
+        assert "Broadcast" not in plan(found)
+        assert found.count() == 1
+
+
 def test_names_of_a_taxonomy_are_not_broadcast(spark):
     """Sizes guessed from compressed files are far too small, so a broadcast of skills doesn't fit the driver."""
     skills = spark.createDataFrame([(1, "steel lace", ["alias 1"]), (2, "rose", [])], "id long, name string, aliases array<string>")
