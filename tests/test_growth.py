@@ -10,6 +10,7 @@ from demandlens.operators import taxonomy as X
 from demandlens.plans import catalog
 from demandlens.session import cut_lineage
 from demandlens.sources import parsers as P
+from demandlens.sources.binding import Domain
 
 
 def plan(df):
@@ -53,6 +54,13 @@ def test_names_and_words_of_fuzzy_matches_are_not_broadcast(spark):
         assert found.count() == 1
 
 
+def test_stored_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    spark.range(300_000).write.parquet(str(tmp_path / "part.parquet"))
+    session = spark.newSession()
+    part = Domain(session, str(tmp_path)).part
+    assert "Broadcast" not in plan(part.join(session.range(10**7), "id"))
+
+
 def test_names_of_a_taxonomy_are_not_broadcast(spark):
     """Sizes guessed from compressed files are far too small, so a broadcast of skills doesn't fit the driver."""
     skills = spark.createDataFrame([(1, "steel lace", ["alias 1"]), (2, "rose", [])], "id long, name string, aliases array<string>")
