@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from demandlens.llm.util import doc_columns, in_order, stored
 
-#: A block ends after so many documents or entries, whichever comes first; a document is never split.
-BLOCK_ROWS, BLOCK_ENTRIES = 1024, 500_000
+#: A block ends after so many documents or entries, whichever comes first; a document is never split. Readers hold thousands of blocks at once,
+#: by their number and whatever their size, so blocks are small.
+BLOCK_ROWS, BLOCK_ENTRIES = 1024, 1000
+#: So many entries and documents are written, and so many blocks multiplied, at once.
+BATCH_ENTRIES, BATCH_BLOCKS = 100_000, 256
 BLOCKS = "doc_ids array<long>, words array<long>, indptr array<long>, buckets array<int>, counts array<long>"
 _ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("indptr", pa.list_(pa.int64())), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 #: Bytes of words (digits, letters, all beyond ASCII) with A-Z lower-cased; others are blanks.
@@ -45,10 +48,10 @@ def count_matrix(texts: DataFrame, longest: int, buckets: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, indptr, columns, counts = [], [], [0], [], []
+        rows, held = [], 0
 
-        def block() -> pa.RecordBatch:
-            row = {"doc_ids": ids, "words": words, "indptr": indptr, "buckets": np.concatenate(columns), "counts": np.concatenate(counts)}
-            return pa.RecordBatch.from_pylist([row], _ARROW)
+        def block() -> dict:
+            return {"doc_ids": ids, "words": words, "indptr": indptr, "buckets": np.concatenate(columns), "counts": np.concatenate(counts)}
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -59,10 +62,16 @@ def count_matrix(texts: DataFrame, longest: int, buckets: int) -> DataFrame:
                 columns.append(at)
                 counts.append(times)
                 if len(ids) >= BLOCK_ROWS or indptr[-1] >= BLOCK_ENTRIES:
-                    yield block()
+                    rows.append(block())
+                    held += len(ids) + indptr[-1]
                     ids, words, indptr, columns, counts = [], [], [0], [], []
+                    if held >= BATCH_ENTRIES:
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                        rows, held = [], 0
         if ids:
-            yield block()
+            rows.append(block())
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return stored(doc_columns(texts, "doc_id", "text").mapInArrow(work, BLOCKS), "csr")
 
@@ -99,13 +108,16 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                indptr, counts = _flat(row, "indptr"), _flat(row, "counts")
+            for k in range(0, batch.num_rows, BATCH_BLOCKS):
+                some = batch.slice(k, BATCH_BLOCKS)
+                # each block's indptr begins at 0, so a difference across two blocks is none of a document
+                lasts = np.cumsum(np.diff(some["indptr"].offsets.to_numpy()))[:-1] - 1
+                indptr = np.concatenate([[0], np.cumsum(np.delete(np.diff(_flat(some, "indptr")), lasts))])
+                counts = _flat(some, "counts")
                 upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[indptr]
-                n, total = np.diff(upto(counts)), np.diff(upto(counts * gain[_flat(row, "buckets")]))
+                n, total = np.diff(upto(counts)), np.diff(upto(counts * gain[_flat(some, "buckets")]))
                 weight = np.where(n > 0, total // np.maximum(n, 1), 0)
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].flatten(), row["words"].flatten(), pa.array(n), pa.array(weight)], names=["doc_id", "words", "n_features", "weight"])
+                yield pa.RecordBatch.from_arrays([some["doc_ids"].flatten(), some["words"].flatten(), pa.array(n), pa.array(weight)], names=["doc_id", "words", "n_features", "weight"])
 
     return matrix.mapInArrow(work, "doc_id long, words long, n_features long, weight long")
 

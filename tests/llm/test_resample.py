@@ -65,6 +65,18 @@ def test_blocks_hold_the_whole_matrix(spark, docs, monkeypatch):
     assert int(np.max([len(b["doc_ids"]) for b in blocks])) <= 1024
 
 
+def test_blocks_stay_small(spark):
+    """Readers hold blocks by their number, so a block holds few entries beyond those of one document."""
+    texts = spark.range(60).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 400), x -> concat('w', x + id)), ' ') AS text").coalesce(1)
+    matrix = resample.count_matrix(texts, 1, 10_000)
+    assert matrix.selectExpr("max(size(buckets))").first()[0] <= 1400
+    assert matrix.selectExpr("sum(size(doc_ids))").first()[0] == 60
+    got = resample.weights(matrix, np.arange(10_000)).collect()
+    for r in got:
+        at = [zlib.crc32(f"w{x + r.doc_id}".encode()) % 10_000 for x in range(1, 401)]
+        assert (r.words, r.n_features, r.weight) == (400, 400, sum(at) // 400)
+
+
 def test_edges(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert resample.resample(no_docs, none).count() == 0
